@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from clausewright.llm.sharding import op3_virtual_slots
 from clausewright.llm.token_counts import op10_token_counts
 
 QUERIES = {
+    "op3_virtual_slots": op3_virtual_slots,
     "op10_token_counts": op10_token_counts,
 }
 
