@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from clausewright.llm.packing import op8_best_fit_packing
 from clausewright.llm.sharding import op3_virtual_slots
 from clausewright.llm.token_counts import op10_token_counts
 
 QUERIES = {
     "op3_virtual_slots": op3_virtual_slots,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }
 
