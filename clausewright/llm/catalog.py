@@ -5,9 +5,11 @@ from __future__ import annotations
 from clausewright.llm.packing import op8_best_fit_packing
 from clausewright.llm.sharding import op3_virtual_slots
 from clausewright.llm.token_counts import op10_token_counts
+from clausewright.llm.vantage import op4_vantage_trees
 
 QUERIES = {
     "op3_virtual_slots": op3_virtual_slots,
+    "op4_vantage_trees": op4_vantage_trees,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }
