@@ -6,12 +6,14 @@ from clausewright.llm.packing import op8_best_fit_packing
 from clausewright.llm.quality import op1_fourier_quality
 from clausewright.llm.sharding import op3_virtual_slots
 from clausewright.llm.token_counts import op10_token_counts
+from clausewright.llm.toxicity import op6_recurrent_toxicity
 from clausewright.llm.vantage import op4_vantage_trees
 
 QUERIES = {
     "op1_fourier_quality": op1_fourier_quality,
     "op3_virtual_slots": op3_virtual_slots,
     "op4_vantage_trees": op4_vantage_trees,
+    "op6_recurrent_toxicity": op6_recurrent_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }
