@@ -5,6 +5,7 @@ from __future__ import annotations
 from clausewright.llm.packing import op8_best_fit_packing
 from clausewright.llm.quality import op1_fourier_quality
 from clausewright.llm.sharding import op3_virtual_slots
+from clausewright.llm.simhash import op5_covering_simhash
 from clausewright.llm.token_counts import op10_token_counts
 from clausewright.llm.toxicity import op6_recurrent_toxicity
 from clausewright.llm.vantage import op4_vantage_trees
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_fourier_quality": op1_fourier_quality,
     "op3_virtual_slots": op3_virtual_slots,
     "op4_vantage_trees": op4_vantage_trees,
+    "op5_covering_simhash": op5_covering_simhash,
     "op6_recurrent_toxicity": op6_recurrent_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_token_counts": op10_token_counts,
