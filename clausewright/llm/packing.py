@@ -12,6 +12,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame
@@ -26,39 +27,65 @@ GROUP_PIECES = 32_768
 END_ID = 1
 #: Distinct words whose ids a Python worker keeps at once.
 MEMO_ENTRIES = 400_000
-#: Texts of these characters only are split here, by the tokenizer's own pattern; others go to the library whole.
+#: Texts of these characters only are split here; others go to the library whole.
 PLAIN_TEXT = re.compile("[^\t\n\r -~À-ÖØ-öø-ÿ]")
-#: The splitting pattern of the word-end BPE.
+#: The splitting pattern and the word end of the word-end BPE.
 WORD_END_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+#: The same pattern as it acts on lower-case PLAIN_TEXT.
+PLAIN_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+"
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _ENCODERS: dict = {}
 
 
-class _WordIds(dict):
-    """Ids by word as little-endian unsigned 32-bit numbers, encoded by the library when first met."""
+def _as_bytes(ids: list[int]) -> bytes:
+    return np.asarray(ids, "<u4").tobytes()
 
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        ids = self[word] = _as_bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        return ids
+class _WordIds:
+    """Ids of whole texts by way of their words; the library encodes each distinct word once.
 
+    The vocabulary marks word ends, so that words are encoded together and their ids told apart.
+    """
 
-def _as_bytes(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    def __init__(self, tokenizer, split, whole):
+        self.tokenizer, self.split, self.whole, self.memo = tokenizer, split, whole, {}
+        self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        for token, i in tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith(WORD_END)
+
+    def learn(self, words: list[str]) -> None:
+        """Put the ids of words, all new, into the memo."""
+        if len(self.memo) + len(words) > MEMO_ENTRIES:
+            self.memo.clear()
+        parts = [words[i : i + 500] for i in range(0, len(words), 500)]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join(x) for x in parts], add_special_tokens=False), strict=True):
+            ids = np.asarray(found.ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) == len(part):
+                data = ids.tobytes()
+                self.memo.update(zip(part, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+            else:
+                self.memo.update((w, self.whole(w)) for w in part)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each whole text."""
+        words = [self.split(t) for t in texts]
+        used = set().union(*words)
+        new = used - self.memo.keys()
+        if new:
+            self.learn(list(new))
+            if not used <= self.memo.keys():
+                self.learn(list(used - self.memo.keys()))
+        return [b"".join(map(self.memo.__getitem__, w)) for w in words]
 
 
 def _encoder(tokenizer_file: str):
-    """A function text -> ids as bytes, exactly as the library's encode gives them."""
+    """A function texts -> ids of each as bytes, exactly as the library's encode gives them."""
     if tokenizer_file not in _ENCODERS:
         import json
 
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,15 +93,15 @@ def _encoder(tokenizer_file: str):
         whole = lambda text: _as_bytes(tokenizer.encode(text, add_special_tokens=False).ids)
         with open(tokenizer_file, encoding="utf-8") as file:
             parts = json.load(file)
-        encode = whole
-        if WORD_END_PATTERN in str(parts["pre_tokenizer"]).replace("\\\\", "\\"):
-            words, memo = regex.compile(WORD_END_PATTERN).findall, _WordIds(tokenizer)
-            special = re.compile("|".join(re.escape(x["content"]) for x in parts["added_tokens"]) or r"(?!)")
+        encode = lambda texts: [whole(t) for t in texts]
+        if WORD_END_PATTERN in str(parts["pre_tokenizer"]).replace("\\\\", "\\") and parts["model"]["end_of_word_suffix"] == WORD_END:
+            split, special = re.compile(PLAIN_WORDS).findall, re.compile("|".join(re.escape(x["content"]) for x in parts["added_tokens"]) or r"(?!)")
+            by_word = _WordIds(tokenizer, lambda text: split(text.lower()), whole)
 
-            def encode(text: str) -> bytes:
-                if PLAIN_TEXT.search(text) or special.search(text):
-                    return whole(text)
-                return b"".join(map(memo.__getitem__, words(text.lower())))
+            def encode(texts: list[str]) -> list[bytes]:
+                odd = {i for i, t in enumerate(texts) if PLAIN_TEXT.search(t) or special.search(t)}
+                plain = iter(by_word.encode([t for i, t in enumerate(texts) if i not in odd]))
+                return [whole(t) if i in odd else next(plain) for i, t in enumerate(texts)]
 
         _ENCODERS[tokenizer_file] = encode
     return _ENCODERS[tokenizer_file]
@@ -90,13 +117,14 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> Da
         encode, end = _encoder(tokenizer_file), END_ID.to_bytes(4, "little")
         for rows in batches:
             out = []
-            for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
-                ids = encode(text or "") + end
+            texts = [t or "" for t in rows["text"]]
+            found = (ids for lo in range(0, len(texts), 256) for ids in encode(texts[lo : lo + 256]))
+            for doc_id, ids in zip(rows["doc_id"], found, strict=True):
+                ids += end
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     out.append((doc_id, n, at // 4, len(own) // 4, zlib.crc32(own)))
-            found = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield found.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
     return docs.select("doc_id", "text").mapInPandas(cut, PIECE_SCHEMA)
 
