@@ -6,6 +6,7 @@ from clausewright.llm.packing import op8_best_fit_packing
 from clausewright.llm.quality import op1_fourier_quality
 from clausewright.llm.sharding import op3_virtual_slots
 from clausewright.llm.simhash import op5_covering_simhash
+from clausewright.llm.substrings import op7_doubling_substrings
 from clausewright.llm.token_counts import op10_token_counts
 from clausewright.llm.toxicity import op6_recurrent_toxicity
 from clausewright.llm.vantage import op4_vantage_trees
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_vantage_trees": op4_vantage_trees,
     "op5_covering_simhash": op5_covering_simhash,
     "op6_recurrent_toxicity": op6_recurrent_toxicity,
+    "op7_doubling_substrings": op7_doubling_substrings,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }
