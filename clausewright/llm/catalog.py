@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from clausewright.llm.decontamination import OP2_SQL, op2_positional_index
 from clausewright.llm.packing import op8_best_fit_packing
 from clausewright.llm.quality import op1_fourier_quality
 from clausewright.llm.sharding import op3_virtual_slots
@@ -13,6 +14,7 @@ from clausewright.llm.vantage import op4_vantage_trees
 
 QUERIES = {
     "op1_fourier_quality": op1_fourier_quality,
+    "op2_positional_index": op2_positional_index,
     "op3_virtual_slots": op3_virtual_slots,
     "op4_vantage_trees": op4_vantage_trees,
     "op5_covering_simhash": op5_covering_simhash,
@@ -22,4 +24,4 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_positional_index": OP2_SQL}
