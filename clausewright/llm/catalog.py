@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from clausewright.llm.decontamination import OP2_SQL, op2_positional_index
+from clausewright.llm.licenses import op9_conditional_licenses
 from clausewright.llm.packing import op8_best_fit_packing
 from clausewright.llm.quality import op1_fourier_quality
 from clausewright.llm.sharding import op3_virtual_slots
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_recurrent_toxicity": op6_recurrent_toxicity,
     "op7_doubling_substrings": op7_doubling_substrings,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_conditional_licenses": op9_conditional_licenses,
     "op10_token_counts": op10_token_counts,
 }
 
