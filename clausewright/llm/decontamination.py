@@ -167,6 +167,13 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     )
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """docs, all columns, without the rows that hold a window of an item."""
+    bad = written(contamination(docs, items, size).where("n_hit > 0").select(*_DOC).distinct(), "contaminated").alias("b")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.struct("*").alias("row")).alias("d")
+    return rows.join(bad, _same_doc("d", "b"), "left_anti").select("row.*")
+
+
 def op2_positional_index(spark, sf_dir: str) -> DataFrame:
     """Which words of every document lie in a window of 10 words of a benchmark item."""
     found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -3,7 +3,8 @@
 Bit positions are labelled with non-zero vectors of radius + 1 bits. For each non-zero vector v of that
 length one table keeps the positions whose label has an odd overlap with v. Any ``radius`` positions
 leave some v that overlaps all their labels evenly, so each pair within the radius is equal in at
-least one table: no pair is missed.
+least one table: no pair is missed. Tables may also look at some positions only; then a pair counts by its
+differing bits among those, and farther pairs are found too.
 """
 
 from __future__ import annotations
@@ -42,10 +43,11 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
-def covering_masks(radius: int) -> list[int]:
-    """The tables' masks, as signed 64-bit numbers."""
+def covering_masks(radius: int, looked_at: int = BITS) -> list[int]:
+    """The tables' masks, as signed 64-bit numbers; each keeps about half of the positions looked at."""
     size = 1 << (radius + 1)
-    labels = np.random.default_rng(radius).permutation(np.arange(BITS) % (size - 1) + 1).tolist()
+    labels = np.where(np.arange(BITS) < looked_at, np.arange(BITS) % (size - 1) + 1, 0)
+    labels = np.random.default_rng(radius).permutation(labels).tolist()
     masks = [sum(1 << i for i, m in enumerate(labels) if (m & v).bit_count() % 2) for v in range(1, size)]
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
 
@@ -107,21 +109,26 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return rows.mapInPandas(mark, "doc_id long, text_hash long, fp long")
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """a, b: links among distinct fingerprints (fp) that connect what lies within the radius."""
+def links(prints: DataFrame, radius: int = RADIUS, reach: int | None = None, looked_at: int = BITS) -> DataFrame:
+    """a, b: links among distinct fingerprints (fp) that connect what lies within the radius.
+
+    reach: bits that fingerprints that meet in a table may differ by (default: radius).
+    """
 
     def connect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            found = [x for bucket in rows["prints"] for x in linked(np.asarray(bucket, np.int64), radius)]
+            found = [x for bucket in rows["prints"] for x in linked(np.asarray(bucket, np.int64), reach or radius)]
             yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    tables = F.posexplode(F.array(*[F.lit(m) for m in covering_masks(radius)])).alias("table", "mask")
+    tables = F.posexplode(F.array(*[F.lit(m) for m in covering_masks(radius, looked_at)])).alias("table", "mask")
     keyed = prints.select("fp", tables).select("fp", F.xxhash64("table", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"))
     buckets = keyed.groupBy("bucket").agg(F.collect_list("fp").alias("prints")).where(F.size("prints") > 1)
     return buckets.select("prints").mapInPandas(connect, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, words: int = WORDS, radius: int = RADIUS, reach: int | None = None, looked_at: int = BITS
+) -> DataFrame:
     """doc_id, text_hash, fp and component_id of every row of docs (doc_id, text).
 
     component_id is the smallest doc_id that links reach; links join fingerprints of at most radius
@@ -132,7 +139,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     """
     marked = written(fingerprints(docs, words), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    groups = components(links(distinct.select("fp"), radius))
+    groups = components(links(distinct.select("fp"), radius, reach, looked_at))
     ids = groups.join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "first_id")
     least = ids.groupBy("root").agg(F.min("first_id").alias("least_id"))
     by_print = (
@@ -141,13 +148,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     return marked.join(by_print, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int, radius: int) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int, radius: int, reach: int | None = None, looked_at: int = BITS) -> DataFrame:
     """Rows of docs without those that have a near duplicate kept in their place; all columns as they are.
 
     Of each component the row of least doc_id stays (of equal ids, the one of least text hash; null
     ids come last), and of repeated rows one.
     """
-    grouped = near_duplicates(docs, words, radius)
+    grouped = near_duplicates(docs, words, radius, reach, looked_at)
     # A component is known by its least fingerprint row; rows without any id have themselves alone.
     key = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("f"), F.col("fp").cast("string")))
     grouped = written(grouped.withColumn("key", key), "grouped")

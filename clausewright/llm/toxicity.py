@@ -331,17 +331,11 @@ def sample(docs: DataFrame, labels: DataFrame, n: int = SAMPLE_DOCS) -> DataFram
     return short.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of docs (doc_id, text), held_out, score and predicted for every row.
-
-    labels: doc_id, toxic; rows where either is null teach nothing. Texts are read whole, however
-    long. A null text, or one without words, scores 0. Repeated rows get equal scores; an empty
-    table gives an empty result; columns not asked for aren't read.
-    """
+def _scored(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
+    """row (a struct of columns) and score of every row of docs."""
     learn = sample(docs, labels).orderBy("doc_id", "y").toPandas()  # at most 2 * SAMPLE_DOCS rows of SAMPLE_BYTES
     network = fit(learn["text"].tolist(), learn["y"].tolist())
     shared = docs.sparkSession.sparkContext.broadcast(network)  # two tables of fixed size and a few matrices
-    columns = columns or ["doc_id"]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = Memo(shared.value)
@@ -354,10 +348,23 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, columns: list[str] | None
 
     packed = docs.select(F.struct(*columns).alias("row"), "text")
     kind = packed.schema["row"].dataType.simpleString()
-    scored = packed.mapInPandas(score, f"row {kind}, score double")
-    return scored.select(
-        "row.*", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
-    )
+    return packed.mapInPandas(score, f"row {kind}, score double")
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted for every row of docs (doc_id, text).
+
+    labels: doc_id, toxic; rows where either is null teach nothing. Texts are read whole, however
+    long. A null text, or one without words, scores 0. Repeated rows get equal scores; an empty
+    table gives an empty result; other columns aren't read.
+    """
+    scored = _scored(docs, labels, ["doc_id"]).select("row.doc_id", "score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs, all columns, without the rows that score THRESHOLD or more."""
+    return _scored(docs, labels, docs.columns).where(F.col("score") < THRESHOLD).select("row.*")
 
 
 def op6_recurrent_toxicity(spark, sf_dir: str) -> DataFrame:
