@@ -24,11 +24,15 @@ WORDS, RADIUS, SEED = 4, 4, 42
 BITS = 64
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """64-bit SimHash of all shingles of a whole text, repeats included; 0 for a text without words."""
+def fingerprint(text: str | None, words: int = WORDS, wide: int = 1) -> list[int]:
+    """SimHash of all shingles of a whole text, repeats included: ``wide`` numbers of 64 bits.
+
+    The first comes from the shingles' XXH64 values, each further one from these values mixed once
+    more. A text without words has 0 throughout.
+    """
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return 0
+        return [0] * wide
     joined = b" ".join(tokens)
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     starts = np.r_[0, np.cumsum(sizes + 1)[:-1]]
@@ -36,11 +40,16 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     begin, end = starts[: len(tokens) - k + 1].tolist(), (starts + sizes)[k - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[b:e], SEED) for b, e in zip(begin, end, strict=True)], np.uint64)
-    ones = np.zeros(BITS, np.int64)
-    for lo in range(0, len(hashes), 1 << 15):
-        part = hashes[lo : lo + (1 << 15)].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+    out = []
+    for _ in range(wide):
+        ones = np.zeros(BITS, np.int64)
+        for lo in range(0, len(hashes), 1 << 15):
+            part = hashes[lo : lo + (1 << 15)].view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0]))
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        hashes ^= hashes >> np.uint64(29)
+    return out
 
 
 def covering_masks(radius: int, looked_at: int = BITS) -> list[int]:
@@ -52,21 +61,24 @@ def covering_masks(radius: int, looked_at: int = BITS) -> list[int]:
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
 
 
-def linked(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """(fingerprint, its group's least) for fingerprints in groups that links within radius connect.
+def linked(ids: np.ndarray, prints: np.ndarray, reach: int) -> list[tuple[int, int]]:
+    """(id, its group's first) for ids in groups that links of at most ``reach`` differing bits connect.
 
-    prints: distinct int64 values. A group grows from one member; each member is compared once with
-    those not yet reached, so that a dense group costs little more than its size, and no list of
-    pairs is made.
+    ids: distinct, prints: a row of int64 values for each. A group grows from one member; each member
+    is compared once with those not yet reached, so that a dense group costs little more than its
+    size, and no list of pairs is made.
     """
-    rest, out = np.sort(prints), []
+    order = np.argsort(ids)
+    rest, bits, out = ids[order], prints[order], []
     while len(rest) > 1:
-        group, rest = [int(rest[0])], rest[1:]
+        group, own = [int(rest[0])], [bits[0]]
+        rest, bits = rest[1:], bits[1:]
         at = 0
         while at < len(group) and len(rest):
-            near = np.bitwise_count(rest ^ np.int64(group[at])) <= radius
+            near = np.bitwise_count(bits ^ own[at]).sum(axis=1) <= reach
             group.extend(rest[near].tolist())
-            rest = rest[~near]
+            own.extend(bits[near])
+            rest, bits = rest[~near], bits[~near]
             at += 1
         out.extend((member, group[0]) for member in group[1:])
     return out
@@ -96,70 +108,82 @@ def components(edges: DataFrame) -> DataFrame:
             return nodes
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, text_hash, fp (signed 64 bits) of every row of docs (doc_id, text)."""
+def fingerprints(docs: DataFrame, words: int = WORDS, wide: int = 1) -> DataFrame:
+    """doc_id, text_hash, prints (signed 64-bit numbers) and node of every row of docs (doc_id, text).
+
+    node stands for the prints: the number itself where it is one, else their 64-bit digest.
+    """
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            prints = np.array([fingerprint(t, words) for t in rows["text"]], np.uint64).astype(np.int64)
-            found = pd.DataFrame({"doc_id": rows["doc_id"], "text_hash": rows["text_hash"], "fp": prints})
+            prints = [np.array(fingerprint(t, words, wide), np.uint64).view(np.int64) for t in rows["text"]]
+            found = pd.DataFrame({"doc_id": rows["doc_id"], "text_hash": rows["text_hash"], "prints": prints})
             yield found.astype({"doc_id": "Int64", "text_hash": "int64"})
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInPandas(mark, "doc_id long, text_hash long, fp long")
+    marked = rows.mapInPandas(mark, "doc_id long, text_hash long, prints array<long>")
+    return marked.withColumn("node", F.col("prints")[0] if wide == 1 else F.xxhash64("prints"))
 
 
-def links(prints: DataFrame, radius: int = RADIUS, reach: int | None = None, looked_at: int = BITS) -> DataFrame:
-    """a, b: links among distinct fingerprints (fp) that connect what lies within the radius.
+def links(prints: DataFrame, radius: int = RADIUS, reach: int | None = None, looked_at: int = BITS, wide: int = 1) -> DataFrame:
+    """a, b: links among distinct nodes (node, prints) that connect what lies within the radius.
 
-    reach: bits that fingerprints that meet in a table may differ by (default: radius).
+    Each of the prints' numbers has its own tables; nodes that meet in any are linked if all their
+    bits together differ in at most ``reach`` places (default: radius).
     """
+    most = radius if reach is None else reach
 
     def connect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            found = [x for bucket in rows["prints"] for x in linked(np.asarray(bucket, np.int64), reach or radius)]
+            found = []
+            for nodes, flat in zip(rows["nodes"], rows["flat"], strict=True):
+                found += linked(np.asarray(nodes, np.int64), np.asarray(flat, np.int64).reshape(len(nodes), wide), most)
             yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    tables = F.posexplode(F.array(*[F.lit(m) for m in covering_masks(radius, looked_at)])).alias("table", "mask")
-    keyed = prints.select("fp", tables).select("fp", F.xxhash64("table", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"))
-    buckets = keyed.groupBy("bucket").agg(F.collect_list("fp").alias("prints")).where(F.size("prints") > 1)
-    return buckets.select("prints").mapInPandas(connect, "a long, b long")
+    masks = covering_masks(radius, looked_at)
+    seen = [F.xxhash64(F.lit(i * len(masks) + t), F.col("prints")[i].bitwiseAND(F.lit(m))) for i in range(wide) for t, m in enumerate(masks)]
+    keyed = prints.select("node", "prints", F.explode(F.array(*seen)).alias("bucket"))
+    buckets = keyed.groupBy("bucket").agg(F.collect_list(F.struct("node", "prints")).alias("met")).where(F.size("met") > 1)
+    return buckets.select(F.col("met.node").alias("nodes"), F.flatten("met.prints").alias("flat")).mapInPandas(connect, "a long, b long")
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = WORDS, radius: int = RADIUS, reach: int | None = None, looked_at: int = BITS
+    docs: DataFrame, words: int = WORDS, radius: int = RADIUS, reach: int | None = None, looked_at: int = BITS, wide: int = 1
 ) -> DataFrame:
-    """doc_id, text_hash, fp and component_id of every row of docs (doc_id, text).
-
-    component_id is the smallest doc_id that links reach; links join fingerprints of at most radius
-    differing bits, equal ones among them. Rows with a null id take part; a component of such rows
-    alone has none. Null texts and texts without words have fingerprint 0 and are linked like others.
-    Copies and repeated rows meet in one fingerprint before anything is compared, so that no group of
-    copies is ever spread out in pairs. An empty table gives an empty result; other columns aren't read.
+    """doc_id, text_hash, prints, node and component_id of every row of docs (doc_id, text).
+
+    component_id is the smallest doc_id that links reach; by default links join fingerprints of at
+    most radius differing bits, equal ones among them. Rows with a null id take part; a component of
+    such rows alone has none. Null texts and texts without words have fingerprint 0 and are linked
+    like others. Copies and repeated rows meet in one node before anything is compared, so that no
+    group of copies is ever spread out in pairs. An empty table gives an empty result; other columns
+    aren't read.
     """
-    marked = written(fingerprints(docs, words), "fingerprints")
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    groups = components(links(distinct.select("fp"), radius, reach, looked_at))
-    ids = groups.join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "first_id")
+    marked = written(fingerprints(docs, words, wide), "fingerprints")
+    distinct = written(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("prints").alias("prints")), "distinct-fingerprints")
+    groups = components(links(distinct.select("node", "prints"), radius, reach, looked_at, wide))
+    ids = groups.join(distinct, "node").select("node", "root", "first_id")
     least = ids.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    by_print = (
-        distinct.join(ids.select("fp", "root"), "fp", "left").join(least, "root", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
+    by_node = (
+        distinct.select("node", "first_id")
+        .join(ids.select("node", "root"), "node", "left")
+        .join(least, "root", "left")
+        .select("node", F.coalesce("root", "node").alias("root"), F.coalesce("least_id", "first_id").alias("component_id"))
     )
-    return marked.join(by_print, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    return marked.join(by_node, "node").select("doc_id", "text_hash", "prints", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int, radius: int, reach: int | None = None, looked_at: int = BITS) -> DataFrame:
+def one_of_each(
+    docs: DataFrame, words: int, radius: int, reach: int | None = None, looked_at: int = BITS, wide: int = 1
+) -> DataFrame:
     """Rows of docs without those that have a near duplicate kept in their place; all columns as they are.
 
     Of each component the row of least doc_id stays (of equal ids, the one of least text hash; null
     ids come last), and of repeated rows one.
     """
-    grouped = near_duplicates(docs, words, radius, reach, looked_at)
-    # A component is known by its least fingerprint row; rows without any id have themselves alone.
-    key = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("f"), F.col("fp").cast("string")))
-    grouped = written(grouped.withColumn("key", key), "grouped")
+    grouped = near_duplicates(docs, words, radius, reach, looked_at, wide)
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
-    kept = grouped.groupBy("key").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"))
+    kept = grouped.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"))
     packed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.struct("*").alias("row"))
     own = packed.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash")), "left_semi")
     copy = F.row_number().over(W.partitionBy("doc_id", "text_hash").orderBy("text_hash"))
@@ -169,4 +193,4 @@ def one_of_each(docs: DataFrame, words: int, radius: int, reach: int | None = No
 def op5_covering_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("prints")[0])), 16, "0").alias("fingerprint"), "component_id")

@@ -18,9 +18,10 @@ from clausewright.llm.simhash import one_of_each
 from clausewright.llm.substrings import without_repeats
 from clausewright.llm.toxicity import without_toxic
 
-#: Near duplicates of the second stage: shingles of five words; fingerprints that meet in one of the
-#: 63 tables of radius 5 over 44 of the 64 positions are linked at 8 or fewer differing bits.
-NEAR = {"words": 5, "radius": 5, "reach": 8, "looked_at": 44}
+#: Near duplicates of the second stage: shingles of five words, fingerprints of 128 bits. Those that meet in
+#: a covering table (31 for each half, of radius 4 over 32 of its positions) are linked at 25 or fewer
+#: differing bits, a similarity of 0.8 or more.
+NEAR = {"words": 5, "radius": 4, "reach": 25, "looked_at": 32, "wide": 2}
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

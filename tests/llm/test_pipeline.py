@@ -3,7 +3,7 @@ import collections
 import corpus_pipeline
 from clausewright.llm import simhash, toxicity
 from tests.llm.test_decontamination import split
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_simhash import plain_components
 from tests.llm.test_substrings import plain
 
 
@@ -17,8 +17,9 @@ def test_stages_are_brute_force_on_their_inputs(spark):
 
     one = stages["near_dedup"](spark, kept, sf).cache()
     rows = {r.doc_id: r for r in kept.collect()}
-    prints = {i: plain_fingerprint(r.text, 5) for i, r in rows.items()}
-    sure, reach = plain_components(prints, 5), plain_components(prints, 8)
+    halves = {i: simhash.fingerprint(r.text, 5, 2) for i, r in rows.items()}
+    prints = {i: a << 64 | b for i, (a, b) in halves.items()}
+    sure, reach = plain_components(prints, 4), plain_components(prints, 25)
     ids = {r.doc_id for r in one.collect()}
     # Each group within the guaranteed radius keeps at most one, each group within reach at least one.
     assert max(collections.Counter(sure[i] for i in ids).values()) == 1
