@@ -260,7 +260,8 @@ def _results(docs: DataFrame, window: int, make, schema) -> DataFrame:
     answered = chunks.select("chunk", "batch")
     for k in range(len(lengths)):
         answers = written(_count(answered, lengths, k, shift), "answers")
-        answered = answered.join(answers, "chunk", "left")
+        # Answers grow with the input: they are merged with the chunks at every size, never broadcast.
+        answered = answered.join(answers.hint("merge"), "chunk", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
