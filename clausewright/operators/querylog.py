@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SURFACES = {"assistants": ["mcp"], "dashboard": ["dashboard"]}
@@ -139,11 +140,9 @@ def spreadsheet_safe(cell: Column) -> Column:
 
 def throttled(attempts: DataFrame, failures: int = 5, minutes: int = 15) -> DataFrame:
     """key, id, blocked: ``failures`` within the minutes before an attempt (key, id, at, ok), since the last success."""
-    from pyspark.sql import Window as W
-
     ordered = W.partitionBy("key").orderBy("at", "id").rowsBetween(W.unboundedPreceding, -1)
     epoch = F.coalesce(F.sum(F.col("ok").cast("int")).over(ordered), F.lit(0))
-    staged = attempts.withColumn("epoch", epoch).withColumn("us", F.unix_micros("at"))
+    staged = attempts.withColumn("epoch", epoch).withColumn("us", F.unix_micros(F.col("at").cast("timestamp")))
     near = W.partitionBy("key", "epoch").orderBy("us").rangeBetween(-minutes * 60_000_000, -1)
     recent = F.coalesce(F.sum((~F.col("ok")).cast("int")).over(near), F.lit(0))
     return staged.select("key", "id", (recent >= failures).alias("blocked"))
