@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from clausewright.plans import asof_queries, log_queries, retrieval_queries  # noqa: F401
+from clausewright.plans import asof_queries, corpus_queries, log_queries, retrieval_queries  # noqa: F401
