@@ -181,7 +181,11 @@ def one_of_each(
     Of each component the row of least doc_id stays (of equal ids, the one of least text hash; null
     ids come last), and of repeated rows one.
     """
-    grouped = near_duplicates(docs, words, radius, reach, looked_at, wide)
+    return first_of_each(docs, near_duplicates(docs, words, radius, reach, looked_at, wide))
+
+
+def first_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The row of docs that ``one_of_each`` keeps of each root of grouped (doc_id, text_hash, root)."""
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
     kept = grouped.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"))
     packed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.struct("*").alias("row"))

@@ -14,15 +14,10 @@ from pyspark.sql import functions as F
 from clausewright.llm.decontamination import without_contaminated
 from clausewright.llm.packing import pack
 from clausewright.llm.shared import written
-from clausewright.llm.simhash import one_of_each
+from clausewright.llm.shingles import one_of_each
 from clausewright.llm.substrings import without_repeats
 from clausewright.llm.toxicity import without_toxic
 
-#: Near duplicates of the second stage: shingles of five words, fingerprints of 128 bits. Those that meet in
-#: a covering table (31 for each half, of radius 4 over 32 of its positions) are linked at 25 or fewer
-#: differing bits, a similarity of 0.8 or more.
-NEAR = {"words": 5, "radius": 4, "reach": 25, "looked_at": 32, "wide": 2}
-
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the recurrent network doesn't find toxic."""
@@ -30,8 +25,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return one_of_each(docs, **NEAR)
+    """One document of each group of near duplicates: sets of five-word shingles, Jaccard similarity 0.8 or more."""
+    return one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
