@@ -3,7 +3,9 @@
 All sets are sorted by one order of the shingles. Two sets of similarity s share at least s times the
 larger one's shingles, so that a shingle is common to their first n - ceil(s n) + 1 ones: sets that meet
 in no prefix needn't be compared, and no pair is missed, whatever the order. Frequent shingles come last,
-which keeps common lines and passages out of the prefixes. All that meet are compared by their whole sets.
+which keeps common lines and passages out of the prefixes. What meets is first held to two bounds that no
+similar pair exceeds (places in the prefixes, shingles counted by class), and what is left is compared by
+whole sets.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ WORDS, LEAST = 5, (4, 5)
 #: This decides about the order of shingles only, not about what is found.
 ONE_OF, OFTEN, LISTED = 16, 3, 1 << 18
 #: Sets of larger buckets are compared as one group, pairs of the others one by one; shingles of a group's block.
-PAIRED, BLOCK = 16, 1 << 18
+PAIRED, BLOCK = 64, 1 << 18
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -59,14 +61,34 @@ def similar(shared, a, b):
     return (part + whole) * shared >= part * (a + b)
 
 
-def groups(nodes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """Groups of a bucket's nodes in which each two that can be similar by their sizes are together."""
+def classes(own: np.ndarray) -> bytes:
+    """Counts of a set's shingles by their low bits, about two to four a class; more than 255 count as 255."""
+    n = 1 << max(4, (len(own) // 2).bit_length() - 1)
+    return np.minimum(np.bincount(own & (n - 1), minlength=n), 255).astype(np.uint8).tobytes()
+
+
+def possible(a: bytes, b: bytes, sizes: int) -> bool:
+    """Whether sets of these classes, of so many shingles in sum, can be similar: their counts differ by no more than similar sets do."""
+    part, whole = LEAST
+    x, y = (np.frombuffer(c, np.uint8).astype(np.int64) for c in (a, b))
+    n = min(len(x), len(y))
+    if 255 in (x.max(), y.max()):
+        return True
+    return (part + whole) * int(np.abs(x.reshape(-1, n).sum(axis=0) - y.reshape(-1, n).sum(axis=0)).sum()) <= (whole - part) * sizes
+
+
+def groups(nodes: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
+    """Groups of a bucket's nodes in which each two that can be similar by sizes and places are together.
+
+    places: of the bucket's shingle in each set's order. Where similar sets meet first, no more is shared than
+    what follows in either.
+    """
     part, whole = LEAST
     order = np.lexsort((nodes, sizes))
-    nodes, sizes = nodes[order], sizes[order]
+    nodes, sizes, rest = nodes[order], sizes[order], (sizes - places)[order]
     if len(nodes) <= PAIRED:
         a, b = np.triu_indices(len(nodes), 1)
-        fits = whole * sizes[a] >= part * sizes[b]
+        fits = (whole * sizes[a] >= part * sizes[b]) & similar(np.minimum(rest[a], rest[b]), sizes[a], sizes[b])
         return list(np.sort(np.c_[nodes[a], nodes[b]][fits], axis=1))
     cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // BLOCK)) + 1
     blocks, most, least = np.split(nodes, cuts), [s[-1] for s in np.split(sizes, cuts)], [s[0] for s in np.split(sizes, cuts)]
@@ -126,17 +148,23 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def similar_sets(rows: DataFrame) -> DataFrame:
-    """a, b: links among the distinct nodes of rows (node, own, first) that connect all pairs of similar sets."""
+    """a, b: links among the distinct nodes of rows (node, own, first, counts) that connect all pairs of similar sets."""
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             found = {}
-            for nodes, sizes in zip(rows["nodes"], rows["sizes"], strict=True):
-                for g in groups(np.asarray(nodes, np.int64), np.asarray(sizes, np.int64)):
+            for bucket in zip(rows["nodes"], rows["sizes"], rows["places"], strict=True):
+                for g in groups(*(np.asarray(x, np.int64) for x in bucket)):
                     found[xxhash.xxh64_intdigest(g.tobytes()) - (1 << 63)] = g
             ids = np.repeat(np.fromiter(found, np.int64, len(found)), [len(g) for g in found.values()])
             yield pd.DataFrame({"met": ids, "node": np.concatenate(list(found.values())) if found else np.empty(0, np.int64)})
 
+    def sieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            left = [(m, n) for m, n, c, s in zip(rows["met"], rows["nodes"], rows["counts"], rows["sizes"], strict=True) if len(n) != 2 or possible(*c, sum(s))]
+            ids = np.repeat(np.array([m for m, _ in left], np.int64), [len(n) for _, n in left])
+            yield pd.DataFrame({"met": ids, "node": np.concatenate([n for _, n in left]) if left else np.empty(0, np.int64)})
+
     def connect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             found = []
@@ -144,11 +172,15 @@ def similar_sets(rows: DataFrame) -> DataFrame:
                 found += linked(np.asarray(nodes, np.int64), np.split(np.asarray(flat, np.int64), np.cumsum(sizes)[:-1]))
             yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    member = F.struct("node", F.size("own").alias("size"))
-    keyed = rows.select(member.alias("member"), F.explode("first").alias("shingle"))
+    keyed = rows.select("node", F.size("own").alias("size"), F.posexplode("first").alias("place", "shingle"))
+    keyed = keyed.select("shingle", F.struct("node", "size", "place").alias("member"))
     buckets = keyed.groupBy("shingle").agg(F.sort_array(F.collect_set("member")).alias("met")).where(F.size("met") > 1)
-    buckets = buckets.select("met").distinct().select(F.col("met.node").alias("nodes"), F.col("met.size").alias("sizes"))
-    members = written(buckets.mapInPandas(meet, "met long, node long").distinct(), "shingle-groups")
+    buckets = buckets.select(F.col("met.node").alias("nodes"), F.col("met.size").alias("sizes"), F.col("met.place").alias("places"))
+    met = written(buckets.mapInPandas(meet, "met long, node long").distinct(), "shingle-meetings")
+    counts = rows.select("node", "counts", F.size("own").alias("size")).join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    sketched = met.join(counts, "node").groupBy("met").agg(F.collect_list(F.struct("node", "counts", "size")).alias("x"))
+    sketched = sketched.select("met", F.col("x.node").alias("nodes"), F.col("x.counts").alias("counts"), F.col("x.size").alias("sizes"))
+    members = written(sketched.mapInPandas(sieve, "met long, node long"), "shingle-groups")
     sets = rows.select("node", "own").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     joined = members.join(sets, "node").groupBy("met").agg(F.collect_list(F.struct("node", "own")).alias("x"))
     flat = joined.select(F.col("x.node").alias("nodes"), F.flatten("x.own").alias("flat"), F.transform("x.own", F.size).alias("sizes"))
@@ -168,10 +200,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             own = [shingles(t) for t in rows["text"]]
             node = [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in own]
             found = {"doc_id": rows["doc_id"], "text_hash": rows["text_hash"], "node": node, "own": own, "first": [prefix(s, listed, ranks) for s in own]}
+            found["counts"] = [classes(s) for s in own]
             yield pd.DataFrame(found).astype({"doc_id": "Int64", "text_hash": "int64", "node": "int64"})
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    rows = written(texts.mapInPandas(mark, "doc_id long, text_hash long, node long, own array<long>, first array<long>"), "shingles")
+    rows = written(texts.mapInPandas(mark, "doc_id long, text_hash long, node long, own array<long>, first array<long>, counts binary"), "shingles")
     roots = components(similar_sets(rows))
     return rows.select("doc_id", "text_hash", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
