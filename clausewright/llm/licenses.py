@@ -1,8 +1,8 @@
 """License scans by conditional compression.
 
-Lines that speak of licensing make candidate blocks. Each block is compressed alone and with every
-license template as zstandard raw dictionary; templates are ranked by how much they shrink the block,
-and the best are confirmed, or not, by the exact words in which block and template differ.
+In texts that speak of licensing every license template is confirmed, or not, wherever three of its words
+stand in a row, by the exact words in which text and template differ. Each place found is compressed
+alone and with its template as zstandard raw dictionary, which gives how much the template shrinks it.
 """
 
 from __future__ import annotations
@@ -64,14 +64,16 @@ TEMPLATES = {
 TRIGGERS = ("licens", "licence", "permission", "redistribut", "copyright", "creative commons", "public domain")
 #: Lines between two candidate lines that still join them in a block; words a template may differ by, as a share.
 GAP_LINES, LEEWAY = 2, 0.1
-#: Words around a trigger that a block takes of a long line; templates of a block that are compared word by word.
-AROUND, RANKED = 150, 4
+#: Words around a trigger that a block takes of a long line; words in a row by which a template is looked for.
+#: With a share of LEEWAY missing and as many put between, at least so many of ten words or more stay in a row.
+AROUND, ROW = 150, 3
 SCHEMA = (
     "doc_id long, block_start long, block_end long, license string, version string, size_alone int, size_with int, gain double, "
     "template_words int, missing_words int, extra_words int"
 )
 _WORDS = re.compile(r"[^\W\d_]+|\d+")
 _VERSION = re.compile(r"(?:version|\bv\.?|cc(?: by)?(?:-\w\w)*0?)\s*(\d+(?:\.\d+)*)", re.IGNORECASE)
+_TAIL = re.compile(r"(?:[^\w\n]{0,3}\d+(?:\.\d+)*)?[^\w\s]*")
 _TRIGGER = re.compile("|".join(TRIGGERS), re.IGNORECASE)
 
 
@@ -113,34 +115,52 @@ class Scanner:
             for k, w in self.words.items()
         }
 
-    def differences(self, name: str, words: list[str]) -> tuple[int, int]:
-        """(words of the template that the block lacks, words that it puts between)."""
+    def places(self, name: str, words: list[str], at: dict[tuple[str, ...], list[int]]) -> list[tuple[int, int, int, int]]:
+        """(first, last, missing, extra) of the places where words hold the template; at: where each row of ROW words begins."""
         want = self.words[name]
-        same = [m for m in difflib.SequenceMatcher(None, want, words, autojunk=False).get_matching_blocks() if m.size]
-        if not same:
-            return len(want), 0
-        matched = sum(m.size for m in same)
-        return len(want) - matched, same[-1].b + same[-1].size - same[0].b - matched
+        allowed = int(LEEWAY * len(want))
+        row = min(ROW, len(want))
+        starts = {q - p for p in range(len(want) - row + 1) for q in at.get(tuple(want[p : p + row]), ())}
+        found = set()
+        for start in starts:
+            if words[max(start, 0) : start + len(want)] == want:
+                found.add((start, start + len(want) - 1, 0, 0))
+            elif allowed:
+                begin = max(start - allowed, 0)
+                part = words[begin : start + len(want) + allowed]
+                same = [m for m in difflib.SequenceMatcher(None, want, part, autojunk=False).get_matching_blocks() if m.size]
+                matched = sum(m.size for m in same)
+                first, last = begin + same[0].b, begin + same[-1].b + same[-1].size - 1
+                missing, extra = len(want) - matched, last + 1 - first - matched
+                if missing <= allowed and extra <= allowed:
+                    found.add((first, last, missing, extra))
+        return list(found)
 
     def scan(self, text: str) -> list[tuple]:
-        """(start, end, license, version, sizes, gain, words, missing, extra) of each confirmed block."""
+        """(start, end, license, version, sizes, gain, words, missing, extra) of each confirmed place.
+
+        Places inside that of a longer wording are left out: a notice's first sentence inside its full text.
+        """
+        if not blocks(text):
+            return []
+        hits = [m for m in _WORDS.finditer(text) if not m[0][0].isdigit()]
+        words = [m[0].lower() for m in hits]
+        at: dict[tuple[str, ...], list[int]] = {}
+        for q in range(len(words) - ROW + 1):
+            at.setdefault(tuple(words[q : q + ROW]), []).append(q)
+        found = [(len(self.words[name]) - x[2] - x[3], name, x) for name in self.words for x in self.places(name, words, at)]
+        kept: list[tuple] = []
+        for _, name, (first, last, missing, extra) in sorted(found, key=lambda f: (-f[0], f[2][2] + f[2][3], f[1], f[2])):
+            if any(a <= first and last <= b or (name == n and first <= b and a <= last) for a, b, n, *_ in kept):
+                continue
+            kept.append((first, last, name, missing, extra))
         out = []
-        for begin, end in blocks(text):
-            block = text[begin:end]
-            words = plain_words(block)
-            data = " ".join(words).encode()
-            alone = len(self.alone.compress(data))
-            ranked = sorted((len(c.compress(data)), name) for name, c in self.given.items())
-            found = []
-            for size, name in ranked[:RANKED]:
-                missing, extra = self.differences(name, words)
-                allowed = int(LEEWAY * len(self.words[name]))
-                if missing <= allowed and extra <= allowed:
-                    version = _VERSION.search(block)
-                    row = (begin, end, name, version[1] if version else None, alone, size, (alone - size) / alone, len(self.words[name]), missing, extra)
-                    found.append((-len(self.words[name]) + missing + extra, row))
-            if found:  # the longest wording that holds: a notice's full text before its first sentence
-                out.append(min(found)[1])
+        for first, last, name, missing, extra in sorted(kept):
+            begin, end = hits[first].start(), _TAIL.match(text, hits[last].end()).end()
+            data = " ".join(words[first : last + 1]).encode()
+            alone, size = len(self.alone.compress(data)), len(self.given[name].compress(data))
+            version = _VERSION.search(text, begin, end)
+            out.append((begin, end, name, version[1] if version else None, alone, size, (alone - size) / alone, len(self.words[name]), missing, extra))
         return out
 
 
@@ -148,12 +168,12 @@ _SCANNERS: list[Scanner] = []
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """SCHEMA: a row for every block of docs (doc_id, text) that words a known license.
+    """SCHEMA: a row for every place in docs (doc_id, text) that words a known license.
 
-    block_start and block_end are characters of the text. Texts are read whole, however long; null
+    block_start and block_end are characters of the text, around the license's own words. Texts are read whole, however long; null
     and empty ones have no blocks. Repeated rows are scanned each, ids may be null, other columns
-    aren't read, an empty table gives an empty result. Templates that shrink a block equally rank by
-    name. Words of other letters are compared like any; numbers (versions, years) aren't compared.
+    aren't read, an empty table gives an empty result. Of templates that hold a
+    place equally well the first by name counts. Words of other letters are compared like any; numbers (versions, years) aren't compared.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

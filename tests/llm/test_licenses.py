@@ -1,3 +1,4 @@
+import random
 import re
 
 from clausewright.llm.licenses import TEMPLATES, Scanner, blocks, op9_conditional_licenses, scan_licenses
@@ -48,3 +49,35 @@ def test_edge_rows(spark):
     got = sorted(((r.doc_id, r.license) for r in scan_licenses(docs).collect()), key=str)
     assert got == sorted([(None, "MIT"), (3, "MIT"), (4, "CC-BY"), (4, "CC-BY")], key=str)
     assert scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_notices_inside_prose_are_those_of_a_regex():
+    scanner, rng = Scanner(), random.Random(7)
+    prose = [
+        "The committee met under the old roof and spoke of the work that is to be released by spring.",
+        "Any person may use, copy and modify this list of conditions, and the general public may do so too.",
+        "A license to fish is licensed out by the county under the terms of the permission it was granted.",
+        "Copyright notices and the disclaimer appear in all copies of the documentation or other materials.",
+        "By and by the software was distributed, with or without changes, to the public library.",
+    ]
+    short = {k: re.escape(t) for k, t in TEMPLATES.items() if len(t) < 80}
+    short["CC-BY"] = r"Licensed under CC BY 4\.0\."
+    for _ in range(150):
+        names = rng.sample(sorted(short), rng.randint(0, 4))
+        parts = rng.choices(prose, k=6) + [TEMPLATES[n] for n in names]
+        rng.shuffle(parts)
+        text = rng.choice([" ", "\n"]).join(parts)
+        want = sorted((m.start(), m.end(), n) for n, line in short.items() for m in re.finditer(line, text))
+        assert [f[:3] for f in scanner.scan(text)] == want, text
+    for name, text in TEMPLATES.items():
+        assert [f[2] for f in scanner.scan(" ".join([*prose, text, *prose]))] == [name]
+
+
+def test_adjacent_and_dual_notices_are_all_found():
+    scanner = Scanner()
+    both = "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."
+    assert [(f[2], both[f[0] : f[1]]) for f in scanner.scan(both)] == list(zip(["MIT", "Apache"], both.split("\n"), strict=True))
+    listed = "\n".join(TEMPLATES[n] for n in TEMPLATES)
+    assert [f[2] for f in scanner.scan(listed)] == list(TEMPLATES)
+    twice = TEMPLATES["MIT-text"] + " Copyright of others.\n" * 40 + TEMPLATES["MIT-text"]
+    assert [f[2] for f in scanner.scan(twice)] == ["MIT-text"] * 2
