@@ -10,16 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
+#: Tables of this session that ``drop_written`` can still remove, by identity.
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, as the session has it.
 
-    Only where that is unset (tests, a single machine) a folder under /tmp stands in.
+    Only on a single machine (a local master) may it be unset; a folder under /tmp stands in there.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL:
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="clausewright-", dir="/tmp/checkpoints"))
@@ -38,14 +42,18 @@ def written(df: DataFrame, name: str, *, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_written(spark: SparkSession, path: str) -> None:
-    """Delete a table written to the shared folder, by way of Spark's file system."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[id(table)] = (table, path)
+    return table
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and nothing will read again, by way of Spark's file system."""
+    for table in tables:
+        _, path = _PATHS.pop(id(table))
+        spark = table.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def held_out(doc_id) -> F.Column:
