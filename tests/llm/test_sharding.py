@@ -1,7 +1,8 @@
 import zlib
 from collections import Counter, defaultdict
 
-from clausewright.llm.sharding import even_out, latest_map, place, records, shard, slot_map, store_map
+from clausewright.llm import sharding
+from clausewright.llm.sharding import even_out, latest_map, op3_virtual_slots, place, records, shard, slot_map, store_map
 
 
 def gapless(rows):
@@ -44,9 +45,9 @@ def test_rebalancing_moves_only_what_it_must(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows, path = records(docs).cache(), f"file://{tmp_path}/map"
     first = store_map(slot_map(rows, 8), path)
-    old = {(r.slot, r.part): r.shard for r in first.collect()}
+    old = {(r.slot, r.hot_text, r.unit, r.part): r.shard for r in first.collect()}
     second = store_map(slot_map(rows, 9, version=2, before=first), path)
-    new = {(r.slot, r.part): r for r in second.collect()}
+    new = {(r.slot, r.hot_text, r.unit, r.part): r for r in second.collect()}
     assert latest_map(spark, path).first().version == 2
     moved = sum(r.bytes for k, r in new.items() if r.shard != old[k])
     total = sum(r.bytes for r in new.values())
@@ -70,3 +71,45 @@ def test_edge_rows(spark):
     assert sorted((r.doc_id or 0, r.size, r.text_crc32) for r in got) == [(0, 1, 0), (1, 1, 0), (1, 1, 0), (2, 200_001, zlib.crc32(b"x" * 200_000))]
     gapless(got)
     assert shard(docs.limit(0), 16).count() == 0
+
+
+def test_query_has_the_columns_of_its_law(spark):
+    sf = "/root/testdata/sf0.001"
+    got = op3_virtual_slots(spark, sf)
+    kinds = dict(got.dtypes)
+    assert (kinds["size"], kinds["text_crc32"], kinds["slot"], kinds["shard"], kinds["grown_shard"]) == ("bigint", "bigint", "bigint", "int", "int")
+    rows = got.collect()
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {(r.doc_id, r.size, r.text_crc32) for r in rows} == {(i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in docs.items()}
+    assert len(rows) == len(docs) and {(r.law, r.grown_shard) for r in rows} == {("bytes", None)}
+    gapless(rows)
+    where = defaultdict(set)
+    for r in rows:
+        where[docs[r.doc_id]].add(r.shard)
+    assert all(len(x) == 1 for x in where.values())
+
+
+def test_a_stored_map_is_edited_not_doubled(spark, tmp_path):
+    docs, path = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), f"file://{tmp_path}/map"
+    first = {(r.doc_id, r.shard, r.slot) for r in shard(docs, 16, path).collect()}
+    again = shard(docs, 16, path).collect()
+    assert len(again) == docs.count() == len(first) and {(r.doc_id, r.shard, r.slot) for r in again} == first
+    assert latest_map(spark, path).first().version == 2
+    store_map(latest_map(spark, path), path)  # as a run beside this one would
+    third = shard(docs, 17, path).collect()
+    assert len(third) == docs.count() and latest_map(spark, path).first().version == 3
+    gapless(third)
+
+
+def test_only_a_text_over_a_shard_s_even_part_is_torn(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "N_SLOTS", 1)
+    rows = [(i, "hot text " * 30) for i in range(400)] + [(1000 + i, f"group {i % 12} " * 20) for i in range(240)] + [(5000 + i, "middle " * 30) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    together = place(records(docs, 1), slot_map(records(docs, 1), 4)).collect()
+    gapless(together)
+    texts, where, load = dict(rows), defaultdict(set), Counter()
+    for r in together:
+        where[texts[r.doc_id]].add(r.shard)
+        load[r.shard] += r.size
+    assert len(together) == len(rows) and {t for t, x in where.items() if len(x) > 1} == {rows[0][1]}
+    assert max(load.values()) <= 1.3 * min(load.values())
