@@ -113,7 +113,8 @@ def count_tokens(
     """``columns`` of docs with ``n_bytes`` (UTF-8) and ``n_tokens`` of every whole text.
 
     cache_path: a Parquet table of stored counts (CACHE_SCHEMA); it is made where it is missing,
-    and counts that were missing are appended to it. None: a new table in the shared folder.
+    and counts that were missing are appended to it. None: a new table in the shared folder. Runs that
+    share a cache at the same time may store a count twice, which changes no result.
 
     Content is normalised to what the tokenizer sees: null becomes the empty text (0 tokens), else
     nothing is changed, as every byte counts. Equal texts share one digest, are encoded once and
@@ -134,6 +135,8 @@ def count_tokens(
     stored = lambda: (
         spark.read.schema(CACHE_SCHEMA).parquet(path).where(F.col("tokenizer_sha256") == digest).select("content_sha256", "n_tokens")
     )
+    # Runs side by side may append the same count twice: one row a digest is joined.
+    known = lambda: stored().groupBy("content_sha256").agg(F.max("n_tokens").alias("n_tokens"))
     misses = keyed.select("content_sha256", "content")
     if not stored().isEmpty():
         misses = misses.join(stored(), "content_sha256", "left_anti")
@@ -143,7 +146,7 @@ def count_tokens(
         .write.mode("append")
         .parquet(path)
     )
-    counted = keyed.drop("content").join(stored(), "content_sha256")
+    counted = keyed.drop("content").join(known(), "content_sha256")
     return counted.select("row.*", "n_bytes", "n_tokens")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from clausewright.llm import token_counts
-from clausewright.llm.token_counts import count_tokens
+from clausewright.llm.token_counts import count_tokens, op10_token_counts
 
 TEXTS = [
     None, "", "a", " ", "\n\n  x  \n", "Don't we'll  stop?  ", "x" * 5000, "naïve Ñandú größe 123 456!!!",
@@ -53,3 +53,20 @@ def test_other_tokenizers_and_empty_tables(spark, name):
     docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
     assert count_tokens(docs, public_tokenizers.path(name)).first().n_tokens >= 2
     assert count_tokens(docs.limit(0), public_tokenizers.path(name)).count() == 0
+
+
+def test_query_is_the_library_s(spark):
+    sf, tokenizer = "/root/testdata/sf0.001", Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = op10_token_counts(spark, sf).collect()
+    want = {r.doc_id: (len(r.text.encode()), len(tokenizer.encode(r.text, add_special_tokens=False).ids)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in got} == want and len(got) == len(want)
+    assert all(r.over_limit == (r.n_tokens > 512) for r in got) and {r.over_limit for r in got} == {True, False}
+
+
+def test_counts_stored_twice_double_no_row(spark, tmp_path):
+    file, cache = public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/cache"
+    docs = spark.createDataFrame([(i, f"text {i % 3}") for i in range(5)], "doc_id long, text string")
+    first = sorted(r.n_tokens for r in count_tokens(docs, file, cache).collect())
+    stored = spark.createDataFrame(spark.read.parquet(cache).collect(), token_counts.CACHE_SCHEMA)
+    stored.write.mode("append").parquet(cache)
+    assert sorted(r.n_tokens for r in count_tokens(docs, file, cache).collect()) == first and len(first) == 5
