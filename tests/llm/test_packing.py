@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from clausewright.llm.packing import best_fit, pack
+from clausewright.llm.packing import best_fit, op8_best_fit_packing, pack
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -68,3 +68,16 @@ def test_edge_rows(spark):
         ids = tokenizer.encode(texts[i + 1][1], add_special_tokens=False).ids + [1]
         assert [(r.length, r.ids_crc32) for r in got if r.doc_id == i] == [(len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))]
     assert pack(docs.limit(0), FILE).count() == 0
+
+
+def test_query_has_every_piece_once(spark):
+    sf, tokenizer = "/root/testdata/sf0.001", Tokenizer.from_file(FILE)
+    rows = op8_best_fit_packing(spark, sf)
+    kinds = dict(rows.dtypes)
+    assert [kinds[c] for c in ("piece", "start", "length", "ids_crc32", "sequence_id", "offset")] == ["int", "bigint", "bigint", "bigint", "bigint", "bigint"]
+    got, want = rows.collect(), []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        n = len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1
+        want += [(r.doc_id, k, at, min(4096, n - at)) for k, at in enumerate(range(0, n, 4096))]
+    assert sorted((r.doc_id, r.piece, r.start, r.length) for r in got) == sorted(want)
+    whole(got, 4096)
