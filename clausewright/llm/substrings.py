@@ -1,9 +1,10 @@
 """Removal of repeated word windows by level-wise doubling.
 
-Windows of half the length come first. Of these, each window of the next length names the one of
+Short windows come first. Of these, each window of the next length, twice as long, names the one of
 least hash, so that every repeat of the longer window names an equal shorter one; only the named are
-counted over the corpus. Longer windows whose named half occurs once are dropped, the rest go on to
-the next level, until the full length or until none survive.
+counted over the corpus. Longer windows whose named part occurs once are dropped, the rest go on to
+the next level, until the full length or until none survive. The full length is counted by 128-bit
+hashes, as its answers remove words; shorter ones, which only let candidates through, by 64 bits.
 
 Documents are put into chunks of a few megabytes, written once as rows. A chunk sends the distinct
 hashes of a level, sorted and cut into ranges; each range is counted by one group, which answers
@@ -25,14 +26,14 @@ from clausewright.llm.shared import written
 
 WINDOW = 35
 #: Windows of no more words than this aren't halved again.
-BASE = 18
+BASE = 9
 #: Bytes of text in a chunk, about; bytes of text whose hashes one range gets, about.
 CHUNK_BYTES, RANGE_BYTES = 4_000_000, 4_000_000
 #: Bytes whose words are hashed at once.
 BLOCK = 1 << 22
 _SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
-_RANDOM = np.random.default_rng(20).integers(1, 1 << 63, 400, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE, _STEP = _RANDOM[:256], _RANDOM[256:]
+_RANDOM = np.random.default_rng(20).integers(1, 1 << 63, 656, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE, _STEP, _BYTE_2 = _RANDOM[:256], _RANDOM[256:400], _RANDOM[400:]
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -66,23 +67,24 @@ class Words:
         last[:-1] &= space[1:] | self._at(self.bounds[1:] - 1)[:-1]
         self.begin, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.doc = np.searchsorted(self.bounds, self.begin, "right") - 1
-        self.hashes = self._hash()
+        self.hashes = self._hash(0)
 
     def _at(self, places: np.ndarray) -> np.ndarray:
         out = np.zeros(len(self.data), bool)
         out[places[(places >= 0) & (places < len(self.data))]] = True
         return out
 
-    def _hash(self) -> np.ndarray:
-        """64-bit hashes of the words, a block of bytes at a time."""
+    def _hash(self, other: int) -> np.ndarray:
+        """64-bit hashes of the words, a block of bytes at a time; other: which of two independent functions."""
+        letters, step = (_BYTE, _STEP[0]) if not other else (_BYTE_2, _STEP[121])
         out, lo = [], 0
         while lo < len(self.begin):
             hi = max(lo + 1, int(np.searchsorted(self.end, self.begin[lo] + BLOCK, "right")))
             begin, sizes = self.begin[lo:hi], self.end[lo:hi] - self.begin[lo:hi]
             starts = np.cumsum(sizes) - sizes
             place = np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
-            powers = np.cumprod(np.full(int(sizes.max()), _STEP[0]))
-            out.append(np.add.reduceat(_BYTE[self.data[np.repeat(begin, sizes) + place]] * powers[place], starts))
+            powers = np.cumprod(np.full(int(sizes.max()), step))
+            out.append(np.add.reduceat(letters[self.data[np.repeat(begin, sizes) + place]] * powers[place], starts))
             lo = hi
         return _mix(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
@@ -94,9 +96,9 @@ class Words:
         n = max(0, len(self) - length + 1)
         return self.doc[:n] == self.doc[length - 1 :] if n else np.zeros(0, bool)
 
-    def windows(self, length: int) -> np.ndarray:
-        """Hashes of the windows of this length."""
-        h, size, turn = self.hashes, 1, 0
+    def windows(self, length: int, other: int = 0) -> np.ndarray:
+        """Hashes of the windows of this length, by one or the other function."""
+        h, size, turn = self._hash(1) if other else self.hashes, 1, 45 * other
         while 2 * size <= length:
             h = _mix(h[:-size] * _STEP[turn] + h[size:]) if len(h) > size else h[:0]
             size, turn = 2 * size, turn + 1
@@ -118,12 +120,26 @@ def _sliding(x: np.ndarray, span: int, choose) -> np.ndarray:
     return x
 
 
+def _distinct(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct rows sorted, each row's number among them, counts) of hashes of one or, in two halves, two words."""
+    if not len(high):
+        rows, inverse, counts = np.unique(low, return_inverse=True, return_counts=True)
+        return rows[:, None], inverse, counts
+    order = np.lexsort((high, low))
+    rows = np.stack([low[order], high[order]], axis=1)
+    new = np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)] if len(rows) else np.zeros(0, bool)
+    inverse = np.empty(len(rows), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return rows[new], inverse, np.bincount(inverse, minlength=int(new.sum()))
+
+
 def survivors(words: Words, lengths: list[int], answers: list[np.ndarray]):
     """What a chunk knows after the levels answered so far.
 
-    The next level's (distinct hashes sorted, whether each is repeated in the chunk), or, once all
-    levels are answered, the first words of the repeated windows of full length. answers: a bit for
-    each hash sent at a level.
+    The next level's (distinct hashes sorted, a row of one or two words each, whether each is repeated
+    in the chunk), or, once all levels are answered, the first words of the repeated windows of full
+    length. answers: a bit for each hash sent at a level. Hashes are mixed once more before they are
+    sent: those named are least ones, which would crowd in the lowest ranges.
     """
     alive = words.whole(lengths[0])
     for k, length in enumerate(lengths):
@@ -135,7 +151,8 @@ def survivors(words: Words, lengths: list[int], answers: list[np.ndarray]):
             padded = np.concatenate([np.zeros(span - 1, np.uint64), np.where(longer, least, np.uint64(0)), np.zeros(span - 1, np.uint64)])
             sent = alive & (_sliding(padded, span, np.maximum) == h) if len(least) else np.zeros(len(h), bool)
         places = np.flatnonzero(sent)
-        distinct, inverse, counts = np.unique(h[places], return_inverse=True, return_counts=True)
+        spread = _mix(h[places] * _STEP[120])
+        distinct, inverse, counts = _distinct(spread, words.windows(length, 1)[places] if last else spread[:0])
         if k == len(answers):
             return distinct, counts > 1
         kept = places[answers[k][inverse]]
@@ -192,7 +209,7 @@ def _count(chunks: DataFrame, lengths: list[int], done: int, shift: int) -> Data
             for row in rows.to_pylist():
                 found = survivors(Words(_open_text(row)), lengths, _answers(row, done))
                 distinct, several = found
-                ranges = (distinct >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(distinct), np.int64)
+                ranges = (distinct[:, 0] >> np.uint64(shift)).astype(np.int64)
                 cuts = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1], True]) if len(distinct) else np.zeros(1, int)
                 pairs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
                 yield pa.RecordBatch.from_arrays(
@@ -205,10 +222,13 @@ def _count(chunks: DataFrame, lengths: list[int], done: int, shift: int) -> Data
                     ["range", "chunk", "hashes", "several"],
                 )
 
+    wide = 2 if done + 1 == len(lengths) else 1
+
     def count(table: pa.Table) -> pa.Table:
-        own = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
+        own = [np.frombuffer(x, np.uint64).reshape(-1, wide) for x in table["hashes"].to_pylist()]
         more = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(o)) for x, o in zip(table["several"].to_pylist(), own, strict=True)]
-        _, inverse = np.unique(np.concatenate(own), return_inverse=True)
+        every = np.concatenate(own)
+        _, inverse, _ = _distinct(every[:, 0], every[:, 1] if wide == 2 else every[:0, 0])
         alive = np.bincount(inverse, weights=1.0 + np.concatenate(more))[inverse] > 1
         parts = np.split(alive, np.cumsum([len(o) for o in own])[:-1])
         return pa.table(
@@ -217,12 +237,13 @@ def _count(chunks: DataFrame, lengths: list[int], done: int, shift: int) -> Data
                 "chunk": table["chunk"],
                 "bits": pa.array([np.packbits(p).tobytes() for p in parts], pa.binary()),
                 "n": pa.array([len(p) for p in parts], pa.int32()),
+                "alive": pa.array([bool(p.any()) for p in parts], pa.bool_()),
             }
         )
 
     sent = chunks.mapInArrow(send, "range long, chunk long, hashes binary, several binary")
-    counted = sent.groupBy("range").applyInArrow(count, "range long, chunk long, bits binary, n int")
-    return counted.groupBy("chunk").agg(F.collect_list(F.struct("range", "bits", "n")).alias(f"answers{done}"))
+    counted = sent.groupBy("range").applyInArrow(count, "range long, chunk long, bits binary, n int, alive boolean")
+    return counted.groupBy("chunk").agg(F.collect_list(F.struct("range", "bits", "n", "alive")).alias(f"answers{done}"))
 
 
 def _open_text(row: dict) -> pa.Array:
@@ -257,18 +278,21 @@ def _results(docs: DataFrame, window: int, make, schema) -> DataFrame:
     chunks = written(_chunks(docs), "chunks")
     total = chunks.agg(F.sum("bytes")).first()[0] or 0
     shift = 64 - max(2, int(np.ceil(np.log2(max(1, total) / RANGE_BYTES + 1))))
-    answered = chunks.select("chunk", "batch")
+    answered, repeats = chunks.select("chunk", "batch"), True
     for k in range(len(lengths)):
         answers = written(_count(answered, lengths, k, shift), "answers")
         # Answers grow with the input: they are merged with the chunks at every size, never broadcast.
         answered = answered.join(answers.hint("merge"), "chunk", "left")
+        repeats = not answers.where(F.exists(F.col(f"answers{k}"), lambda a: a["alive"])).isEmpty()
+        if not repeats:  # no candidate survives
+            break
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for row in rows.to_pylist():
                 batch = _open(pa.scalar(row["batch"], pa.binary()))
                 words = Words(batch["text"])
-                repeated = survivors(words, lengths, _answers(row, len(lengths)))
+                repeated = survivors(words, lengths, _answers(row, len(lengths))) if repeats else np.zeros(0, np.int64)
                 yield make(batch, *_rewritten(words, repeated, window))
 
     return answered.mapInArrow(finish, schema)
@@ -278,7 +302,7 @@ def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of docs (doc_id, text).
 
     Each word in a window of ``window`` words whose sequence also starts anywhere else is removed;
-    windows are judged on the texts as given, with 64-bit hashes of their words. Null and empty texts
+    windows are judged on the texts as given, with 128-bit hashes of their words. Null and empty texts
     have no words. Repeated rows are repeats of each other. Texts are read whole, however long; null
     ids are kept. An empty table gives an empty result; other columns aren't read.
     """

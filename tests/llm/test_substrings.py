@@ -20,7 +20,7 @@ def plain(texts, window):
 
 
 def test_levels_double():
-    assert levels(35) == [18, 35] and levels(5) == [5] and levels(100) == [13, 25, 50, 100]
+    assert levels(35) == [9, 18, 35] and levels(5) == [5] and levels(100) == [7, 13, 25, 50, 100]
 
 
 def test_query_is_brute_force(spark):
@@ -59,3 +59,21 @@ def test_edge_rows(spark):
     assert removal_digests(docs.limit(0)).count() == 0
     same = spark.createDataFrame([(1, " ".join(base))] * 2, "doc_id long, text string")
     assert [r.n_removed for r in removal_digests(same).collect()] == [40, 40]
+
+
+def test_levels_end_where_no_candidate_survives(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in removal_digests(docs).collect()} == {(i, *w[:3]) for i, w in enumerate(plain(texts, 35))}
+
+
+def test_sent_hashes_fill_all_ranges_and_two_hashes_tell_apart():
+    import numpy as np
+    import pyarrow as pa
+
+    words = substrings.Words(pa.array([" ".join(f"v{i * 7919 % 10007}" for i in range(20_000))], pa.string()))
+    sent, _ = substrings.survivors(words, levels(35), [])
+    shares = np.bincount((sent[:, 0] >> np.uint64(60)).astype(int), minlength=16) / len(sent)
+    assert shares.max() < 0.09 and shares.min() > 0.04
+    rows, inverse, counts = substrings._distinct(np.array([5, 5, 5, 2], np.uint64), np.array([1, 2, 1, 1], np.uint64))
+    assert rows.tolist() == [[2, 1], [5, 1], [5, 2]] and inverse.tolist() == [1, 2, 1, 0] and counts.tolist() == [1, 2, 1]
