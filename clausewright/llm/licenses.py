@@ -1,8 +1,9 @@
 """License scans by conditional compression.
 
-In texts that speak of licensing every license template is confirmed, or not, wherever three of its words
-stand in a row, by the exact words in which text and template differ. Each place found is compressed
-alone and with its template as zstandard raw dictionary, which gives how much the template shrinks it.
+In texts that speak of licensing, a block of words is a candidate wherever three words of a template
+stand in a row. A block is compressed alone and with each of its templates as zstandard raw dictionary.
+Templates that shrink it are ranked by how much, and each is confirmed, or not, by the exact words in
+which text and template differ.
 """
 
 from __future__ import annotations
@@ -38,13 +39,33 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
         "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
+    "AGPL": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
     "LGPL": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "BSD-text": (
+    "LGPL-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "GFDL": (
+        "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 "
+        "or any later version published by the Free Software Foundation."
+    ),
+    "BSD-2-text": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
         "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
         "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
         "documentation and/or other materials provided with the distribution."
     ),
+    "BSD-3-text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    ),
     "ISC-text": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
         "the above copyright notice and this permission notice appear in all copies."
@@ -53,15 +74,39 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
         "file, You can obtain one at http://mozilla.org/MPL/2.0/."
     ),
+    "EPL": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    "Boost": "Distributed under the Boost Software License, Version 1.0.",
+    "zlib-text": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely"
+    ),
     "CC-BY": "Licensed under CC BY 4.0.",
     "CC-BY-SA": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC": "Licensed under CC BY-NC 4.0.",
     "CC-BY-ND": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-long": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-long": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
     "CC0": "Licensed under CC0 1.0 Universal.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 #: What a line must speak of to be a candidate.
 TRIGGERS = ("licens", "licence", "permission", "redistribut", "copyright", "creative commons", "public domain")
+#: Words that tell one license from another or turn a statement round. Text and template never differ by one.
+DECISIVE = frozenset(
+    "affero lesser documentation sa nc nd sharealike noncommercial noderivatives noderivs zero not never no nor neither isn wasn aren".split()
+)
+#: Words that, just before a notice in its sentence, deny it.
+DENIALS = frozenset("not never no nor neither isn wasn aren".split())
 #: Lines between two candidate lines that still join them in a block; words a template may differ by, as a share.
 GAP_LINES, LEEWAY = 2, 0.1
 #: Words around a trigger that a block takes of a long line; words in a row by which a template is looked for.
@@ -74,6 +119,7 @@ SCHEMA = (
 _WORDS = re.compile(r"[^\W\d_]+|\d+")
 _VERSION = re.compile(r"(?:version|\bv\.?|cc(?: by)?(?:-\w\w)*0?)\s*(\d+(?:\.\d+)*)", re.IGNORECASE)
 _TAIL = re.compile(r"(?:[^\w\n]{0,3}\d+(?:\.\d+)*)?[^\w\s]*")
+_STOP = re.compile(r"[.!?;:\n](?!\d)|\d")
 _TRIGGER = re.compile("|".join(TRIGGERS), re.IGNORECASE)
 
 
@@ -115,25 +161,52 @@ class Scanner:
             for k, w in self.words.items()
         }
 
-    def places(self, name: str, words: list[str], at: dict[tuple[str, ...], list[int]]) -> list[tuple[int, int, int, int]]:
-        """(first, last, missing, extra) of the places where words hold the template; at: where each row of ROW words begins."""
+    def confirmed(self, name: str, part: list[str]) -> tuple[int, int, int, int] | None:
+        """(first, last, missing, extra) of the template's words in part, None if they differ by too much or by a decisive word."""
         want = self.words[name]
         allowed = int(LEEWAY * len(want))
-        row = min(ROW, len(want))
-        starts = {q - p for p in range(len(want) - row + 1) for q in at.get(tuple(want[p : p + row]), ())}
+        same = [m for m in difflib.SequenceMatcher(None, want, part, autojunk=False).get_matching_blocks() if m.size]
+        if not same:
+            return None
+        first, last = same[0].b, same[-1].b + same[-1].size - 1
+        in_want = {i for m in same for i in range(m.a, m.a + m.size)}
+        in_part = {i for m in same for i in range(m.b, m.b + m.size)}
+        missing = [w for i, w in enumerate(want) if i not in in_want]
+        extra = [w for i, w in enumerate(part[first : last + 1], first) if i not in in_part]
+        if max(len(missing), len(extra)) > allowed or DECISIVE.intersection(missing) or DECISIVE.intersection(extra):
+            return None
+        return first, last, len(missing), len(extra)
+
+    def candidates(self, words: list[str]) -> dict[tuple[int, int], set[str]]:
+        """(begin, end) of blocks of words and the templates to try there: three of their words stand in a row."""
+        at: dict[tuple[str, ...], list[int]] = {}
+        for q in range(len(words) - ROW + 1):
+            at.setdefault(tuple(words[q : q + ROW]), []).append(q)
+        out: dict[tuple[int, int], set[str]] = {}
+        for name, want in self.words.items():
+            allowed, row = int(LEEWAY * len(want)), min(ROW, len(want))
+            for start in {q - p for p in range(len(want) - row + 1) for q in at.get(tuple(want[p : p + row]), ())}:
+                span = (max(start - allowed, 0), min(start + len(want) + allowed, len(words)))
+                out.setdefault(span, set()).add(name)
+        return out
+
+    def ranked(self, part: tuple[str, ...], names: set[str]) -> list[tuple[float, str, int, int]]:
+        """(gain, template, size alone, size with it) of the templates that shrink a block, best first."""
+        data = " ".join(part).encode()
+        alone = len(self.alone.compress(data))
+        sizes = [(name, len(self.given[name].compress(data))) for name in names]
+        return sorted((((alone - n) / alone, name, alone, n) for name, n in sizes if n < alone), key=lambda x: (-x[0], x[1]))
+
+    def places(self, words: list[str]) -> list[tuple]:
+        """(name, first, last, missing, extra, size alone, size with, gain) of confirmed places; equal blocks are judged once."""
+        known: dict[tuple, list[tuple]] = {}
         found = set()
-        for start in starts:
-            if words[max(start, 0) : start + len(want)] == want:
-                found.add((start, start + len(want) - 1, 0, 0))
-            elif allowed:
-                begin = max(start - allowed, 0)
-                part = words[begin : start + len(want) + allowed]
-                same = [m for m in difflib.SequenceMatcher(None, want, part, autojunk=False).get_matching_blocks() if m.size]
-                matched = sum(m.size for m in same)
-                first, last = begin + same[0].b, begin + same[-1].b + same[-1].size - 1
-                missing, extra = len(want) - matched, last + 1 - first - matched
-                if missing <= allowed and extra <= allowed:
-                    found.add((first, last, missing, extra))
+        for (begin, end), names in self.candidates(words).items():
+            key = (tuple(words[begin:end]), frozenset(names))
+            if key not in known:
+                known[key] = [(n, x, a, b, g) for g, n, a, b in self.ranked(key[0], names) if (x := self.confirmed(n, list(key[0])))]
+            for name, (first, last, missing, extra), alone, size, gain in known[key]:
+                found.add((name, begin + first, begin + last, missing, extra, alone, size, gain))
         return list(found)
 
     def scan(self, text: str) -> list[tuple]:
@@ -145,24 +218,29 @@ class Scanner:
             return []
         hits = [m for m in _WORDS.finditer(text) if not m[0][0].isdigit()]
         words = [m[0].lower() for m in hits]
-        at: dict[tuple[str, ...], list[int]] = {}
-        for q in range(len(words) - ROW + 1):
-            at.setdefault(tuple(words[q : q + ROW]), []).append(q)
-        found = [(len(self.words[name]) - x[2] - x[3], name, x) for name in self.words for x in self.places(name, words, at)]
         kept: list[tuple] = []
-        for _, name, (first, last, missing, extra) in sorted(found, key=lambda f: (-f[0], f[2][2] + f[2][3], f[1], f[2])):
-            if any(a <= first and last <= b or (name == n and first <= b and a <= last) for a, b, n, *_ in kept):
+        # The longest confirmed wording first, then the fewest differences, then what its template shrinks most.
+        order = lambda f: (f[3] + f[4] - len(self.words[f[0]]), f[3] + f[4], -f[7], f)
+        for name, first, last, missing, extra, alone, size, gain in sorted(self.places(words), key=order):
+            if any(a <= first and last <= b or (name == n and first <= b and a <= last) for n, a, b, *_ in kept):
                 continue
-            kept.append((first, last, name, missing, extra))
+            if not self._spoilt(text, hits, words, first, last):
+                kept.append((name, first, last, missing, extra, alone, size, gain))
         out = []
-        for first, last, name, missing, extra in sorted(kept):
+        for name, first, last, missing, extra, alone, size, gain in sorted(kept, key=lambda f: f[1:3]):
             begin, end = hits[first].start(), _TAIL.match(text, hits[last].end()).end()
-            data = " ".join(words[first : last + 1]).encode()
-            alone, size = len(self.alone.compress(data)), len(self.given[name].compress(data))
             version = _VERSION.search(text, begin, end)
-            out.append((begin, end, name, version[1] if version else None, alone, size, (alone - size) / alone, len(self.words[name]), missing, extra))
+            out.append((begin, end, name, version[1] if version else None, alone, size, gain, len(self.words[name]), missing, extra))
         return out
 
+    @staticmethod
+    def _spoilt(text: str, hits: list[re.Match], words: list[str], first: int, last: int) -> bool:
+        """Whether the words around a place make it another license or deny it: BY-NC before -SA, ``not`` before a notice."""
+        if last + 1 < len(words) and words[last + 1] in DECISIVE - DENIALS and not _STOP.search(text, hits[last].end(), hits[last + 1].start()):
+            return True
+        before = range(max(first - 2, 0), first)
+        return any(words[i] in DENIALS and not _STOP.search(text, hits[i].end(), hits[first].start()) for i in before)
+
 
 _SCANNERS: list[Scanner] = []
 
@@ -171,7 +249,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """SCHEMA: a row for every place in docs (doc_id, text) that words a known license.
 
     block_start and block_end are characters of the text, around the license's own words. Texts are read whole, however long; null
-    and empty ones have no blocks. Repeated rows are scanned each, ids may be null, other columns
+    and empty ones have no blocks. A notice that a decisive word changes (Affero, Lesser, SA, NC, ND), or that "not" denies, is no place of
+    the plainer license. size_alone, size_with and gain are of the candidate block. Repeated rows are scanned each, ids may be null, other columns
     aren't read, an empty table gives an empty result. Of templates that hold a
     place equally well the first by name counts. Words of other letters are compared like any; numbers (versions, years) aren't compared.
     """
