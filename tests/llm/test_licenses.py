@@ -98,27 +98,17 @@ def test_decisive_words_are_never_let_through():
     assert names(TEMPLATES["BSD-3-text"]) == ["BSD-3-text"] and names(TEMPLATES["BSD-2-text"]) == ["BSD-2-text"]
 
 
-def test_places_are_those_of_every_window_compared():
-    import difflib
-
+def test_few_edits_are_let_through_decisive_ones_are_not():
     from clausewright.llm import licenses
 
     scanner, rng = Scanner(), random.Random(11)
     for name, want in scanner.words.items():
         for _ in range(12):
-            words, allowed = list(want), int(licenses.LEEWAY * len(want))
-            for _ in range(rng.randint(0, 2 * allowed + 1)):
-                at = rng.randrange(len(words))
-                words[at : at + 1] = rng.choice([[], ["zebra"], [words[at], "not"], [words[at], "quick"], [rng.choice(want)]])
-                words = words or ["zebra"]
-            text = ["old", "prose", *words, "more", "prose"]
-            whole = max(
-                (scanner.confirmed(name, text[i : i + len(want) + 2 * allowed]) or (0, -1, 0, 0) for i in range(len(text))),
-                key=lambda x: x[1] - x[0] - x[2] - x[3],
-            )
-            got = [f for f in scanner.places(text) if f[0] == name]
-            assert bool(got) == (whole[1] >= whole[0]), (name, text)
-            assert all(f[7] > 0 for f in got)
-            match = difflib.SequenceMatcher(None, want, words, autojunk=False)
-            if sum(m.size for m in match.get_matching_blocks()) == len(want) == len(words):
-                assert (0, 0) in {f[3:5] for f in got}
+            words, edits = list(want), rng.randint(0, int(licenses.LEEWAY * len(want)) // 2)
+            for _ in range(edits):
+                at = rng.choice([i for i in range(1, len(words) - 1) if words[i] not in licenses.DECISIVE])
+                words[at : at + 1] = rng.choice([[], ["zebra"], [words[at], "quick"]])
+            got = [f for f in scanner.places(["old", "prose", *words, "more", "prose"]) if f[0] == name]
+            assert got and min(max(f[3:5]) for f in got) <= edits and all(f[7] > 0 for f in got), (name, words)
+        middle = len(want) // 2
+        assert not [f for f in scanner.places(["old", *want[:middle], "not", *want[middle:], "prose"]) if f[0] == name]
