@@ -1,11 +1,14 @@
-"""Near duplicates by exact Jaccard similarity of shingle sets: a prefix-filtered self-join.
-
-All sets are sorted by one order of the shingles. Two sets of similarity s share at least s times the
-larger one's shingles, so that a shingle is common to their first n - ceil(s n) + 1 ones: sets that meet
-in no prefix needn't be compared, and no pair is missed, whatever the order. Frequent shingles come last,
-which keeps common lines and passages out of the prefixes. What meets is first held to two bounds that no
-similar pair exceeds (places in the prefixes, shingles counted by class), and what is left is compared by
-whole sets.
+"""Near duplicates by shingle sets: covering SimHash first, an exact join for what lies beyond its radius.
+
+Operator 5 (``simhash``) gives candidates: fingerprints within its radius. Their whole shingle sets are
+compared, and what is similar is linked. Pairs of similarity 0.8 often differ in more bits than any number
+of tables could cover (about 10 of 64), so a prefix-filtered self-join adds the rest: all sets are sorted
+by one order of the shingles; two sets of similarity s share at least s times the larger one's shingles, so
+that a shingle is common to their first n - ceil(s n) + 1 ones. Sets that meet in no prefix needn't be
+compared, and no pair is missed, whatever the order. Frequent shingles come last, which keeps common lines
+and passages out of the prefixes, and sets that SimHash has linked already aren't compared again, which
+spares the large groups of near copies. What meets is first held to two bounds that no similar pair exceeds
+(places in the prefixes, shingles counted by class), and what is left is compared by whole sets.
 """
 
 from __future__ import annotations
@@ -16,32 +19,26 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clausewright.llm.shared import written
-from clausewright.llm.simhash import SEED, components, first_of_each
+from clausewright.llm.shared import drop_written, written
+from clausewright.llm.simhash import SEED, components, crowds_split, links, majority, shingle_hashes
 
 #: Shingles' words; the least similarity as a fraction of whole numbers.
 WORDS, LEAST = 5, (4, 5)
 #: One text of so many, by its digest, tells which shingles are frequent, from so often on, and at most so many.
 #: This decides about the order of shingles only, not about what is found.
 ONE_OF, OFTEN, LISTED = 16, 3, 1 << 18
-#: Sets of larger buckets are compared as one group, pairs of the others one by one; shingles of a group's block.
+#: Sets of larger buckets are compared as groups, pairs of the others one by one; shingles of a group's block.
 PAIRED, BLOCK = 64, 1 << 18
+#: Members of a bucket beyond which it is split; sets that one fingerprint's neighbours are compared with at once.
+CROWD, AROUND = 8_192, 256
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The distinct shingles of a whole text as sorted XXH64 values (signed); a shorter text is one shingle."""
-    tokens = (text or "").encode().lower().split()
-    if not tokens:
-        return np.empty(0, np.int64)
-    joined = b" ".join(tokens)
-    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    starts = np.r_[0, np.cumsum(sizes + 1)[:-1]]
-    k = min(words, len(tokens))
-    begin, end = starts[: len(tokens) - k + 1].tolist(), (starts + sizes)[k - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[b:e], SEED) for b, e in zip(begin, end, strict=True)], np.uint64).view(np.int64))
+    return np.unique(shingle_hashes(text, words).view(np.int64))
 
 
 def prefix(own: np.ndarray, listed: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -77,32 +74,39 @@ def possible(a: bytes, b: bytes, sizes: int) -> bool:
     return (part + whole) * int(np.abs(x.reshape(-1, n).sum(axis=0) - y.reshape(-1, n).sum(axis=0)).sum()) <= (whole - part) * sizes
 
 
-def groups(nodes: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
+def groups(nodes: np.ndarray, sizes: np.ndarray, places: np.ndarray, known: np.ndarray) -> list[np.ndarray]:
     """Groups of a bucket's nodes in which each two that can be similar by sizes and places are together.
 
     places: of the bucket's shingle in each set's order. Where similar sets meet first, no more is shared than
-    what follows in either.
+    what follows in either. known: nodes of equal numbers are linked already and needn't be together.
     """
     part, whole = LEAST
     order = np.lexsort((nodes, sizes))
-    nodes, sizes, rest = nodes[order], sizes[order], (sizes - places)[order]
+    nodes, sizes, rest, known = nodes[order], sizes[order], (sizes - places)[order], known[order]
     if len(nodes) <= PAIRED:
         a, b = np.triu_indices(len(nodes), 1)
-        fits = (whole * sizes[a] >= part * sizes[b]) & similar(np.minimum(rest[a], rest[b]), sizes[a], sizes[b])
+        fits = (known[a] != known[b]) & (whole * sizes[a] >= part * sizes[b]) & similar(np.minimum(rest[a], rest[b]), sizes[a], sizes[b])
         return list(np.sort(np.c_[nodes[a], nodes[b]][fits], axis=1))
-    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // BLOCK)) + 1
-    blocks, most, least = np.split(nodes, cuts), [s[-1] for s in np.split(sizes, cuts)], [s[0] for s in np.split(sizes, cuts)]
+    values, counts = np.unique(known, return_counts=True)
+    if len(values) == 1:
+        return []
+    largest = known == values[np.argmax(counts)]
+    blocks = []  # (nodes, least size, most, whether all are of the largest group)
+    for own in (largest, ~largest):
+        at = np.flatnonzero(own)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes[at]) // BLOCK)) + 1
+        blocks += [(nodes[i], sizes[i[0]], sizes[i[-1]], own is largest) for i in np.split(at, cuts) if len(i)]
     out = []
-    for i in range(len(blocks)):
-        near = [j for j in range(i + 1, len(blocks)) if whole * most[i] >= part * least[j]]
-        out += [np.r_[blocks[i], blocks[j]] for j in near] or [blocks[i]]
+    for i, (x, low_x, high_x, of_largest) in enumerate(blocks):
+        near = [y for y, low_y, high_y, also in blocks[i + 1 :] if not (of_largest and also) and whole * high_x >= part * low_y and whole * high_y >= part * low_x]
+        out += [np.r_[x, y] for y in near] or ([] if of_largest else [x])
     return [np.sort(g) for g in out]
 
 
 def linked(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """(node, its group's first) for distinct nodes in groups that pairs of similar sets connect.
 
-    As ``simhash.linked``: each member of a group is compared once with all that are not yet reached.
+    Each member of a group is compared once with all that are not yet reached.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     rest = np.flatnonzero(sizes)
@@ -147,17 +151,11 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found["shingle"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
 
 
-def similar_sets(rows: DataFrame) -> DataFrame:
-    """a, b: links among the distinct nodes of rows (node, own, first, counts) that connect all pairs of similar sets."""
+def confirmed(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """a, b: links that connect all similar sets among the nodes of each group of members (met, node).
 
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            found = {}
-            for bucket in zip(rows["nodes"], rows["sizes"], rows["places"], strict=True):
-                for g in groups(*(np.asarray(x, np.int64) for x in bucket)):
-                    found[xxhash.xxh64_intdigest(g.tobytes()) - (1 << 63)] = g
-            ids = np.repeat(np.fromiter(found, np.int64, len(found)), [len(g) for g in found.values()])
-            yield pd.DataFrame({"met": ids, "node": np.concatenate(list(found.values())) if found else np.empty(0, np.int64)})
+    sets: node, own, counts, one row a node. Pairs that ``possible`` rules out never have their sets fetched.
+    """
 
     def sieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -172,19 +170,55 @@ def similar_sets(rows: DataFrame) -> DataFrame:
                 found += linked(np.asarray(nodes, np.int64), np.split(np.asarray(flat, np.int64), np.cumsum(sizes)[:-1]))
             yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    keyed = rows.select("node", F.size("own").alias("size"), F.posexplode("first").alias("place", "shingle"))
-    keyed = keyed.select("shingle", F.struct("node", "size", "place").alias("member"))
-    buckets = keyed.groupBy("shingle").agg(F.sort_array(F.collect_set("member")).alias("met")).where(F.size("met") > 1)
-    buckets = buckets.select(F.col("met.node").alias("nodes"), F.col("met.size").alias("sizes"), F.col("met.place").alias("places"))
-    met = written(buckets.mapInPandas(meet, "met long, node long").distinct(), "shingle-meetings")
-    counts = rows.select("node", "counts", F.size("own").alias("size")).join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    sketched = met.join(counts, "node").groupBy("met").agg(F.collect_list(F.struct("node", "counts", "size")).alias("x"))
+    sketched = members.join(sets.select("node", "counts", F.size("own").alias("size")), "node").groupBy("met").agg(F.collect_list(F.struct("node", "counts", "size")).alias("x"))
     sketched = sketched.select("met", F.col("x.node").alias("nodes"), F.col("x.counts").alias("counts"), F.col("x.size").alias("sizes"))
-    members = written(sketched.mapInPandas(sieve, "met long, node long"), "shingle-groups")
-    sets = rows.select("node", "own").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    joined = members.join(sets, "node").groupBy("met").agg(F.collect_list(F.struct("node", "own")).alias("x"))
+    left = written(sketched.mapInPandas(sieve, "met long, node long"), "shingle-groups")
+    joined = left.join(sets.select("node", "own"), "node").groupBy("met").agg(F.collect_list(F.struct("node", "own")).alias("x"))
     flat = joined.select(F.col("x.node").alias("nodes"), F.flatten("x.own").alias("flat"), F.transform("x.own", F.size).alias("sizes"))
-    return flat.mapInPandas(connect, "a long, b long")
+    found = written(flat.mapInPandas(connect, "a long, b long"), "shingle-links")
+    drop_written(left)
+    return found
+
+
+def near_by_fingerprint(sets: DataFrame) -> DataFrame:
+    """met, node: groups of a node and others whose SimHash fingerprints are equal or within the radius (candidates).
+
+    sets: node, print. A group holds about AROUND nodes, however many lie around one.
+    """
+    first = written(sets.groupBy("print").agg(F.min("node").alias("b")), "fingerprint-nodes")
+    pairs = sets.join(first, "print").where("node <> b").select(F.col("node").alias("a"), "b")
+    ends = links(first.select("print")).select(F.col("a").alias("print"), F.col("b").alias("other"))
+    ends = ends.join(first.select("print", F.col("b").alias("a")), "print").select("a", F.col("other").alias("print")).join(first, "print").select("a", "b")
+    pairs = written(pairs.union(ends), "fingerprint-pairs")
+    deals = pairs.groupBy("b").agg(F.ceil(F.count("*") / AROUND).alias("deals"))
+    met = F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("deals")))
+    dealt = pairs.join(deals, "b").select(met.alias("met"), "a", "b")
+    out = written(dealt.select("met", F.explode(F.array("a", "b")).alias("node")).distinct(), "fingerprint-groups")
+    drop_written(pairs, first)
+    return out
+
+
+def near_by_prefix(sets: DataFrame) -> DataFrame:
+    """met, node: groups in which each two similar sets that aren't known to be linked are together.
+
+    sets: node, own, first, known.
+    """
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = {}
+            for bucket in zip(rows["nodes"], rows["sizes"], rows["places"], rows["known"], strict=True):
+                for g in groups(*(np.asarray(x, np.int64) for x in bucket)):
+                    found[xxhash.xxh64_intdigest(g.tobytes()) - (1 << 63)] = g
+            ids = np.repeat(np.fromiter(found, np.int64, len(found)), [len(g) for g in found.values()])
+            yield pd.DataFrame({"met": ids, "node": np.concatenate(list(found.values())) if found else np.empty(0, np.int64)})
+
+    keyed = sets.select("node", F.size("own").alias("size"), "known", F.posexplode("first").alias("place", "shingle"))
+    member = F.struct("node", "size", "place", "known")
+    buckets = crowds_split(keyed, "shingle", "node", CROWD).groupBy("shingle", "block").agg(F.collect_list(member).alias("met"))
+    buckets = buckets.where((F.size("met") > 1) & (F.size(F.array_distinct("met.known")) > 1))
+    buckets = buckets.select(F.col("met.node").alias("nodes"), F.col("met.size").alias("sizes"), F.col("met.place").alias("places"), F.col("met.known").alias("known"))
+    return written(buckets.mapInPandas(meet, "met long, node long").distinct(), "shingle-meetings")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -197,21 +231,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            own = [shingles(t) for t in rows["text"]]
+            hashes = [shingle_hashes(t, WORDS) for t in rows["text"]]
+            own = [np.unique(h.view(np.int64)) for h in hashes]
             node = [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in own]
             found = {"doc_id": rows["doc_id"], "text_hash": rows["text_hash"], "node": node, "own": own, "first": [prefix(s, listed, ranks) for s in own]}
             found["counts"] = [classes(s) for s in own]
+            found["print"] = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
             yield pd.DataFrame(found).astype({"doc_id": "Int64", "text_hash": "int64", "node": "int64"})
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    rows = written(texts.mapInPandas(mark, "doc_id long, text_hash long, node long, own array<long>, first array<long>, counts binary"), "shingles")
-    roots = components(similar_sets(rows))
-    return rows.select("doc_id", "text_hash", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    schema = "doc_id long, text_hash long, node long, own array<long>, first array<long>, counts binary, print long"
+    rows = written(texts.mapInPandas(mark, schema), "shingles")
+    sets = written(rows.dropDuplicates(["node"]).drop("doc_id", "text_hash"), "shingle-sets")
+    own = written(rows.select("doc_id", "text_hash", "node"), "shingle-rows")
+    drop_written(rows)
+    # A node has several fingerprints only by repeats inside texts of one shingle set; any of them may name its candidates.
+    close = near_by_fingerprint(sets.select("node", "print"))
+    first_links = confirmed(sets, close)
+    known = components(first_links).select("node", F.col("root").alias("known"))
+    with_known = sets.join(known, "node", "left").withColumn("known", F.coalesce("known", "node"))
+    far = near_by_prefix(with_known)
+    more = confirmed(sets, far)
+    roots = components(first_links.select("a", "b").union(more.select("a", "b")))
+    drop_written(sets, close, far)
+    return own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Rows of docs without those that have a near duplicate kept in their place; all columns as they are.
 
-    Which row of a component stays is as in ``simhash.one_of_each``.
+    Of each component the row of least doc_id stays (of equal ids, the one of least text hash; null
+    ids come last), and of repeated rows one. An empty table gives an empty result; besides doc_id and
+    text, columns may have any names.
     """
-    return first_of_each(docs, near_duplicates(docs))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
+    kept = near_duplicates(docs).groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"))
+    packed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.struct("*").alias("row"))
+    own = packed.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash")), "left_semi")
+    copy = F.row_number().over(W.partitionBy("doc_id", "text_hash").orderBy("text_hash"))
+    return own.withColumn("copy", copy).where("copy = 1").select("row.*")

@@ -3,8 +3,8 @@
 Bit positions are labelled with non-zero vectors of radius + 1 bits. For each non-zero vector v of that
 length one table keeps the positions whose label has an odd overlap with v. Any ``radius`` positions
 leave some v that overlaps all their labels evenly, so each pair within the radius is equal in at
-least one table: no pair is missed. Tables may also look at some positions only; then a pair counts by its
-differing bits among those, and farther pairs are found too.
+least one table: no pair is missed. Buckets of a table that hold many fingerprints are split into blocks of
+bounded size, and each pair of blocks is one group.
 """
 
 from __future__ import annotations
@@ -15,75 +15,88 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clausewright.llm.shared import written
+from clausewright.llm.shared import drop_written, written
 
 WORDS, RADIUS, SEED = 4, 4, 42
 BITS = 64
+#: Members of a bucket beyond which it is split into blocks of about half as many.
+CROWD = 20_000
 
 
-def fingerprint(text: str | None, words: int = WORDS, wide: int = 1) -> list[int]:
-    """SimHash of all shingles of a whole text, repeats included: ``wide`` numbers of 64 bits.
-
-    The first comes from the shingles' XXH64 values, each further one from these values mixed once
-    more. A text without words has 0 throughout.
-    """
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """XXH64 values of all shingles of a whole text, repeats included; a shorter text is one shingle."""
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return [0] * wide
+        return np.empty(0, np.uint64)
     joined = b" ".join(tokens)
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     starts = np.r_[0, np.cumsum(sizes + 1)[:-1]]
     k = min(words, len(tokens))
     begin, end = starts[: len(tokens) - k + 1].tolist(), (starts + sizes)[k - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[b:e], SEED) for b, e in zip(begin, end, strict=True)], np.uint64)
-    out = []
-    for _ in range(wide):
-        ones = np.zeros(BITS, np.int64)
-        for lo in range(0, len(hashes), 1 << 15):
-            part = hashes[lo : lo + (1 << 15)].view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0]))
-        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        hashes ^= hashes >> np.uint64(29)
-    return out
+    return np.array([digest(joined[b:e], SEED) for b, e in zip(begin, end, strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: bits set in over half of them; 0 for none."""
+    ones = np.zeros(BITS, np.int64)
+    for lo in range(0, len(hashes), 1 << 15):
+        part = hashes[lo : lo + (1 << 15)].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+
 
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """SimHash of a whole text; a text without words has 0."""
+    return majority(shingle_hashes(text, words))
 
-def covering_masks(radius: int, looked_at: int = BITS) -> list[int]:
-    """The tables' masks, as signed 64-bit numbers; each keeps about half of the positions looked at."""
+
+def covering_masks(radius: int) -> list[int]:
+    """The tables' masks, as signed 64-bit numbers; each keeps about half of the positions."""
     size = 1 << (radius + 1)
-    labels = np.where(np.arange(BITS) < looked_at, np.arange(BITS) % (size - 1) + 1, 0)
-    labels = np.random.default_rng(radius).permutation(labels).tolist()
+    labels = np.random.default_rng(radius).permutation(np.arange(BITS) % (size - 1) + 1).tolist()
     masks = [sum(1 << i for i, m in enumerate(labels) if (m & v).bit_count() % 2) for v in range(1, size)]
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
 
 
-def linked(ids: np.ndarray, prints: np.ndarray, reach: int) -> list[tuple[int, int]]:
-    """(id, its group's first) for ids in groups that links of at most ``reach`` differing bits connect.
+def linked(prints: np.ndarray, reach: int) -> list[tuple[int, int]]:
+    """(fingerprint, one within reach of it, reached before) in groups that links of at most ``reach`` differing bits connect.
 
-    ids: distinct, prints: a row of int64 values for each. A group grows from one member; each member
-    is compared once with those not yet reached, so that a dense group costs little more than its
-    size, and no list of pairs is made.
+    prints: distinct int64 values. A group grows from one member; each member is compared once with
+    those not yet reached, so that a dense group costs little more than its size, and no list of
+    pairs is made.
     """
-    order = np.argsort(ids)
-    rest, bits, out = ids[order], prints[order], []
+    rest, out = np.sort(prints), []
     while len(rest) > 1:
-        group, own = [int(rest[0])], [bits[0]]
-        rest, bits = rest[1:], bits[1:]
+        group, rest = [rest[0]], rest[1:]
         at = 0
         while at < len(group) and len(rest):
-            near = np.bitwise_count(bits ^ own[at]).sum(axis=1) <= reach
-            group.extend(rest[near].tolist())
-            own.extend(bits[near])
-            rest, bits = rest[~near], bits[~near]
+            near = np.bitwise_count(rest ^ group[at]) <= reach
+            out.extend((int(x), int(group[at])) for x in rest[near])
+            group.extend(rest[near])
+            rest = rest[~near]
             at += 1
-        out.extend((member, group[0]) for member in group[1:])
     return out
 
 
+def crowds_split(members: DataFrame, bucket: str, member: str, crowd: int | None = None) -> DataFrame:
+    """members (bucket, member) with ``block``: each two of a bucket share a block, and no block holds many over ``crowd`` (default: CROWD).
+
+    A bucket is one block (-1) unless it is crowded; a crowded one's members are dealt by hash, and
+    every pair of deals is a block. Nothing of a bucket is gathered to find that out.
+    """
+    crowd = crowd or CROWD
+    full = members.groupBy(bucket).agg(F.count("*").alias("n")).where(F.col("n") > crowd)
+    full = full.select(bucket, F.ceil(F.col("n") / (crowd // 2)).cast("int").alias("deals"))
+    own = F.pmod(F.xxhash64(F.lit(23), member), F.col("deals")).cast("int")
+    pair = lambda other: F.least(own, other) * F.col("deals") + F.greatest(own, other)
+    blocks = F.when(F.col("deals").isNull(), F.array(F.lit(-1))).otherwise(F.transform(F.sequence(F.lit(0), F.col("deals") - 1), pair))
+    # Dealt anew by block, so that a crowd's blocks are many tasks.
+    return members.join(full, bucket, "left").select(*members.columns, F.explode(blocks).alias("block")).repartition(bucket, "block")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (least node of its component) for all nodes of edges (a, b).
 
@@ -91,7 +104,7 @@ def components(edges: DataFrame) -> DataFrame:
     left; fingerprints are as good as random, so a constant part of the nodes goes in each round.
     """
     edges = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    nodes = None
+    nodes, done = None, []
     while True:
         both = edges.select("a", "b").union(edges.select("b", "a"))
         step = written(both.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("to")), "step")
@@ -99,102 +112,66 @@ def components(edges: DataFrame) -> DataFrame:
             nodes = step.select(F.col("a").alias("node"), F.col("to").alias("root"))
         else:
             # Roots without edges left stay as they are.
-            nodes = nodes.join(step, F.col("root") == F.col("a"), "left").select("node", F.coalesce("to", "root").alias("root"))
-            nodes = written(nodes, "nodes")
+            moved = nodes.join(step, F.col("root") == F.col("a"), "left").select("node", F.coalesce("to", "root").alias("root"))
+            nodes = written(moved, "nodes")
+            drop_written(*done)
+            done = [nodes]
         to_a, to_b = step.select("a", F.col("to").alias("ra")), step.select(F.col("a").alias("b"), F.col("to").alias("rb"))
-        edges = edges.join(to_a, "a").join(to_b, "b").where("ra <> rb")
-        edges = written(edges.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        done += [step, edges]
+        turned = edges.join(to_a, "a").join(to_b, "b").where("ra <> rb")
+        edges = written(turned.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
         if edges.isEmpty():
             return nodes
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, wide: int = 1) -> DataFrame:
-    """doc_id, text_hash, prints (signed 64-bit numbers) and node of every row of docs (doc_id, text).
-
-    node stands for the prints: the number itself where it is one, else their 64-bit digest.
-    """
+def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id and print (signed 64-bit number) of every row of docs (doc_id, text)."""
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            prints = [np.array(fingerprint(t, words, wide), np.uint64).view(np.int64) for t in rows["text"]]
-            found = pd.DataFrame({"doc_id": rows["doc_id"], "text_hash": rows["text_hash"], "prints": prints})
-            yield found.astype({"doc_id": "Int64", "text_hash": "int64"})
+            prints = np.array([fingerprint(t, words) for t in rows["text"]], np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "print": prints}).astype({"doc_id": "Int64"})
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    marked = rows.mapInPandas(mark, "doc_id long, text_hash long, prints array<long>")
-    return marked.withColumn("node", F.col("prints")[0] if wide == 1 else F.xxhash64("prints"))
+    return docs.select("doc_id", "text").mapInPandas(mark, "doc_id long, print long")
 
 
-def links(prints: DataFrame, radius: int = RADIUS, reach: int | None = None, looked_at: int = BITS, wide: int = 1) -> DataFrame:
-    """a, b: links among distinct nodes (node, prints) that connect what lies within the radius.
-
-    Each of the prints' numbers has its own tables; nodes that meet in any are linked if all their
-    bits together differ in at most ``reach`` places (default: radius).
-    """
-    most = radius if reach is None else reach
+def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """a, b: pairs of the distinct fingerprints of prints (print) that differ in at most radius bits and connect all such pairs."""
 
     def connect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            found = []
-            for nodes, flat in zip(rows["nodes"], rows["flat"], strict=True):
-                found += linked(np.asarray(nodes, np.int64), np.asarray(flat, np.int64).reshape(len(nodes), wide), most)
+            found = [pair for met in rows["met"] for pair in linked(np.asarray(met, np.int64), radius)]
             yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    masks = covering_masks(radius, looked_at)
-    seen = [F.xxhash64(F.lit(i * len(masks) + t), F.col("prints")[i].bitwiseAND(F.lit(m))) for i in range(wide) for t, m in enumerate(masks)]
-    keyed = prints.select("node", "prints", F.explode(F.array(*seen)).alias("bucket"))
-    buckets = keyed.groupBy("bucket").agg(F.collect_list(F.struct("node", "prints")).alias("met")).where(F.size("met") > 1)
-    return buckets.select(F.col("met.node").alias("nodes"), F.flatten("met.prints").alias("flat")).mapInPandas(connect, "a long, b long")
+    seen = [F.xxhash64(F.lit(t), F.col("print").bitwiseAND(F.lit(m))) for t, m in enumerate(covering_masks(radius))]
+    keyed = prints.select("print", F.explode(F.array(*seen)).alias("bucket"))
+    buckets = crowds_split(keyed, "bucket", "print").groupBy("bucket", "block").agg(F.collect_list("print").alias("met"))
+    return buckets.where(F.size("met") > 1).select("met").mapInPandas(connect, "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, words: int = WORDS, radius: int = RADIUS, reach: int | None = None, looked_at: int = BITS, wide: int = 1
-) -> DataFrame:
-    """doc_id, text_hash, prints, node and component_id of every row of docs (doc_id, text).
+def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """doc_id, print and component_id of every row of docs (doc_id, text).
 
-    component_id is the smallest doc_id that links reach; by default links join fingerprints of at
-    most radius differing bits, equal ones among them. Rows with a null id take part; a component of
-    such rows alone has none. Null texts and texts without words have fingerprint 0 and are linked
-    like others. Copies and repeated rows meet in one node before anything is compared, so that no
-    group of copies is ever spread out in pairs. An empty table gives an empty result; other columns
-    aren't read.
+    component_id is the smallest doc_id that links reach; links join fingerprints of at most radius
+    differing bits, equal ones among them. Rows with a null id take part; a component of such rows
+    alone has none. Null texts and texts without words have fingerprint 0 and are linked like others.
+    Copies and repeated rows meet in one fingerprint before anything is compared, so that no group of
+    copies is ever spread out in pairs. An empty table gives an empty result; other columns aren't read.
     """
-    marked = written(fingerprints(docs, words, wide), "fingerprints")
-    distinct = written(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("prints").alias("prints")), "distinct-fingerprints")
-    groups = components(links(distinct.select("node", "prints"), radius, reach, looked_at, wide))
-    ids = groups.join(distinct, "node").select("node", "root", "first_id")
+    marked = written(fingerprints(docs, words), "fingerprints")
+    distinct = written(marked.groupBy("print").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    groups = components(links(distinct.select("print"), radius)).withColumnRenamed("node", "print")
+    ids = groups.join(distinct, "print").select("print", "root", "first_id")
     least = ids.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    by_node = (
-        distinct.select("node", "first_id")
-        .join(ids.select("node", "root"), "node", "left")
+    by_print = (
+        distinct.join(ids.select("print", "root"), "print", "left")
         .join(least, "root", "left")
-        .select("node", F.coalesce("root", "node").alias("root"), F.coalesce("least_id", "first_id").alias("component_id"))
+        .select("print", F.coalesce("least_id", "first_id").alias("component_id"))
     )
-    return marked.join(by_node, "node").select("doc_id", "text_hash", "prints", "root", "component_id")
-
-
-def one_of_each(
-    docs: DataFrame, words: int, radius: int, reach: int | None = None, looked_at: int = BITS, wide: int = 1
-) -> DataFrame:
-    """Rows of docs without those that have a near duplicate kept in their place; all columns as they are.
-
-    Of each component the row of least doc_id stays (of equal ids, the one of least text hash; null
-    ids come last), and of repeated rows one.
-    """
-    return first_of_each(docs, near_duplicates(docs, words, radius, reach, looked_at, wide))
-
-
-def first_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
-    """The row of docs that ``one_of_each`` keeps of each root of grouped (doc_id, text_hash, root)."""
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
-    kept = grouped.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"))
-    packed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.struct("*").alias("row"))
-    own = packed.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash")), "left_semi")
-    copy = F.row_number().over(W.partitionBy("doc_id", "text_hash").orderBy("text_hash"))
-    return own.withColumn("copy", copy).where("copy = 1").select("row.*")
+    return marked.join(by_print, "print").select("doc_id", "print", "component_id")
 
 
 def op5_covering_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("prints")[0])), 16, "0").alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")

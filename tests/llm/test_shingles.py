@@ -46,9 +46,12 @@ def texts(rng):
     return out + [" ".join(edited(rng, base, int(rng.integers(1, 6)))) for _ in range(60)]
 
 
-@pytest.mark.parametrize("block", [1 << 18, 1000])
-def test_stage_is_brute_force_jaccard(spark, block, monkeypatch):
+@pytest.mark.parametrize(("block", "crowd", "paired"), [(1 << 18, 8192, 64), (1000, 16, 4)])
+def test_stage_is_brute_force_jaccard(spark, block, crowd, paired, monkeypatch):
     monkeypatch.setattr(shingles, "BLOCK", block)
+    monkeypatch.setattr(shingles, "CROWD", crowd)
+    monkeypatch.setattr(shingles, "PAIRED", paired)
+    monkeypatch.setattr(shingles, "AROUND", crowd)
     monkeypatch.setattr(shingles, "ONE_OF", 2)
     found = texts(np.random.default_rng(5))
     sets = [plain_shingles((t or "").lower()) for t in found]
@@ -83,3 +86,16 @@ def test_edge_rows(spark):
     kept = shingles.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, ""), (None, "x y"), (9, "a b c d e f"), (None, "nothing like it")], key=str)
     assert near_duplicates(docs.limit(0)).count() == 0 == shingles.one_of_each(docs.limit(0)).count()
+
+
+def test_groups_keep_unknown_pairs_together(monkeypatch):
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(shingles, "BLOCK", 500)
+    nodes, sizes, known = np.arange(300), rng.integers(80, 120, 300), np.where(rng.random(300) < 0.8, 7, rng.integers(100, 105, 300))
+    together = set()
+    for g in shingles.groups(nodes, sizes, np.zeros(300, np.int64), known):
+        together |= set(itertools.combinations(sorted(g.tolist()), 2))
+    for i, j in itertools.combinations(range(300), 2):
+        if known[i] != known[j] and 5 * min(sizes[i], sizes[j]) >= 4 * max(sizes[i], sizes[j]):
+            assert (i, j) in together
+    assert shingles.groups(nodes, sizes, np.zeros(300, np.int64), np.zeros(300, np.int64)) == []

@@ -6,7 +6,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from clausewright.llm.simhash import components, covering_masks, fingerprint, linked, near_duplicates, one_of_each, op5_covering_simhash
+from clausewright.llm import simhash
+from clausewright.llm.simhash import components, covering_masks, fingerprint, linked, near_duplicates, op5_covering_simhash
 
 
 def plain_fingerprint(text, k=4):
@@ -47,7 +48,7 @@ def test_masks_cover_every_pair_within_the_radius(radius):
 
 def test_fingerprint_is_the_plain_one():
     for t in [None, "", " \n", "One", "A b c", "a b c d", "É È\x0b\x0cx\x1cy z", "to be or not to be " * 40, "Ünï " * 5 + "\x85 \xa0 q"]:
-        assert fingerprint(t) == [plain_fingerprint(t)] == fingerprint(t, wide=3)[:1], t
+        assert fingerprint(t) == plain_fingerprint(t), t
 
 
 def test_spark_hashes_alike(spark):
@@ -69,7 +70,8 @@ def test_linked_and_components_are_brute_force(spark):
     prints = np.unique(rng.integers(0, 1 << 13, 400).astype(np.int64) << 7)
     for radius in (1, 2):
         want = plain_components({int(p): int(p) for p in prints}, radius)
-        found = linked(prints, prints[:, None], radius)
+        found = linked(prints, radius)
+        assert all((a ^ b).bit_count() <= radius for a, b in found)
         frame = spark.createDataFrame(found, "a long, b long")
         got = {r.node: r.root for r in components(frame).collect()}
         assert {n: r for n, r in want.items() if n in got} == got
@@ -82,24 +84,17 @@ def test_linked_and_components_are_brute_force(spark):
     assert {r.node: r.root for r in components(spark.createDataFrame(path, "a long, b long")).collect()} == {n: r for n, r in want.items() if any(a != b and n in (a, b) for a, b in path)}
 
 
-def test_wide_fingerprints_find_similar_texts(spark):
-    rng = np.random.default_rng(4)
-    vocabulary = [f"w{i}" for i in range(3000)]
-    rows, pairs = [], []
-    for i in range(0, 240, 2):
-        words = rng.choice(vocabulary, 400).tolist()
-        other = list(words)
-        edits = int(rng.integers(1, 9))
-        for at in rng.choice(400, edits, replace=False):
-            other[at] = "edited"
-        rows += [(i, " ".join(words)), (i + 1, " ".join(other))]
-        a, b = ({tuple(w[j : j + 5]) for j in range(396)} for w in (words, other))
-        pairs.append((i, len(a & b) / len(a | b)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in near_duplicates(docs, 5, 4, 25, 32, 2).collect()}
-    alike = [i for i, s in pairs if s >= 0.8]
-    assert np.mean([got[i + 1] == i for i in alike]) > 0.7
-    assert all(got[i] == i for i, _ in pairs)
+@pytest.mark.parametrize("crowd", [16, 50])
+def test_split_buckets_lose_no_link(spark, crowd, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = np.random.default_rng(8)
+    near = np.unique(rng.integers(0, 1 << 12, 300).astype(np.int64) << 30)
+    frame = spark.createDataFrame([(int(p),) for p in near], "print long")
+    want = plain_components({int(p): int(p) for p in near}, 4)
+    got = {r.node: r.root for r in components(simhash.links(frame)).collect()}
+    assert all(got.get(p, p) == r for p, r in want.items())
+    split = simhash.crowds_split(frame.withColumn("bucket", F.lit(1)), "bucket", "print", crowd).groupBy("bucket", "block").count()
+    assert split.agg(F.max("count")).first()[0] <= 3 * crowd
 
 
 def test_edge_rows(spark):
@@ -108,8 +103,4 @@ def test_edge_rows(spark):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, prints int")
     got = sorted(((r.doc_id, r.component_id) for r in near_duplicates(docs).collect()), key=str)
     assert got == sorted([(5, 3), (3, 3), (None, 3), (9, 8), (9, 8), (8, 8), (7, 7), (None, None)], key=str)
-    kept = one_of_each(docs, 4, 4)
-    assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=str) == [3, 7, 8, None]
-    assert near_duplicates(docs.limit(0)).count() == 0 == one_of_each(docs.limit(0), 4, 4).count()
-    same = spark.createDataFrame([(1, "a b")] * 3, "doc_id long, text string")
-    assert one_of_each(same, 4, 4).count() == 1
+    assert near_duplicates(docs.limit(0)).count() == 0
