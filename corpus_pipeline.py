@@ -25,7 +25,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: sets of five-word shingles, Jaccard similarity 0.8 or more."""
+    """One document of each group of near duplicates: sets of five-word shingles, Jaccard similarity 0.8 or more.
+
+    Covering SimHash links what lies within its radius, confirmed by whole sets; an exact join adds what lies beyond.
+    """
     return one_of_each(docs)
 
 
