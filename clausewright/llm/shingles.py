@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clausewright.llm.shared import drop_written, written
+from clausewright.llm.shared import drop_buckets, drop_written, in_buckets, written
 from clausewright.llm.simhash import SEED, components, crowds_split, links, majority, shingle_hashes
 
 #: Shingles' words; the least similarity as a fraction of whole numbers.
@@ -34,6 +34,8 @@ ONE_OF, OFTEN, LISTED = 16, 3, 1 << 18
 PAIRED, BLOCK = 64, 1 << 18
 #: Members of a bucket beyond which it is split; sets that one fingerprint's neighbours are compared with at once.
 CROWD, AROUND = 8_192, 256
+#: Texts that a Python worker holds the shingles of at once.
+ROWS = 512
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -41,6 +43,18 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(shingle_hashes(text, words).view(np.int64))
 
 
+def packed(own: np.ndarray) -> bytes:
+    """The upper 40 bits of each shingle of a set, in order: enough to compare two sets, in 5 bytes instead of 8."""
+    return np.ascontiguousarray(own.view(np.uint64) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """What ``packed`` kept, as numbers."""
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view(np.int64).reshape(-1)
+
+
 def prefix(own: np.ndarray, listed: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The part of a set that meets that of each similar set. listed: sorted shingles, ranked behind all others."""
     part, whole = LEAST
@@ -154,7 +168,8 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def confirmed(sets: DataFrame, members: DataFrame) -> DataFrame:
     """a, b: links that connect all similar sets among the nodes of each group of members (met, node).
 
-    sets: node, own, counts, one row a node. Pairs that ``possible`` rules out never have their sets fetched.
+    sets: node, own (``packed``), counts, size, one row a node, in buckets by node: neither join moves them.
+    Pairs that ``possible`` rules out never have their sets fetched.
     """
 
     def sieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,16 +181,15 @@ def confirmed(sets: DataFrame, members: DataFrame) -> DataFrame:
     def connect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             found = []
-            for nodes, flat, sizes in zip(rows["nodes"], rows["flat"], rows["sizes"], strict=True):
-                found += linked(np.asarray(nodes, np.int64), np.split(np.asarray(flat, np.int64), np.cumsum(sizes)[:-1]))
+            for nodes, own in zip(rows["nodes"], rows["own"], strict=True):
+                found += linked(np.asarray(nodes, np.int64), [unpacked(x) for x in own])
             yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    sketched = members.join(sets.select("node", "counts", F.size("own").alias("size")), "node").groupBy("met").agg(F.collect_list(F.struct("node", "counts", "size")).alias("x"))
+    sketched = members.join(sets.select("node", "counts", "size"), "node").groupBy("met").agg(F.collect_list(F.struct("node", "counts", "size")).alias("x"))
     sketched = sketched.select("met", F.col("x.node").alias("nodes"), F.col("x.counts").alias("counts"), F.col("x.size").alias("sizes"))
     left = written(sketched.mapInPandas(sieve, "met long, node long"), "shingle-groups")
     joined = left.join(sets.select("node", "own"), "node").groupBy("met").agg(F.collect_list(F.struct("node", "own")).alias("x"))
-    flat = joined.select(F.col("x.node").alias("nodes"), F.flatten("x.own").alias("flat"), F.transform("x.own", F.size).alias("sizes"))
-    found = written(flat.mapInPandas(connect, "a long, b long"), "shingle-links")
+    found = written(joined.select(F.col("x.node").alias("nodes"), F.col("x.own").alias("own")).mapInPandas(connect, "a long, b long"), "shingle-links")
     drop_written(left)
     return found
 
@@ -201,7 +215,7 @@ def near_by_fingerprint(sets: DataFrame) -> DataFrame:
 def near_by_prefix(sets: DataFrame) -> DataFrame:
     """met, node: groups in which each two similar sets that aren't known to be linked are together.
 
-    sets: node, own, first, known.
+    sets: node, size, first, known.
     """
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,7 +227,7 @@ def near_by_prefix(sets: DataFrame) -> DataFrame:
             ids = np.repeat(np.fromiter(found, np.int64, len(found)), [len(g) for g in found.values()])
             yield pd.DataFrame({"met": ids, "node": np.concatenate(list(found.values())) if found else np.empty(0, np.int64)})
 
-    keyed = sets.select("node", F.size("own").alias("size"), "known", F.posexplode("first").alias("place", "shingle"))
+    keyed = sets.select("node", "size", "known", F.posexplode("first").alias("place", "shingle"))
     member = F.struct("node", "size", "place", "known")
     buckets = crowds_split(keyed, "shingle", "node", CROWD).groupBy("shingle", "block").agg(F.collect_list(member).alias("met"))
     buckets = buckets.where((F.size("met") > 1) & (F.size(F.array_distinct("met.known")) > 1))
@@ -230,31 +244,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     listed, ranks = frequent(docs)
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+        for rows in (b.iloc[lo : lo + ROWS] for b in batches for lo in range(0, len(b), ROWS)):
             hashes = [shingle_hashes(t, WORDS) for t in rows["text"]]
             own = [np.unique(h.view(np.int64)) for h in hashes]
             node = [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in own]
-            found = {"doc_id": rows["doc_id"], "text_hash": rows["text_hash"], "node": node, "own": own, "first": [prefix(s, listed, ranks) for s in own]}
-            found["counts"] = [classes(s) for s in own]
+            found = {"node": node, "own": [packed(s) for s in own], "first": [prefix(s, listed, ranks) for s in own]}
+            found["counts"], found["size"] = [classes(s) for s in own], [len(s) for s in own]
             found["print"] = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
-            yield pd.DataFrame(found).astype({"doc_id": "Int64", "text_hash": "int64", "node": "int64"})
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "text_hash": rows["text_hash"]} | found).astype({"doc_id": "Int64", "text_hash": "int64", "size": "int32"})
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    schema = "doc_id long, text_hash long, node long, own array<long>, first array<long>, counts binary, print long"
-    rows = written(texts.mapInPandas(mark, schema), "shingles")
-    sets = written(rows.dropDuplicates(["node"]).drop("doc_id", "text_hash"), "shingle-sets")
-    own = written(rows.select("doc_id", "text_hash", "node"), "shingle-rows")
-    drop_written(rows)
+    schema = "doc_id long, text_hash long, node long, own binary, first array<long>, counts binary, size int, print long"
+    marked = written(texts.mapInPandas(mark, schema), "shingles")
+    rows = written(marked.select("doc_id", "text_hash", "node"), "shingle-rows")
     # A node has several fingerprints only by repeats inside texts of one shingle set; any of them may name its candidates.
+    sets = in_buckets(marked.select("node", "own", "counts", "size", "print").dropDuplicates(["node"]), "node", "shingle_sets")
+    firsts = written(marked.select("node", "size", "first").dropDuplicates(["node"]), "shingle-prefixes")
+    drop_written(marked)
     close = near_by_fingerprint(sets.select("node", "print"))
     first_links = confirmed(sets, close)
     known = components(first_links).select("node", F.col("root").alias("known"))
-    with_known = sets.join(known, "node", "left").withColumn("known", F.coalesce("known", "node"))
-    far = near_by_prefix(with_known)
+    far = near_by_prefix(firsts.join(known, "node", "left").withColumn("known", F.coalesce("known", "node")))
     more = confirmed(sets, far)
     roots = components(first_links.select("a", "b").union(more.select("a", "b")))
-    drop_written(sets, close, far)
-    return own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    drop_written(firsts, close, far)
+    drop_buckets(sets)
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -23,6 +23,8 @@ WORDS, RADIUS, SEED = 4, 4, 42
 BITS = 64
 #: Members of a bucket beyond which it is split into blocks of about half as many.
 CROWD = 20_000
+#: One member of so many tells which buckets are crowded; crowded buckets that are few enough to broadcast (1 MB).
+ONE_OF, BROADCAST_ROWS = 16, 50_000
 
 
 def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -85,16 +87,22 @@ def crowds_split(members: DataFrame, bucket: str, member: str, crowd: int | None
     """members (bucket, member) with ``block``: each two of a bucket share a block, and no block holds many over ``crowd`` (default: CROWD).
 
     A bucket is one block (-1) unless it is crowded; a crowded one's members are dealt by hash, and
-    every pair of deals is a block. Nothing of a bucket is gathered to find that out.
+    every pair of deals is a block. One member of ONE_OF, by hash, tells which buckets are crowded; that
+    decides about blocks' sizes only. Nothing of a bucket is gathered to find out.
     """
     crowd = crowd or CROWD
-    full = members.groupBy(bucket).agg(F.count("*").alias("n")).where(F.col("n") > crowd)
-    full = full.select(bucket, F.ceil(F.col("n") / (crowd // 2)).cast("int").alias("deals"))
-    own = F.pmod(F.xxhash64(F.lit(23), member), F.col("deals")).cast("int")
+    digest = F.xxhash64(F.lit(23), member)
+    some = members.where(F.pmod(F.shiftright(digest, 32), F.lit(ONE_OF)) == 0).groupBy(bucket).agg((F.count("*") * ONE_OF).alias("n"))
+    full = written(some.where(F.col("n") > crowd).select(bucket, F.ceil(F.col("n") / (crowd // 2)).cast("int").alias("deals")), "crowds")
+    n_full = full.count()
+    if not n_full:
+        return members.withColumn("block", F.lit(-1))
+    own = F.pmod(digest, F.col("deals")).cast("int")
     pair = lambda other: F.least(own, other) * F.col("deals") + F.greatest(own, other)
     blocks = F.when(F.col("deals").isNull(), F.array(F.lit(-1))).otherwise(F.transform(F.sequence(F.lit(0), F.col("deals") - 1), pair))
     # Dealt anew by block, so that a crowd's blocks are many tasks.
-    return members.join(full, bucket, "left").select(*members.columns, F.explode(blocks).alias("block")).repartition(bucket, "block")
+    known = F.broadcast(full) if n_full <= BROADCAST_ROWS else full
+    return members.join(known, bucket, "left").select(*members.columns, F.explode(blocks).alias("block")).repartition(bucket, "block")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ BASE = 9
 #: Bytes of text in a chunk, about; bytes of text whose hashes one range gets, about.
 CHUNK_BYTES, RANGE_BYTES = 4_000_000, 4_000_000
 #: Bytes whose words are hashed at once.
-BLOCK = 1 << 22
+BLOCK = 1 << 19
 _SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
 _RANDOM = np.random.default_rng(20).integers(1, 1 << 63, 656, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE, _STEP, _BYTE_2 = _RANDOM[:256], _RANDOM[256:400], _RANDOM[400:]

@@ -87,6 +87,7 @@ def test_linked_and_components_are_brute_force(spark):
 @pytest.mark.parametrize("crowd", [16, 50])
 def test_split_buckets_lose_no_link(spark, crowd, monkeypatch):
     monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 50_000 if crowd == 16 else 0)
     rng = np.random.default_rng(8)
     near = np.unique(rng.integers(0, 1 << 12, 300).astype(np.int64) << 30)
     frame = spark.createDataFrame([(int(p),) for p in near], "print long")
@@ -94,7 +95,7 @@ def test_split_buckets_lose_no_link(spark, crowd, monkeypatch):
     got = {r.node: r.root for r in components(simhash.links(frame)).collect()}
     assert all(got.get(p, p) == r for p, r in want.items())
     split = simhash.crowds_split(frame.withColumn("bucket", F.lit(1)), "bucket", "print", crowd).groupBy("bucket", "block").count()
-    assert split.agg(F.max("count")).first()[0] <= 3 * crowd
+    assert split.agg(F.max("count")).first()[0] <= 4 * crowd
 
 
 def test_edge_rows(spark):
