@@ -24,7 +24,7 @@ WORD_ROWS, CHAR_ROWS, WIDTH, HIDDEN = 1 << 14, 1 << 13, 12, 12
 SAMPLE_DOCS, SAMPLE_BYTES = 1_500, 20_000
 ROUNDS, EPOCHS, BATCH, RATE, SEED = 3, 3, 128, 0.01, 5
 #: Distinct words whose network inputs a Python worker keeps at once, and windows scored together.
-MEMO_ENTRIES, CHUNK = 250_000, 2_048
+MEMO_ENTRIES, CHUNK = 80_000, 2_048
 THRESHOLD = 0.5
 _EDGES = b"\"'.,;:!?()[]{}<>|#$%&*+-=/\\^_`~@"
 
