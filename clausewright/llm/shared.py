@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 _LOCAL: list[str] = []
 #: Tables of this session that ``drop_written`` can still remove, by identity.
 _PATHS: dict[int, tuple[DataFrame, str]] = {}
-_TABLES: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,24 +56,6 @@ def drop_written(*tables: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def in_buckets(df: DataFrame, key: str, name: str) -> DataFrame:
-    """df as a table of the session's catalog in buckets by ``key``: joins on key read it as it lies, without a shuffle."""
-    spark = df.sparkSession
-    table, path = f"{name}_{uuid.uuid4().hex}", shared_path(spark, name)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(table)
-    found = spark.table(table)
-    _PATHS[id(found)] = (found, path)
-    _TABLES[id(found)] = table
-    return found
-
-
-def drop_buckets(table: DataFrame) -> None:
-    """Remove a table of ``in_buckets``."""
-    table.sparkSession.sql(f"drop table {_TABLES.pop(id(table))}")
-    drop_written(table)
-
-
 def held_out(doc_id) -> F.Column:
     """Rows kept from learning: crc32 of doc_id as text, modulo 5, is 0 (a null id counts as '')."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clausewright.llm.shared import drop_buckets, drop_written, in_buckets, written
+from clausewright.llm.shared import drop_written, written
 from clausewright.llm.simhash import SEED, components, crowds_split, links, majority, shingle_hashes
 
 #: Shingles' words; the least similarity as a fraction of whole numbers.
@@ -36,6 +36,8 @@ PAIRED, BLOCK = 64, 1 << 18
 CROWD, AROUND = 8_192, 256
 #: Texts that a Python worker holds the shingles of at once.
 ROWS = 512
+#: Texts to fetch that are few enough to broadcast their digests (8 bytes each); more are merged.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -43,6 +45,11 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(shingle_hashes(text, words).view(np.int64))
 
 
+def node_of(own: np.ndarray) -> int:
+    """A digest of a set that stands for it."""
+    return xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63)
+
+
 def packed(own: np.ndarray) -> bytes:
     """The upper 40 bits of each shingle of a set, in order: enough to compare two sets, in 5 bytes instead of 8."""
     return np.ascontiguousarray(own.view(np.uint64) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
@@ -165,11 +172,28 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found["shingle"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
 
 
-def confirmed(sets: DataFrame, members: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
+    """node, own (``packed``): the shingle sets of the nodes in members, made from their texts again.
+
+    Few nodes of a corpus have candidates; sets of all of them would weigh more than the texts.
+    """
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in (b.iloc[lo : lo + ROWS] for b in batches for lo in range(0, len(b), ROWS)):
+            own = [shingles(t) for t in rows["text"]]
+            yield pd.DataFrame({"node": [node_of(s) for s in own], "own": [packed(s) for s in own]}).astype({"node": "int64"})
+
+    wanted = written(sets.select("node", "text_hash").join(members.select("node").distinct(), "node", "left_semi").select("text_hash").distinct(), "shingle-texts")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(wanted, "text_hash", "left_semi").select("text").distinct()
+    return texts.mapInPandas(make, "node long, own binary").dropDuplicates(["node"])
+
+
+def confirmed(docs: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
     """a, b: links that connect all similar sets among the nodes of each group of members (met, node).
 
-    sets: node, own (``packed``), counts, size, one row a node, in buckets by node: neither join moves them.
-    Pairs that ``possible`` rules out never have their sets fetched.
+    sets: node, text_hash, counts, size, one row a node. Pairs that ``possible`` rules out never have
+    their sets fetched.
     """
 
     def sieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,7 +212,7 @@ def confirmed(sets: DataFrame, members: DataFrame) -> DataFrame:
     sketched = members.join(sets.select("node", "counts", "size"), "node").groupBy("met").agg(F.collect_list(F.struct("node", "counts", "size")).alias("x"))
     sketched = sketched.select("met", F.col("x.node").alias("nodes"), F.col("x.counts").alias("counts"), F.col("x.size").alias("sizes"))
     left = written(sketched.mapInPandas(sieve, "met long, node long"), "shingle-groups")
-    joined = left.join(sets.select("node", "own"), "node").groupBy("met").agg(F.collect_list(F.struct("node", "own")).alias("x"))
+    joined = left.join(sets_of(docs, sets, left), "node").groupBy("met").agg(F.collect_list(F.struct("node", "own")).alias("x"))
     found = written(joined.select(F.col("x.node").alias("nodes"), F.col("x.own").alias("own")).mapInPandas(connect, "a long, b long"), "shingle-links")
     drop_written(left)
     return found
@@ -247,29 +271,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         for rows in (b.iloc[lo : lo + ROWS] for b in batches for lo in range(0, len(b), ROWS)):
             hashes = [shingle_hashes(t, WORDS) for t in rows["text"]]
             own = [np.unique(h.view(np.int64)) for h in hashes]
-            node = [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in own]
-            found = {"node": node, "own": [packed(s) for s in own], "first": [prefix(s, listed, ranks) for s in own]}
+            found = {"node": [node_of(s) for s in own], "first": [prefix(s, listed, ranks) for s in own]}
             found["counts"], found["size"] = [classes(s) for s in own], [len(s) for s in own]
             found["print"] = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "text_hash": rows["text_hash"]} | found).astype({"doc_id": "Int64", "text_hash": "int64", "size": "int32"})
+            found = {"doc_id": rows["doc_id"], "text_hash": rows["text_hash"]} | found
+            yield pd.DataFrame(found).astype({"doc_id": "Int64", "text_hash": "int64", "node": "int64", "size": "int32"})
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    schema = "doc_id long, text_hash long, node long, own binary, first array<long>, counts binary, size int, print long"
-    marked = written(texts.mapInPandas(mark, schema), "shingles")
-    rows = written(marked.select("doc_id", "text_hash", "node"), "shingle-rows")
+    schema = "doc_id long, text_hash long, node long, first array<long>, counts binary, size int, print long"
+    rows = written(texts.mapInPandas(mark, schema), "shingles")
     # A node has several fingerprints only by repeats inside texts of one shingle set; any of them may name its candidates.
-    sets = in_buckets(marked.select("node", "own", "counts", "size", "print").dropDuplicates(["node"]), "node", "shingle_sets")
-    firsts = written(marked.select("node", "size", "first").dropDuplicates(["node"]), "shingle-prefixes")
-    drop_written(marked)
+    sets = written(rows.drop("doc_id").dropDuplicates(["node"]), "shingle-sets")
     close = near_by_fingerprint(sets.select("node", "print"))
-    first_links = confirmed(sets, close)
+    first_links = confirmed(docs, sets, close)
     known = components(first_links).select("node", F.col("root").alias("known"))
-    far = near_by_prefix(firsts.join(known, "node", "left").withColumn("known", F.coalesce("known", "node")))
-    more = confirmed(sets, far)
-    roots = components(first_links.select("a", "b").union(more.select("a", "b")))
-    drop_written(firsts, close, far)
-    drop_buckets(sets)
-    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    with_known = sets.join(known, "node", "left").withColumn("known", F.coalesce("known", "node"))
+    far = near_by_prefix(with_known)
+    more = confirmed(docs, sets, far)
+    roots = components(first_links.union(more))
+    drop_written(sets, close, far, first_links, more)
+    return rows.select("doc_id", "text_hash", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -52,6 +52,7 @@ def test_stage_is_brute_force_jaccard(spark, block, crowd, paired, monkeypatch):
     monkeypatch.setattr(shingles, "CROWD", crowd)
     monkeypatch.setattr(shingles, "PAIRED", paired)
     monkeypatch.setattr(shingles, "AROUND", crowd)
+    monkeypatch.setattr(shingles, "BROADCAST_ROWS", crowd - 16)
     monkeypatch.setattr(shingles, "ONE_OF", 2)
     found = texts(np.random.default_rng(5))
     sets = [plain_shingles((t or "").lower()) for t in found]
