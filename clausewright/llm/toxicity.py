@@ -11,9 +11,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from clausewright.llm.shared import held_out
 
@@ -24,7 +25,7 @@ WORD_ROWS, CHAR_ROWS, WIDTH, HIDDEN = 1 << 14, 1 << 13, 12, 12
 SAMPLE_DOCS, SAMPLE_BYTES = 1_500, 20_000
 ROUNDS, EPOCHS, BATCH, RATE, SEED = 3, 3, 128, 0.01, 5
 #: Distinct words whose network inputs a Python worker keeps at once, and windows scored together.
-MEMO_ENTRIES, CHUNK = 80_000, 2_048
+MEMO_ENTRIES, CHUNK = 80_000, 1_024
 THRESHOLD = 0.5
 _EDGES = b"\"'.,;:!?()[]{}<>|#$%&*+-=/\\^_`~@"
 
@@ -337,18 +338,20 @@ def _scored(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame
     network = fit(learn["text"].tolist(), learn["y"].tolist())
     shared = docs.sparkSession.sparkContext.broadcast(network)  # two tables of fixed size and a few matrices
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(shared.value)
-        for rows in batches:
-            out = np.zeros(len(rows))
-            for lo in range(0, len(rows), 256):
+        for batch in batches:
+            row = batch.column("row")
+            texts = row.field("text")
+            out = np.zeros(len(batch))
+            for lo in range(0, len(batch), 256):
                 memo = memo.fresh()
-                out[lo : lo + 256] = shared.value.scores([words_of(t) for t in rows["text"].iloc[lo : lo + 256]], memo)
-            yield pd.DataFrame({"row": rows["row"], "score": out})
+                out[lo : lo + 256] = shared.value.scores([words_of(t) for t in texts.slice(lo, 256).to_pylist()], memo)
+            # Rows pass through as they came, without becoming Python objects.
+            yield pa.RecordBatch.from_arrays([row, pa.array(out)], ["row", "score"])
 
-    packed = docs.select(F.struct(*columns).alias("row"), "text")
-    kind = packed.schema["row"].dataType.simpleString()
-    return packed.mapInPandas(score, f"row {kind}, score double")
+    packed = docs.select(F.struct(*dict.fromkeys([*columns, "text"])).alias("row"))
+    return packed.mapInArrow(score, StructType([packed.schema["row"], StructField("score", DoubleType())]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
