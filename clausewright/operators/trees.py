@@ -13,16 +13,21 @@ LEVELS = 7
 def paths(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
     """nodes (id, parent, place, name) with ``depth``, ``trail`` (ancestors' names, outermost first), ``order_path``, ``root``.
 
-    One equi-join a level; a tree deeper than ``levels`` is an error, not a shorter result.
+    One equi-join a level, until a level is empty. Rows that no root reaches (cycles, lost parents) aren't in the result.
+    ``levels`` bounds the depth that is looked for; a deeper tree is an error, not a shorter result.
     """
     own = nodes.select("id", "parent", "place", "name")
     rows = own.where("parent is null").select("id", F.array("name").alias("trail"), F.array("place").alias("order_path"), F.col("id").alias("root"))
     found = level = rows
-    for _ in range(levels - 1):
+    for depth in range(2, levels + 2):
         up = level.select(F.col("id").alias("parent"), "trail", "order_path", "root")
         level = own.join(up, "parent").select(
             "id", F.array_append("trail", F.col("name")).alias("trail"), F.array_append("order_path", F.col("place")).alias("order_path"), "root"
         )
+        if level.isEmpty():
+            return found.withColumn("depth", F.size("trail"))
+        if depth > levels:
+            raise ValueError(f"a tree is deeper than {levels} levels")
         found = found.unionByName(level)
     return found.withColumn("depth", F.size("trail"))
 
@@ -56,8 +61,3 @@ def distinct_keys(rows: DataFrame) -> DataFrame:
     key = F.when(n == 1, F.col("segment")).otherwise(F.concat_ws("-", "segment", n))
     return rows.select("parent", "place", key.alias("key"))
 
-
-def change_counts(changes: DataFrame) -> DataFrame:
-    """One row: how many clauses were added, modified, moved, unchanged, removed."""
-    kinds = ["added", "modified", "moved", "unchanged", "removed"]
-    return changes.agg(*[F.count_if(F.col("change") == k).alias(k) for k in kinds])

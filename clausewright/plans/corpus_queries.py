@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from clausewright.functions import redaction as rd
@@ -43,7 +45,7 @@ def breadcrumbs(spark, sf_dir):
     return trees.breadcrumbs(_nodes(spark, sf_dir), 3)
 
 
-_CLAUSES = """clauses AS (SELECT v AS version, l_partkey * 10 + (l_linenumber + v * CAST(l_partkey % 5 = 0 AS INTEGER)) % 7 AS key, l_orderkey * 8 + l_linenumber AS id,
+_CLAUSES = """clauses AS MATERIALIZED (SELECT v AS version, l_partkey * 10 + (l_linenumber + v * CAST(l_partkey % 5 = 0 AS INTEGER)) % 7 AS key, l_orderkey * 8 + l_linenumber AS id,
   CASE WHEN v > 1 AND l_orderkey % 3 <> 0 THEN l_orderkey * 8 + l_linenumber END AS previous_id
   FROM lineitem, (VALUES (1), (2), (3)) t(v) QUALIFY row_number() OVER (PARTITION BY v, l_partkey * 10 + (l_linenumber + v * CAST(l_partkey % 5 = 0 AS INTEGER)) % 7 ORDER BY l_orderkey, l_linenumber) = 1)"""
 
@@ -55,13 +57,17 @@ _CLAUSES = """clauses AS (SELECT v AS version, l_partkey * 10 + (l_linenumber +
     FROM clauses c LEFT JOIN clauses o ON o.version + 1 = c.version AND o.id = c.previous_id LEFT JOIN clauses h ON h.version + 1 = c.version AND h.key = c.key""",
 )
 def continuations(spark, sf_dir):
-    """TR4, TR5, VR4: moved clauses, reused numbers."""
+    """JN2, TR5: clauses moved since the version before, numbers that named another clause there."""
+    return trees.continued(_clauses(spark, sf_dir))
+
+
+def _clauses(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").withColumn("version", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
     shift = F.when(F.col("l_partkey") % 5 == 0, F.col("version")).otherwise(0)
     key, own = F.col("l_partkey") * 10 + (F.col("l_linenumber") + shift) % 7, F.col("l_orderkey") * 8 + F.col("l_linenumber")
     first = li.groupBy("version", key.alias("key")).agg(F.min(F.struct("l_orderkey", own.alias("id"))).alias("c"))
     previous = F.when((F.col("version") > 1) & (F.col("c.l_orderkey") % 3 != 0), F.col("c.id"))
-    return trees.continued(first.select("version", "key", "c.id", previous.alias("previous_id")))
+    return first.select("version", "key", "c.id", previous.alias("previous_id"))
 
 
 @query(
@@ -137,7 +143,7 @@ def broken_links(spark, sf_dir):
     wrong = F.when(i % 101 == 7, i - 2).when(i % 103 == 9, i + 5).when(i % 107 == 11, -9).otherwise(i - 1)
     digest = lambda n: F.sha2(F.concat(F.lit("entry"), n.cast("string")), 256)
     rows = _governed(spark, sf_dir).withColumns({"prev_hash": digest(wrong), "entry_hash": digest(i)})
-    genesis = spark.range(1).select(digest(F.lit(-1))).first()[0]
+    genesis = hashlib.sha256(b"entry-1").hexdigest()
     return gv.verify(rows, genesis).where("problem <> 'altered'")
 
 
@@ -271,7 +277,7 @@ def permissions(spark, sf_dir):
       count(*) FILTER (status = 'draft') AS drafts, max(effective) AS last_change FROM versions GROUP BY document""",
 )
 def policies(spark, sf_dir):
-    """VR10, AG16: versions of each document by state."""
+    """VR10: versions of each document by state."""
     before, published = F.col("effective") <= F.lit("1996-06-30").cast("date"), F.col("status") == "published"
     return versions(spark, sf_dir).groupBy("document").agg(
         F.count_if(published & before).alias("published"), F.count_if(published & ~before).alias("scheduled"),
@@ -293,10 +299,10 @@ def upserted_vectors(spark, sf_dir):
 
 
 @query(
-    "rt18_words_of_documents",
+    "sc18_words_of_documents",
     r"SELECT source, lang, sum(len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS words, count(*) AS clauses FROM documents GROUP BY source, lang",
 )
 def words_of_documents(spark, sf_dir):
-    """SC18, AG11: clauses and words by source and language."""
+    """SC18: clauses and words by source and language."""
     counted = table(spark, sf_dir, "documents").select("source", "lang", F.size(rt.tokens(F.col("text"))).alias("n"))
     return counted.groupBy("source", "lang").agg(F.sum("n").alias("words"), F.count("*").alias("clauses"))

@@ -158,7 +158,7 @@ def hybrid_search(spark, sf_dir):
     SELECT qid, slot, source, key, score FROM a JOIN b USING (qid, source, n) WHERE slot <= 10""",
 )
 def sources_in_turns(spark, sf_dir):
-    """RT10, RT11, RT12, FIL7: round-robin over sources, normative first on ties."""
+    """RT11: round-robin over sources, normative first on ties."""
     found = _keyword(spark, sf_dir).drop("rank").join(_clauses(spark, sf_dir).select("key", "source"), "key")
     found = rt.ranked(found, 1 << 30, "source")
     strength = found.groupBy("qid", "source").agg(F.max("score").alias("strength"))
@@ -217,7 +217,7 @@ def fingerprints(spark, sf_dir):
     "SELECT lang, count(*) AS todo, (SELECT count(*) FROM embeddings) AS embedded FROM documents WHERE NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = doc_id) GROUP BY lang",
 )
 def unembedded(spark, sf_dir):
-    """EM3, EM6, JN5, SM9: what a build would still embed."""
+    """EM3, EM6, JN5: what a build would still embed."""
     vectors = table(spark, sf_dir, "embeddings")
     todo = table(spark, sf_dir, "documents").join(vectors, F.col("doc_id") == F.col("vec_id"), "left_anti").groupBy("lang").agg(F.count("*").alias("todo"))
     return todo.crossJoin(F.broadcast(vectors.agg(F.count("*").alias("embedded"))))

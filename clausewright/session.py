@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -27,3 +28,22 @@ def spark_session(app: str = "clausewright", cpus: int | None = None) -> SparkSe
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One input table; sf_dir may be any path that Spark's readers can open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_LOCAL: list[str] = []
+
+
+def cut(df):
+    """df, computed once and read from the checkpoint folder (spark.checkpoint.dir) from then on.
+
+    Only on a single machine may the folder be unset; one under /tmp stands in there.
+    """
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _LOCAL:
+            os.makedirs("/tmp/checkpoints", exist_ok=True)
+            _LOCAL.append(tempfile.mkdtemp(prefix="clausewright-", dir="/tmp/checkpoints"))
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{_LOCAL[0]}")
+    return df.checkpoint()
