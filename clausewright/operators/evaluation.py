@@ -75,3 +75,66 @@ def gate(measured: DataFrame, published: DataFrame) -> DataFrame:
     """name, verdict: regression where a measured value falls below the published interval's floor."""
     verdict = F.when(F.col("floor").isNull(), "unpublished").when(F.col("value") < F.col("floor"), "regression").otherwise("ok")
     return measured.join(published, "name", "left").select("name", verdict.alias("verdict"))
+
+
+MODIFIERS = ("normative", "questions", "light", "rerank")
+
+
+def configurations(grid: DataFrame) -> DataFrame:
+    """configuration, problem of a grid (base, modifiers): combinations that can't be run are named, not dropped.
+
+    rerank needs a list to rerank (not ``meaning`` alone with light words); light words need a keyword list.
+    """
+    has = lambda m: F.array_contains("modifiers", m)
+    name = F.concat_ws("+", "base", F.array_join(F.array_sort("modifiers"), "+"))
+    problem = (
+        F.when(has("light") & (F.col("base") == "meaning"), "no keyword list")
+        .when(has("questions") & (F.col("base") == "keyword"), "no meaning list")
+        .when(F.size(F.array_distinct("modifiers")) < F.size("modifiers"), "named twice")
+    )
+    return grid.select(F.regexp_replace(name, r"\+$", "").alias("configuration"), problem.alias("problem"))
+
+
+def pooled(outcomes: DataFrame) -> DataFrame:
+    """topic, hits, total over all sets of outcomes (set, id, first): the topic is what follows the last slash of an id, a ``-chat`` ending aside."""
+    topic = F.regexp_replace(F.regexp_extract("id", r"([^/]*)$", 1), "-chat$", "")
+    hit = F.count_if(F.coalesce(F.col("first") <= 5, F.lit(False)))
+    return outcomes.groupBy(topic.alias("topic")).agg(hit.alias("hits"), F.count("*").alias("total"))
+
+
+def judged(before: DataFrame, after: DataFrame, k: int = 5) -> DataFrame:
+    """set, gained, lost, kept of runs (set, id, topic, first): topics' sums of hits compared; kept: no topic worse, or more gained than lost."""
+    hits = lambda df, name: df.groupBy("set", "topic").agg(F.count_if(F.coalesce(F.col("first") <= k, F.lit(False))).alias(name))
+    change = F.coalesce("a", F.lit(0)) - F.coalesce("b", F.lit(0))
+    both = hits(before, "b").join(hits(after, "a"), ["set", "topic"], "full").select("set", change.alias("c"))
+    sums = both.groupBy("set").agg(F.sum(F.greatest("c", F.lit(0))).alias("gained"), F.sum(F.greatest(-F.col("c"), F.lit(0))).alias("lost"))
+    return sums.withColumn("kept", F.col("gained") >= F.col("lost"))
+
+
+def answered_in_full(parts: DataFrame) -> DataFrame:
+    """question, answered: whether every part of a question (question, hit) was hit."""
+    return parts.groupBy("question").agg(F.bool_and("hit").alias("answered"))
+
+
+def last_attempts(runs: DataFrame) -> DataFrame:
+    """The last scored attempt of each (task, run): task, run, passed."""
+    return runs.where("passed is not null").groupBy("task", "run").agg(F.max_by("passed", "attempt").alias("passed"))
+
+
+def consistency(attempts: DataFrame) -> DataFrame:
+    """task, passed (share of its runs), verdict: every, some or none of them passed."""
+    verdict = F.when(F.bool_and("passed"), "every").when(F.bool_or("passed"), "some").otherwise("none")
+    return attempts.groupBy("task").agg(F.round(F.avg(F.col("passed").cast("int")), 4).alias("share"), verdict.alias("verdict"))
+
+
+def audited(questions: DataFrame) -> DataFrame:
+    """id, verdict of questions (id, article, quote, note, evidence): cited, justified or rejected.
+
+    A quote that its source (evidence) doesn't hold is rejected; where the quote, or else the source, names the article
+    the question is cited; else a note justifies it.
+    """
+    told = F.coalesce("quote", "evidence")
+    names = F.col("article").isNotNull() & F.expr("coalesce(quote, evidence) rlike concat('\\\\b(?:Article|Art\\\\.)\\\\s*', article, '\\\\b')")
+    missing = F.col("quote").isNotNull() & ~F.contains("evidence", "quote")
+    verdict = F.when(missing, "rejected").when(told.isNotNull() & names, "cited").when(F.col("note").isNotNull(), "justified").otherwise("rejected")
+    return questions.select("id", verdict.alias("verdict"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 FIELDS = ["occurred_at", "actor", "token", "action", "target_type", "target_id", "details"]
@@ -46,3 +50,57 @@ def manifest(entries: DataFrame) -> DataFrame:
     """An export's manifest: count, first and last seq, the last hash."""
     last = F.max(F.struct("seq", "entry_hash"))
     return entries.agg(F.count("*").alias("count"), F.min("seq").alias("from_seq"), F.max("seq").alias("to_seq"), last["entry_hash"].alias("final_hash"))
+
+
+def chained(entries: DataFrame, chain: str) -> DataFrame:
+    """entries (``chain``, seq, FIELDS) with prev_hash and entry_hash (hex): each entry's predecessor is the one before it in its chain.
+
+    The first predecessor is the SHA-256 of the chain's name. A chain is sequential by its nature: one chain is one
+    group, held by one task as it is appended to by one writer; many chains run side by side.
+    """
+    columns = [chain, "seq", *FIELDS]
+    schema = f"{chain} {entries.schema[chain].dataType.simpleString()}, seq long, prev_hash string, entry_hash string"
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq")
+        before, out = hashlib.sha256(str(rows[chain].iloc[0]).encode()).digest(), []
+        for seq, *fields in zip(rows["seq"], *(rows[f] for f in FIELDS), strict=True):
+            parts = [b"1", before, *("" if pd.isna(f) else f for f in fields)]
+            data = b"".join(len(p).to_bytes(8, "big") + p for p in (x if isinstance(x, bytes) else x.encode() for x in parts))
+            own = hashlib.sha256(data).digest()
+            out.append((rows[chain].iloc[0], seq, before.hex(), own.hex()))
+            before = own
+        return pd.DataFrame(out, columns=[chain, "seq", "prev_hash", "entry_hash"])
+
+    return entries.select(*columns).groupBy(chain).applyInPandas(link, schema)
+
+
+def verify_exports(entries: DataFrame, manifests: DataFrame) -> DataFrame:
+    """export, problem for exports that their manifest doesn't fit; none where all hold (``verify`` tells about the entries themselves).
+
+    entries: export, seq, prev_hash, entry_hash; manifests: export, entries, anchored, genesis_hash, first_prev_hash,
+    final_entry_hash. count: another number of entries; start: the first predecessor isn't the one named (genesis
+    where anchored); end: the last hash is another.
+    """
+    ends = entries.groupBy("export").agg(
+        F.count("*").alias("n"), F.min(F.struct("seq", "prev_hash"))["prev_hash"].alias("start"), F.max(F.struct("seq", "entry_hash"))["entry_hash"].alias("end"),
+    )
+    wanted = F.when(F.col("anchored"), F.col("genesis_hash")).otherwise(F.col("first_prev_hash"))
+    both = manifests.join(ends, "export", "left")
+    problem = (
+        F.when(F.coalesce("n", F.lit(0)) != F.col("entries"), "count").when(F.col("n").isNull(), None).when(~F.col("start").eqNullSafe(wanted), "start")
+        .when(F.col("end") != F.col("final_entry_hash"), "end")
+    )
+    return both.select("export", problem.alias("problem")).where("problem is not null")
+
+
+def loaded(old: DataFrame, new: DataFrame) -> DataFrame:
+    """document, version, outcome, number of releases new (document, version, source_ref) that old doesn't hold by source_ref.
+
+    Newer ones than any of their document are loaded with the numbers that follow, in order; older ones are refused.
+    """
+    last = old.groupBy("document").agg(F.max("version").alias("last"), F.count("*").alias("n"))
+    fresh = new.join(old.select("source_ref"), "source_ref", "left_anti").join(last, "document", "left")
+    older = F.coalesce(F.col("version") < F.col("last"), F.lit(False))
+    turn = F.row_number().over(W.partitionBy("document", older).orderBy("version"))
+    return fresh.select("document", "version", F.when(older, "older").otherwise("loaded").alias("outcome"), F.when(~older, F.coalesce("n", F.lit(0)) + turn).alias("number"))

@@ -152,3 +152,9 @@ def sessions(entries: DataFrame, idle: str = "30 minutes") -> DataFrame:
     """actor, start, end, n: entries with no gap of ``idle`` between them."""
     grouped = entries.where("actor is not null").groupBy("actor", F.session_window("created_at", idle).alias("w")).agg(F.count("*").alias("n"))
     return grouped.select("actor", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def resolved(entries: DataFrame, known: DataFrame, on: str, order: list[str]) -> DataFrame:
+    """Results of entries (id, ...) that resolve in known by ``on``, ranked from 1 a entry by order; those that don't are skipped."""
+    rank = F.row_number().over(W.partitionBy("id").orderBy(*order))
+    return entries.join(known, on).withColumn("rank", rank)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def spark_session(app: str = "clausewright", cpus: int | None = None) -> SparkSession:
@@ -33,17 +34,25 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 _LOCAL: list[str] = []
 
 
-def cut(df):
-    """df, computed once and read from the checkpoint folder (spark.checkpoint.dir) from then on.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only on a single machine may the folder be unset; one under /tmp stands in there.
+    Only on a single machine may that be unset; a folder under /tmp stands in there.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not context.master.startswith("local"):
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _LOCAL:
             os.makedirs("/tmp/checkpoints", exist_ok=True)
-            _LOCAL.append(tempfile.mkdtemp(prefix="clausewright-", dir="/tmp/checkpoints"))
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{_LOCAL[0]}")
+            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="clausewright-", dir="/tmp/checkpoints"))
+        path = _LOCAL[0]
+    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and read from the checkpoint folder from then on."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(scratch(df.sparkSession, "checkpoints"))
     return df.checkpoint()

@@ -1 +1 @@
-
+"""Readers and writers of the corpus's files."""
