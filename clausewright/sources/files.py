@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import yaml
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from clausewright.functions.redaction import natural_key
 
@@ -52,14 +55,14 @@ def clause_rows(file: str, text: str) -> list[dict]:
 def read_clauses(spark: SparkSession, path: str) -> DataFrame:
     """CLAUSES of all clause files below a path (a folder ``file=...`` each, as ``write_clauses`` leaves them)."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in CLAUSES.split(", ")]
-        for rows in batches:
-            found = [r for f, t in zip(rows["file"], rows["value"], strict=True) for r in clause_rows(f, t)]
-            yield pd.DataFrame(found, columns=names).astype({"place": "Int64", "depth": "Int64", "normative": "boolean"})
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [r for x in batch.to_pylist() for r in clause_rows(x["file"], x["value"])]
+            yield pa.RecordBatch.from_pylist(found, schema=kinds)
 
-    files = spark.read.option("wholetext", True).schema("value string, file string").text(path)
-    return files.select("file", "value").mapInPandas(parse, CLAUSES)
+    kinds = to_arrow_schema(StructType.fromDDL(CLAUSES))
+    files = spark.read.schema("value string, file string").text(path, wholetext=True)
+    return files.select("file", "value").mapInArrow(parse, CLAUSES)
 
 
 def write_clauses(clauses: DataFrame, path: str) -> None:
@@ -78,8 +81,6 @@ def write_clauses(clauses: DataFrame, path: str) -> None:
 
 def in_law_order(files: DataFrame, expected: DataFrame) -> DataFrame:
     """document, file, turn, problem: files (document, file) in the law's order (art-2 before art-10); problem: another count than expected (document, n)."""
-    from pyspark.sql import Window as W
-
     own = W.partitionBy("document")
     placed = files.select("document", "file", F.row_number().over(own.orderBy(natural_key(F.col("file")))).alias("turn"), F.count("*").over(own).alias("found"))
     return placed.join(expected, "document", "left").select("document", "file", "turn", F.when(~F.col("found").eqNullSafe(F.col("n")), "count").alias("problem"))
@@ -102,16 +103,19 @@ def coming(files: DataFrame, pack_day: str) -> DataFrame:
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """id, question, lang, expected, problem of all question files (YAML) below a path; ids are used once over all of them."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for text in rows["value"]:
-                for q in (yaml.safe_load(text) or {}).get("questions", []):
+            for x in batch.to_pylist():
+                for q in (yaml.safe_load(x["value"]) or {}).get("questions") or []:
                     lacks = [f for f in ("id", "question", "lang", "expected_keys") if not q.get(f)]
-                    out.append((q.get("id"), q.get("question"), q.get("lang"), [str(k) for k in q.get("expected_keys") or []], f"no {lacks[0]}" if lacks else None))
-            yield pd.DataFrame(out, columns=["id", "question", "lang", "expected", "problem"])
+                    told = {f: q.get(f) for f in ("id", "question", "lang")}
+                    out.append(told | {"expected": [str(k) for k in q.get("expected_keys") or []], "problem": f"no {lacks[0]}" if lacks else None})
+            yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
-    found = spark.read.option("wholetext", True).text(path).mapInPandas(parse, "id string, question string, lang string, expected array<string>, problem string")
+    schema = "id string, question string, lang string, expected array<string>, problem string"
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    found = spark.read.text(path, wholetext=True).select("value").mapInArrow(parse, schema)
     twice = found.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 and id is not null").select("id", F.lit("id used twice").alias("twice"))
     return found.join(twice, "id", "left").select("id", "question", "lang", "expected", F.coalesce("problem", "twice").alias("problem"))
 
