@@ -18,7 +18,8 @@ PATTERNS = {
 }
 CARD_DIGITS, PHONE_DIGITS = (13, 19), (7, 15)
 FOLD_FROM, FOLD_TO = "أإآٱىةؤئیک٠١٢٣٤٥٦٧٨٩", "اااايهءءيك0123456789"
-NAME, MAX_PATTERN = r"[A-Za-z_][A-Za-z0-9_]*", 200
+# The longest custom pattern, and a repeat of a group that repeats itself, which can take for ever to fail.
+MAX_PATTERN, NESTED = 200, r"\([^()]*[+*]\)[+*{]"
 
 
 def _card(found: Column) -> Column:
@@ -44,11 +45,33 @@ def _hidden(name: str, valid: Callable[[Column], Column]) -> Callable[[Column],
 
 
 def check_pattern(name: str, pattern: str) -> None:
-    """Refuse a custom pattern that is nameless, too long, broken or matches nothing at all."""
-    if not re.fullmatch(NAME, name) or len(pattern) > MAX_PATTERN or re.compile(pattern).match(""):
+    """Refuse a custom pattern that is nameless, too long, broken, matches nothing at all or nests repeats."""
+    try:
+        empty = re.compile(pattern).match("")
+    except re.error:
+        empty = True
+    if not name.isidentifier() or len(pattern) > MAX_PATTERN or empty or re.search(NESTED, pattern):
         raise ValueError(f"{name!r} is no usable pattern")
 
 
+def _step(state: Column, name: str, pattern: str) -> Column:
+    """state (text, count, types) with one kind's matches hidden; bound once, so that steps don't multiply."""
+    valid = CHECKS.get(name, lambda m: F.lit(True))
+
+    def hide(x: Column) -> Column:
+        n = F.size(F.filter(x["found"], valid))
+        shown = F.array_append(F.transform(x["found"], _hidden(name, valid)), F.lit(""))
+        pieces = F.zip_with(F.split(x["text"], pattern, -1), shown, lambda rest, own: F.concat(rest, own))
+        return F.struct(
+            F.when(n > 0, F.array_join(pieces, "")).otherwise(x["text"]).alias("text"),
+            (x["count"] + F.coalesce(n, F.lit(0))).alias("count"),
+            F.when(n > 0, F.array_append(x["types"], F.lit(name))).otherwise(x["types"]).alias("types"),
+        )
+
+    found = lambda s: F.struct(s["text"].alias("text"), s["count"].alias("count"), s["types"].alias("types"), F.regexp_extract_all(s["text"], F.lit(pattern), F.lit(0)).alias("found"))
+    return F.transform(F.transform(F.array(state), found), hide)[0]
+
+
 def redact(text: Column, custom: dict[str, str] | None = None) -> Column:
     """struct(text, count, types): every match of each kind, custom kinds first, becomes ``[redacted:kind]``.
 
@@ -57,16 +80,10 @@ def redact(text: Column, custom: dict[str, str] | None = None) -> Column:
     """
     for name, pattern in (custom or {}).items():
         check_pattern(name, pattern)
-    count, types = F.lit(0), []
+    state = F.struct(text.alias("text"), F.lit(0).alias("count"), F.array().cast("array<string>").alias("types"))
     for name, pattern in {**(custom or {}), **PATTERNS}.items():
-        pattern, valid = f"(?U){pattern}", CHECKS.get(name, lambda m: F.lit(True))
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        shown = F.transform(found, _hidden(name, valid))
-        n = F.size(F.filter(found, valid))
-        pieces = F.zip_with(F.split(text, pattern, -1), F.array_append(shown, F.lit("")), lambda rest, own: F.concat(rest, own))
-        text = F.when(n > 0, F.array_join(pieces, "")).otherwise(text)
-        count, types = count + F.coalesce(n, F.lit(0)), [*types, F.when(n > 0, F.lit(name))]
-    return F.struct(text.alias("text"), count.alias("count"), F.array_compact(F.array(*types)).alias("types"))
+        state = _step(state, name, f"(?U){pattern}")
+    return state
 
 
 def arabic_light(text: Column) -> Column:
