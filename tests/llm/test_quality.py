@@ -45,3 +45,30 @@ def test_edge_rows(spark):
     assert len(got) == 5 and len({r.score for r in got if r.doc_id == 1}) == 1
     assert {r.score for r in score_quality(docs, labels.limit(0)).collect()} == {0.5}
     assert score_quality(docs.limit(0), labels).count() == 0
+
+
+def test_fit_is_one_direct_solve(spark):
+    """Summed normal equations and ridge weights against numpy on all rows at once; features against the kernel."""
+    from clausewright.llm import quality as q
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, len(STATISTICS))).astype(np.float32)
+    x[:, 3] = 1.0  # a statistic that doesn't vary
+    y = (x[:, 0] + 0.3 * rng.normal(size=600) > 0).astype(float)
+    learn = spark.createDataFrame([(r.tolist(), float(v)) for r, v in zip(x, y, strict=True)], "x array<float>, y double").repartition(5)
+    model = q.fit(learn)
+    wide = x.astype(float)
+    scale = wide.std(axis=0)
+    plain = q.FourierRidge(wide.mean(axis=0), np.where(scale > 1e-9, scale, 1.0))
+    z = plain.features(wide)
+    penalty = np.diag([q.PENALTY * len(x)] * q.N_FEATURES + [0.0]) + 1e-9 * np.eye(q.N_FEATURES + 1)
+    want = np.linalg.solve(z.T @ z + penalty, z.T @ y)
+    assert np.allclose(model.raw(wide), z @ want, atol=1e-5)
+    steps = np.clip(np.floor((z @ want + 0.5) / 2 * q.BINS), 0, q.BINS - 1).astype(int)
+    used = np.unique(steps)
+    level = q.isotonic(np.array([y[steps == s].mean() for s in used]), np.array([(steps == s).sum() for s in used], float))
+    assert np.mean(np.abs(model.score(wide) - np.interp(z @ want, (used + 0.5) * 2 / q.BINS - 0.5, level)) < 1e-3) > 0.98
+    many = q.FourierRidge(np.zeros(4), np.ones(4), n_features=20_000)
+    a = rng.normal(size=(30, 4))
+    kernel = np.exp(-((a[:, None] - a[None]) ** 2).sum(axis=2) / (2 * q.WIDTH**2))
+    assert np.abs(many.features(a)[:, :-1] @ many.features(a)[:, :-1].T - kernel).max() < 0.05

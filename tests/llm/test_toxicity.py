@@ -61,3 +61,24 @@ def test_edge_rows(spark):
     assert [r.score for r in got if r.doc_id in (None, 1, 2)] == [0, 0, 0, 0]
     assert {r.predicted for r in score_toxicity(docs, labels.limit(0)).collect()} == {0}
     assert score_toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_scores_are_those_of_windows_taken_one_by_one(spark):
+    """Every whole text of the table against a plain version: slice its windows, run each alone, take the worst."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    learn = toxicity.sample(docs, labels).orderBy("doc_id", "y").toPandas()
+    network = toxicity.fit(learn["text"].tolist(), learn["y"].tolist())
+    got = {r.doc_id: r for r in op6_recurrent_toxicity(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        words, worst = words_of(r.text), -np.inf
+        for start in range(0, max(1, len(words) - (toxicity.WINDOW - toxicity.STRIDE)), toxicity.STRIDE):
+            window = words[start : start + toxicity.WINDOW]
+            if window:
+                names, index, mask = as_batch([window])
+                worst = max(worst, float(network.run(network.project(network.inputs(names)[0])[index], mask)[0]))
+        score = 1 / (1 + np.exp(-(worst - float(network.shift))))
+        assert got[r.doc_id].score == pytest.approx(score, abs=1e-4), r.doc_id
+        assert got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.5)
