@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm.shared import written
+from clausewright.llm.shared import tidy, written
 
 CAPACITY = 4096
 #: Pieces packed together; a task holds a group of them.
@@ -126,7 +126,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> Da
                     out.append((doc_id, n, at // 4, len(own) // 4, zlib.crc32(own)))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(cut, PIECE_SCHEMA)
+    return docs.select("doc_id", "text").mapInPandas(tidy(cut), PIECE_SCHEMA)
 
 
 class OpenBins:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +59,23 @@ def drop_written(*tables: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def tidy(task):
+    """task, of mapInPandas or mapInArrow, handing memory that it freed back to the system when a partition ends.
+
+    Python workers are used again: what Arrow and the C library keep for themselves would still be held in later stages.
+    """
+
+    @functools.wraps(task)
+    def run(batches):
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+        if trim:
+            trim(0)
+
+    return run
+
+
 def held_out(doc_id) -> F.Column:
     """Rows kept from learning: crc32 of doc_id as text, modulo 5, is 0 (a null id counts as '')."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0

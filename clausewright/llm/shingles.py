@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clausewright.llm.shared import drop_written, written
+from clausewright.llm.shared import drop_written, tidy, written
 from clausewright.llm.simhash import SEED, components, crowds_split, links, majority, shingle_hashes
 
 #: Shingles' words; the least similarity as a fraction of whole numbers.
@@ -167,7 +167,7 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pd.DataFrame({"shingle": np.concatenate([shingles(t) for t in rows["text"]] or [np.empty(0, np.int64)])})
 
     some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(ONE_OF)) == 0)
-    counts = some.mapInPandas(split, "shingle long").groupBy("shingle").count().where(F.col("count") >= OFTEN)
+    counts = some.mapInPandas(tidy(split), "shingle long").groupBy("shingle").count().where(F.col("count") >= OFTEN)
     found = counts.orderBy(F.desc("count"), "shingle").limit(LISTED).toPandas().sort_values("shingle")
     return found["shingle"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
 
@@ -186,7 +186,7 @@ def sets_of(docs: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
     wanted = written(sets.select("node", "text_hash").join(members.select("node").distinct(), "node", "left_semi").select("text_hash").distinct(), "shingle-texts")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(wanted, "text_hash", "left_semi").select("text").distinct()
-    return texts.mapInPandas(make, "node long, own binary").dropDuplicates(["node"])
+    return texts.mapInPandas(tidy(make), "node long, own binary").dropDuplicates(["node"])
 
 
 def confirmed(docs: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
@@ -211,9 +211,9 @@ def confirmed(docs: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame
 
     sketched = members.join(sets.select("node", "counts", "size"), "node").groupBy("met").agg(F.collect_list(F.struct("node", "counts", "size")).alias("x"))
     sketched = sketched.select("met", F.col("x.node").alias("nodes"), F.col("x.counts").alias("counts"), F.col("x.size").alias("sizes"))
-    left = written(sketched.mapInPandas(sieve, "met long, node long"), "shingle-groups")
+    left = written(sketched.mapInPandas(tidy(sieve), "met long, node long"), "shingle-groups")
     joined = left.join(sets_of(docs, sets, left), "node").groupBy("met").agg(F.collect_list(F.struct("node", "own")).alias("x"))
-    found = written(joined.select(F.col("x.node").alias("nodes"), F.col("x.own").alias("own")).mapInPandas(connect, "a long, b long"), "shingle-links")
+    found = written(joined.select(F.col("x.node").alias("nodes"), F.col("x.own").alias("own")).mapInPandas(tidy(connect), "a long, b long"), "shingle-links")
     drop_written(left)
     return found
 
@@ -256,7 +256,7 @@ def near_by_prefix(sets: DataFrame) -> DataFrame:
     buckets = crowds_split(keyed, "shingle", "node", CROWD).groupBy("shingle", "block").agg(F.collect_list(member).alias("met"))
     buckets = buckets.where((F.size("met") > 1) & (F.size(F.array_distinct("met.known")) > 1))
     buckets = buckets.select(F.col("met.node").alias("nodes"), F.col("met.size").alias("sizes"), F.col("met.place").alias("places"), F.col("met.known").alias("known"))
-    return written(buckets.mapInPandas(meet, "met long, node long").distinct(), "shingle-meetings")
+    return written(buckets.mapInPandas(tidy(meet), "met long, node long").distinct(), "shingle-meetings")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     schema = "doc_id long, text_hash long, node long, first array<long>, counts binary, size int, print long"
-    rows = written(texts.mapInPandas(mark, schema), "shingles")
+    rows = written(texts.mapInPandas(tidy(mark), schema), "shingles")
     # A node has several fingerprints only by repeats inside texts of one shingle set; any of them may name its candidates.
     sets = written(rows.drop("doc_id").dropDuplicates(["node"]), "shingle-sets")
     close = near_by_fingerprint(sets.select("node", "print"))

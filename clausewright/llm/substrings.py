@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm.shared import written
+from clausewright.llm.shared import tidy, written
 
 WINDOW = 35
 #: Windows of no more words than this aren't halved again.
@@ -184,7 +184,14 @@ def _chunks(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), pa.array(row[1], pa.binary()), pa.array(row[2], pa.int64())], ["chunk", "batch", "bytes"])
                 number, lo = number + 1, hi
 
-    return docs.mapInArrow(gather, "chunk long, batch binary, bytes long")
+    return docs.mapInArrow(tidy(gather), "chunk long, batch binary, bytes long")
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The batches' rows one at a time: a row is a whole chunk, and a batch of them as objects would weigh too much."""
+    for rows in batches:
+        for i in range(len(rows)):
+            yield rows.slice(i, 1).to_pylist()[0]
 
 
 def _open(row: pa.Scalar) -> pa.RecordBatch:
@@ -205,22 +212,20 @@ def _count(chunks: DataFrame, lengths: list[int], done: int, shift: int) -> Data
     """Answers to the next level's hashes: chunk, answers (range, bits, n)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for row in rows.to_pylist():
-                found = survivors(Words(_open_text(row)), lengths, _answers(row, done))
-                distinct, several = found
-                ranges = (distinct[:, 0] >> np.uint64(shift)).astype(np.int64)
-                cuts = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1], True]) if len(distinct) else np.zeros(1, int)
-                pairs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ranges[cuts[:-1]], pa.int64()),
-                        pa.array([row["chunk"]] * len(pairs), pa.int64()),
-                        pa.array([distinct[a:b].tobytes() for a, b in pairs], pa.binary()),
-                        pa.array([np.packbits(several[a:b]).tobytes() for a, b in pairs], pa.binary()),
-                    ],
-                    ["range", "chunk", "hashes", "several"],
-                )
+        for row in _each(batches):
+            distinct, several = survivors(Words(_open_text(row)), lengths, _answers(row, done))
+            ranges = (distinct[:, 0] >> np.uint64(shift)).astype(np.int64)
+            cuts = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1], True]) if len(distinct) else np.zeros(1, int)
+            pairs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ranges[cuts[:-1]], pa.int64()),
+                    pa.array([row["chunk"]] * len(pairs), pa.int64()),
+                    pa.array([distinct[a:b].tobytes() for a, b in pairs], pa.binary()),
+                    pa.array([np.packbits(several[a:b]).tobytes() for a, b in pairs], pa.binary()),
+                ],
+                ["range", "chunk", "hashes", "several"],
+            )
 
     wide = 2 if done + 1 == len(lengths) else 1
 
@@ -241,7 +246,7 @@ def _count(chunks: DataFrame, lengths: list[int], done: int, shift: int) -> Data
             }
         )
 
-    sent = chunks.mapInArrow(send, "range long, chunk long, hashes binary, several binary")
+    sent = chunks.mapInArrow(tidy(send), "range long, chunk long, hashes binary, several binary")
     counted = sent.groupBy("range").applyInArrow(count, "range long, chunk long, bits binary, n int, alive boolean")
     return counted.groupBy("chunk").agg(F.collect_list(F.struct("range", "bits", "n", "alive")).alias(f"answers{done}"))
 
@@ -288,14 +293,13 @@ def _results(docs: DataFrame, window: int, make, schema) -> DataFrame:
             break
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for row in rows.to_pylist():
-                batch = _open(pa.scalar(row["batch"], pa.binary()))
-                words = Words(batch["text"])
-                repeated = survivors(words, lengths, _answers(row, len(lengths))) if repeats else np.zeros(0, np.int64)
-                yield make(batch, *_rewritten(words, repeated, window))
-
-    return answered.mapInArrow(finish, schema)
+        for row in _each(batches):
+            batch = _open(pa.scalar(row["batch"], pa.binary()))
+            words = Words(batch["text"])
+            repeated = survivors(words, lengths, _answers(row, len(lengths))) if repeats else np.zeros(0, np.int64)
+            yield make(batch, *_rewritten(words, repeated, window))
+
+    return answered.mapInArrow(tidy(finish), schema)
 
 
 def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:

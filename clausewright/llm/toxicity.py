@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from clausewright.llm.shared import held_out
+from clausewright.llm.shared import held_out, tidy
 
 #: Words of a window, and from one window's start to the next.
 WINDOW, STRIDE = 32, 24
@@ -316,9 +316,6 @@ def fit(texts: list[str], labels: list[int]) -> GatedNetwork:
     return network
 
 
-_MEMOS: dict = {}
-
-
 def sample(docs: DataFrame, labels: DataFrame, n: int = SAMPLE_DOCS) -> DataFrame:
     """The training sample: text and y of at most n labelled documents of each class.
 
@@ -351,7 +348,7 @@ def _scored(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame
             yield pa.RecordBatch.from_arrays([row, pa.array(out)], ["row", "score"])
 
     packed = docs.select(F.struct(*dict.fromkeys([*columns, "text"])).alias("row"))
-    return packed.mapInArrow(score, StructType([packed.schema["row"], StructField("score", DoubleType())]))
+    return packed.mapInArrow(tidy(score), StructType([packed.schema["row"], StructField("score", DoubleType())]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
