@@ -57,7 +57,8 @@ def _closest(asked: list[tuple], limit: int):
                     # All that tie with the last one of the batch's best are handed on: keys settle ties.
                     least = np.partition(scores, len(keys) - n, axis=0)[len(keys) - n]
                     key_at, question_at = np.nonzero(scores >= least[None, :])
-                    yield pd.DataFrame({"qid": ids[np.array(at)[question_at]], "source": source, "key": keys[key_at], "score": scores[key_at, question_at]})
+                    named = pd.Series([None if pd.isna(source) else source] * len(key_at), dtype=object)
+                    yield pd.DataFrame({"qid": ids[np.array(at)[question_at]], "source": named, "key": keys[key_at], "score": scores[key_at, question_at]})
 
     return find
 

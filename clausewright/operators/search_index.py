@@ -65,7 +65,8 @@ class Index:
     def add(self, texts: DataFrame, analyzers: dict[str, Callable[[Column], Column]] | None = None) -> None:
         """Append texts (text_id, source, lang, heading, body) that the index doesn't hold; texts without a worded body aren't kept.
 
-        A text_id is added once: rows whose id the index holds already are left out. Null headings count as empty.
+        A text_id is added once: rows whose id the index holds already are left out. Null headings count as empty, as do
+        null sources; texts of no language aren't found.
         """
         if texts.limit(1).isEmpty():
             return
@@ -75,7 +76,7 @@ class Index:
         except AnalysisException:
             pass  # there is no index yet
         words = analyzed(F.concat_ws(" ", "heading", "body"), F.col("lang"), analyzers)
-        sized = worded.select("text_id", "source", "lang", words.alias("words")).withColumn("n_words", F.size("words"))
+        sized = worded.select("text_id", F.coalesce("source", F.lit("")).alias("source"), "lang", words.alias("words")).withColumn("n_words", F.size("words"))
         # An empty term stands for each text once: it keeps texts of no terms in the statistics.
         each = sized.select("text_id", "source", "lang", "n_words", F.explode(F.array_append("words", F.lit(""))).alias("term"))
         counted = cut(each.groupBy("text_id", "source", "lang", "n_words", "term").agg(F.count("*").alias("tf")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clausewright.operators import clauses as cl
 from clausewright.plans.catalog import query
-from clausewright.session import table
+from clausewright.session import cut, table
 
 TODAY = "1999-06-01"
 
@@ -57,6 +57,8 @@ def corpus(spark, sf_dir) -> cl.Corpus:
         F.concat(F.lit("d"), text(F.col("o_custkey"))).alias("document"), F.col("o_orderkey").alias("version"), number.alias("number"), F.when(draft, "draft").otherwise("published").alias("status"),
         F.to_date("o_orderdate").alias("effective"),
     ).withColumn("version_label", F.concat(F.lit("v"), text(F.col("number"))))
+    # A corpus is stored tables; what stands for them here is computed once.
+    versions = cut(versions)
     before = F.lag("version").over(W.partitionBy("document").orderBy("number"))
     earlier = versions.where("status = 'published'").select("version", before.alias("before"))
     lines = lineitem.groupBy("l_orderkey", "l_linenumber").agg(
@@ -71,8 +73,10 @@ def corpus(spark, sf_dir) -> cl.Corpus:
         F.when(F.col("flag") != "A", F.concat(F.lit("Art. "), text(line))).alias("label"), (F.col("flag") != "R").alias("is_normative"), (1 + F.floor(F.log2(line))).cast("int").alias("depth"),
         F.when(F.col("part") % 5 != 0, F.col("before") * 8 + turned).alias("was"),
     )
+    raw = cut(raw)
     known = raw.select("id")
     nodes = raw.join(known.withColumnsRenamed({"id": "parent"}), F.col("up") == F.col("parent"), "left").join(known.withColumnsRenamed({"id": "previous_id"}), F.col("was") == F.col("previous_id"), "left")
+    nodes = cut(nodes)
     part, worded = F.col("part"), nodes.where("part % 31 <> 0")
     none = F.lit(None)
 

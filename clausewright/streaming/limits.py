@@ -1,9 +1,7 @@
-"""Token buckets over requests, as a stateful stream and as a batch fold."""
+"""Token buckets over requests, folded in batches; ``bounded`` has the streams."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,19 +39,6 @@ def token_bucket(requests: DataFrame, per_minute: int) -> DataFrame:
     return requests.select("key", "id", "at").groupBy("key").applyInPandas(fold, OUT)
 
 
-def token_bucket_stream(requests: DataFrame, per_minute: int) -> DataFrame:
-    """token_bucket over a stream: a key's state is two numbers, whatever has gone before; late rows count when they come."""
-
-    def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else None
-        rows = pd.concat(list(batches))
-        out, now = _fold(key[0], rows, now, per_minute)
-        state.update(now)
-        yield out
-
-    return requests.select("key", "id", "at").groupBy("key").applyInPandasWithState(fold, OUT, "left double, at double", "append", "NoTimeout")
-
-
 def layered(requests: DataFrame, layers: list[tuple[str, int]]) -> DataFrame:
     """id, refused_by, wait of requests (id, at and a column for each layer): the first layer that refuses, null for none.
 

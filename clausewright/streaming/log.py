@@ -26,10 +26,13 @@ def folded_runs(events: DataFrame) -> DataFrame:
 
 
 def days(entries: DataFrame, zone: str, late: str = "2 days") -> DataFrame:
-    """day, n: entries (created_at) by local day; on a stream, days stay open for ``late`` and later rows are dropped."""
-    local = F.from_utc_timestamp("created_at", zone)
-    counted = entries.withWatermark("created_at", late) if entries.isStreaming else entries
-    return counted.groupBy(F.window(local, "1 day").alias("w")).agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), "n")
+    """day, n: entries (created_at) by local day; on a stream, days stay open for ``late`` and later rows are dropped.
+
+    The watermark stands on the local time, of which the windows are made, so that a closed day leaves the state.
+    """
+    local = entries.select(F.from_utc_timestamp("created_at", zone).alias("local"))
+    counted = local.withWatermark("local", late) if entries.isStreaming else local
+    return counted.groupBy(F.window("local", "1 day").alias("w")).agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), "n")
 
 
 def kept(entries: DataFrame, retention_days: int) -> DataFrame:
