@@ -7,33 +7,89 @@ from pyspark.sql import functions as F
 from clausewright.plans.catalog import query
 from clausewright.plans.corpus_queries import _governed
 from clausewright.session import scratch, table
-from clausewright.sources import files
-
-_SQUASH = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
-
+from clausewright.sources import files, packs
+from clausewright.sources.named_text import write_named
 
 @query(
     "src2_clause_files",
-    f"""WITH d AS (SELECT *, 'law:' || source || ':art-' || (doc_id // 4) AS top, {_SQUASH} AS body FROM documents),
-    r AS (SELECT DISTINCT top FROM d) SELECT top AS key, NULL AS parent, 1 AS depth, NULL AS label, '' AS body, 'en' AS lang FROM r
-    UNION ALL SELECT top || ':para-' || doc_id, top, 2, doc_id || '.', md5(body), 'en' FROM d""",
+    r"""WITH d AS (SELECT *, 'law:' || source || ':art-' || (doc_id // 4) AS top, trim(regexp_replace(text, '[ \t\x0B\f\r]+', ' ', 'g'), ' ' || chr(10)) AS body FROM documents),
+    r AS (SELECT top, min(doc_id) AS one FROM d GROUP BY top)
+    SELECT top AS key, NULL AS parent, 1 AS depth, 'No. ' || (one % 3) AS label, 'Scope: ' || one || ' "it" \ that' AS heading, md5('# not a heading' || chr(10) || '---' || chr(10) || '\# nor this') AS body, CASE WHEN one % 2 = 0 THEN 'no' ELSE 'en' END AS lang, one % 5 <> 0 AS normative FROM r
+    UNION ALL SELECT d.top || ':para-' || doc_id, d.top, 2, doc_id || '.', NULL, md5(CASE WHEN doc_id % 2 = 0 THEN '## ' ELSE '' END || body), CASE WHEN one % 2 = 0 THEN 'no' ELSE 'en' END, one % 5 <> 0 FROM d JOIN r ON r.top = d.top""",
 )
 def clause_files(spark, sf_dir):
-    """SRC2, SNK11: clauses written as Markdown, one file an article, and read back as they were."""
+    """SRC2, SNK11: clauses written as Markdown, one file an article, and read back as they were: lines, marks, quotes and all."""
     top = F.concat(F.lit("law:"), "source", F.lit(":art-"), F.floor(F.col("doc_id") / 4).cast("string"))
-    body = F.trim(F.regexp_replace("text", r"\s+", " "))
+    body = F.trim(F.regexp_replace("text", r"[ \t\x0B\f\r]+", " "), F.lit(" \n"))
     docs = table(spark, sf_dir, "documents").select(top.alias("top"), "doc_id", body.alias("body"))
-    i = F.col("doc_id").cast("string")
-    named = lambda df, key, place, depth, label, text: df.select(
-        F.replace("top", F.lit(":"), F.lit("_")).alias("file"), key.alias("key"), place.cast("int").alias("place"), F.lit(depth).alias("depth"), label.cast("string").alias("label"),
-        F.lit(None).cast("string").alias("heading"), text.alias("body"), F.lit("en").alias("lang"), F.lit(True).alias("normative"),
+    roots = docs.groupBy("top").agg(F.min("doc_id").alias("one"))
+    i, one = F.col("doc_id").cast("string"), F.col("one")
+    named = lambda df, key, place, depth, label, heading, text: df.select(
+        F.replace("top", F.lit(":"), F.lit("_")).alias("file"), key.alias("key"), place.cast("int").alias("place"), F.lit(depth).alias("depth"), label.alias("label"), heading.cast("string").alias("heading"),
+        text.alias("body"), F.when(one % 2 == 0, "no").otherwise("en").alias("lang"), (one % 5 != 0).alias("normative"),
     )
-    roots = named(docs.select("top").distinct(), F.col("top"), F.lit(0), 1, F.lit(None), F.lit(""))
-    below = named(docs, F.concat("top", F.lit(":para-"), i), F.col("doc_id") + 1, 2, F.concat(i, F.lit(".")), F.col("body"))
+    title = F.concat(F.lit("Scope: "), one.cast("string"), F.lit(' "it" \\ that'))
+    above = named(roots, F.col("top"), F.lit(0), 1, F.concat(F.lit("No. "), (one % 3).cast("string")), title, F.lit("# not a heading\n---\n\\# nor this"))
+    marked = F.concat(F.when(F.col("doc_id") % 2 == 0, "## ").otherwise(""), "body")
+    below = named(docs.join(roots, "top"), F.concat("top", F.lit(":para-"), i), F.col("doc_id") + 1, 2, F.concat(i, F.lit(".")), F.lit(None), marked)
     path = scratch(spark, "clause-files")
-    files.write_clauses(roots.union(below), path)
-    found = files.read_clauses(spark, path)
-    return found.select("key", "parent", "depth", "label", F.when(F.col("depth") == 1, F.col("body")).otherwise(F.md5("body")).alias("body"), "lang")
+    files.write_clauses(above.union(below), path)
+    return files.read_clauses(spark, path).select("key", "parent", "depth", "label", "heading", F.md5("body").alias("body"), "lang", "normative")
+
+
+_PACK_SQL = """packs AS (
+  SELECT c_custkey AS id, 'pack-' || c_custkey AS slug, c_custkey % 12 AS kind, c_nationkey FROM customer)"""
+
+
+def pack_files(spark, sf_dir):
+    """customer as pack descriptions, most of them wrong in one way."""
+    c, kind = F.col("c_custkey").cast("string"), F.col("c_custkey") % 12
+    only = lambda test, text, other="": F.when(test, text).otherwise(F.lit(other))
+    names = lambda field: F.concat(F.lit(f"{field}:\n  fr: 'Loi: "), c, F.lit("'\n"), only(kind == 1, "", "  en: Act\n") if field == "name" else F.lit("  en: Act\n"), only(kind == 2, "  de: Gesetz\n") if field == "short_name" else F.lit(""))
+    region = F.element_at(F.array(*[F.lit(r) for r in packs.REGIONS]), (F.col("c_nationkey") % 5 + 1).cast("int"))
+    entry = F.concat(
+        F.lit("  - slug: doc-"), c, F.lit("\n    title: {fr: Titre, en: Title}\n    expected_clauses: "), (F.col("c_custkey") % 40).cast("string"), F.lit("\n    commencement:\n      - keys: ['doc-"), c, F.lit(":art-1']\n        source: Act 1\n        from: "),
+        only(kind == 3, "pending", "2020-05-01"), F.lit("\n        until: "), only(kind == 4, "2019-01-01", "2024-01-01"), F.lit("\n      - keys: ['doc-"), c, F.lit(":art-1:para-2', 'doc-"), c, F.lit(":art-2']\n        source: Act 2\n        from: 2021-0"), (F.col("c_nationkey") % 9 + 1).cast("string"), F.lit("-01\n"),
+    )
+    text = F.concat(
+        F.lit("format: "), only(kind == 5, "1", "2"), F.lit("\nslug: pack-"), c, F.lit("\n"), names("name"), names("short_name"), names("jurisdiction"), F.lit("region: "), F.when(kind == 6, "Atlantis").otherwise(region),
+        F.lit("\nversion: '2026."), (F.col("c_custkey") % 30).cast("string"), F.lit("'\neffective_date: "), only(kind == 7, "soon", "2018-05-25"), F.lit("\ntrust_tier: community\nsource_url: https://example.org/"), c, F.lit("\nlicense: "), only(kind == 8, "''", "free"),
+        F.lit("\nauthoritative_language: fr\ntranslations:\n  - {lang: en, status: "), only(kind == 9, "good", "official"), F.lit(", license: free}\n"), only(kind == 10, "", "documents:\n"), F.when(kind != 10, entry).otherwise(""), only(kind == 11, "oops: [\n"),
+    )
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("p"), c, F.lit(".pack.yaml")).alias("file"), text.alias("value"))
+
+
+@query(
+    "src1_pack_metadata",
+    f"""WITH {_PACK_SQL}, told AS (SELECT *, CASE kind WHEN 1 THEN 'not named in each language' WHEN 2 THEN 'named in different languages' WHEN 4 THEN 'commencement ends before it starts' WHEN 5 THEN 'another format' WHEN 6 THEN 'region' WHEN 7 THEN 'effective_date'
+      WHEN 8 THEN 'empty license' WHEN 9 THEN 'translation status' WHEN 10 THEN 'missing documents' WHEN 11 THEN 'no YAML' END AS problem FROM packs)
+    SELECT 'p' || id || '.pack.yaml' AS file, problem, CASE WHEN problem IS NULL THEN slug END AS slug, CASE WHEN problem IS NULL THEN 'Loi: ' || id END AS french_name, CASE WHEN problem IS NULL THEN (['Africa', 'Americas', 'Asia Pacific', 'Europe', 'Middle East'])[c_nationkey % 5 + 1] END AS region,
+      CASE WHEN problem IS NULL THEN DATE '2018-05-25' END AS effective_date, CASE WHEN problem IS NULL THEN 'en=official' END AS translations, CASE WHEN problem IS NULL THEN 'doc-' || id || '=' || (id % 40) || '/2' END AS documents FROM told""",
+)
+def pack_metadata(spark, sf_dir):
+    """SRC1: pack descriptions written as YAML, read and checked; each wrong one says why."""
+    path = scratch(spark, "packs")
+    write_named(pack_files(spark, sf_dir), path)
+    found = packs.read_packs(spark, path)
+    translations = F.array_join(F.transform("translations", lambda t: F.concat(t["lang"], F.lit("="), t["status"])), ",")
+    documents = F.array_join(F.transform("documents", lambda d: F.concat(d["slug"], F.lit("="), d["expected_clauses"].cast("string"), F.lit("/"), F.size(d["commencement"]).cast("string"))), ",")
+    return found.select("file", "problem", "slug", F.element_at("name", "fr").alias("french_name"), "region", "effective_date", translations.alias("translations"), documents.alias("documents"))
+
+
+@query(
+    "snk3_dated_apart",
+    f"""WITH {_PACK_SQL}, good AS (SELECT * FROM packs WHERE kind IN (0, 3)), k AS (SELECT id, kind, c_nationkey, part FROM good, (VALUES ('art-1'), ('art-1:para-1'), ('art-1:para-2:sub-1'), ('art-2'), ('art-3')) t(part))
+    SELECT 'doc-' || id || ':' || part AS key,
+      CASE WHEN part IN ('art-1', 'art-1:para-1') THEN CASE WHEN kind = 0 THEN DATE '2020-05-01' END WHEN part IN ('art-1:para-2:sub-1', 'art-2') THEN make_date(2021, c_nationkey % 9 + 1, 1) END AS starts, part IN ('art-1', 'art-1:para-1') AND kind = 3 AS pending,
+      CASE WHEN part LIKE 'art-1%' THEN DATE '2024-01-01' END AS ends, CASE part WHEN 'art-1:para-2:sub-1' THEN 'Act 2; Act 1' WHEN 'art-2' THEN 'Act 2' WHEN 'art-3' THEN '' ELSE 'Act 1' END AS sources FROM k""",
+)
+def dated_apart(spark, sf_dir):
+    """SNK3: a clause's start and end, each from the most specific entry that sets it, and what set them."""
+    found = packs.pack_rows(pack_files(spark, sf_dir)).where("problem is null")
+    parts = F.explode(F.array(*[F.lit(p) for p in ("art-1", "art-1:para-1", "art-1:para-2:sub-1", "art-2", "art-3")]))
+    documents = found.select(F.col("slug").alias("pack"), F.explode("documents.slug").alias("document")).withColumn("part", parts)
+    keys = documents.select("pack", "document", F.concat_ws(":", "document", "part").alias("key"))
+    return packs.dated(keys, found).select("key", "starts", "pending", "ends", F.array_join("sources", "; ").alias("sources"))
 
 
 @query(

@@ -7,39 +7,54 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from clausewright.functions.redaction import natural_key
+from clausewright.sources.named_text import read_named, write_named
 
 CLAUSES = "file string, key string, parent string, place int, depth int, label string, heading string, body string, lang string, normative boolean, problem string"
-_FRONT = re.compile(r"\A---\n(.*?)\n---\n(.*)\Z", re.DOTALL)
-_OPENS = re.compile(r"^(#{2,6}) (.*?)\s*\{#([a-z0-9-]+)\}\s*$")
-_KEY = re.compile(r"^[a-z0-9-]+(:[a-z0-9-]+)+$")
+# The format of a clause file's front matter, headings and keys.
+_FRONT = re.compile(r"\A---\n(.*?)\n---\n?(.*)\Z", re.DOTALL)
+_OPENS = re.compile(r"^(#{2,6})[ \t]+(.*?)[ \t]*\{#([a-z0-9][a-z0-9-]*)\}[ \t]*$")
+_HEADING = re.compile(r"^#{1,6}[ \t]")
+_KEY = re.compile(r"^[a-z0-9][a-z0-9-]*(?::[a-z0-9][a-z0-9-]*)+$")
+_ESCAPED = re.compile(r"^\\(?=\\*#)")
+_NO = ("false", "no", "off", "n")
 
 
 def clause_rows(file: str, text: str) -> list[dict]:
     """The clauses of one file in reading order, or one row that tells what is wrong with it.
 
-    Front matter names key and lang; headings of level 2 to 6 with a ``{#segment}`` open clauses, whose depth is the level.
+    Front matter names key and lang, whose values are texts whatever they look like (``lang: no`` is Norwegian); headings of
+    level 2 to 6 with a ``{#segment}`` open clauses, whose depth is the level. A body's line that begins with ``#`` is written
+    with a backslash before it. Bodies are kept but for blank lines and spaces around them.
     """
     found = _FRONT.match(text)
-    meta = (yaml.safe_load(found[1]) or {}) if found else {}
-    key = str(meta.get("key", ""))
-    if not found or not {"key", "lang"} <= meta.keys() or not _KEY.match(key):
-        return [{"file": file, "problem": "no front matter" if not found else "no key or language"}]
-    common = {"file": file, "lang": str(meta["lang"]), "normative": bool(meta.get("normative", True)), "problem": None}
-    rows = [common | {"key": key, "parent": None, "place": 0, "depth": 1, "label": meta.get("label"), "heading": meta.get("title"), "body": []}]
+    if not found:
+        return [{"file": file, "problem": "no front matter"}]
+    try:
+        meta = yaml.load(found[1], yaml.BaseLoader) or {}
+    except yaml.YAMLError:
+        return [{"file": file, "problem": "front matter is no YAML"}]
+    if not isinstance(meta, dict):
+        return [{"file": file, "problem": "front matter has no fields"}]
+    key = meta.get("key", "")
+    if not isinstance(key, str) or not isinstance(meta.get("lang"), str) or not _KEY.match(key):
+        return [{"file": file, "problem": "no key or language"}]
+    told = {f: meta[f] if isinstance(meta.get(f), str) and meta[f] else None for f in ("label", "title")}
+    common = {"file": file, "lang": meta["lang"], "normative": str(meta.get("normative", "true")).lower() not in _NO, "problem": None}
+    rows = [common | {"key": key, "parent": None, "place": 0, "depth": 1, "label": told["label"], "heading": told["title"], "body": []}]
     path = [(1, key)]
     for line in found[2].split("\n"):
         opens = _OPENS.match(line)
         if not opens:
-            if re.match(r"#{1,6} ", line):
+            if _HEADING.match(line):
                 return [{"file": file, "problem": "a heading without a key"}]
-            rows[-1]["body"].append(line)
+            rows[-1]["body"].append(_ESCAPED.sub("", line))
             continue
         level = len(opens[1])
         if level > path[-1][0] + 1:
@@ -53,30 +68,36 @@ def clause_rows(file: str, text: str) -> list[dict]:
 
 
 def read_clauses(spark: SparkSession, path: str) -> DataFrame:
-    """CLAUSES of all clause files below a path (a folder ``file=...`` each, as ``write_clauses`` leaves them)."""
+    """CLAUSES of all clause files (``*.md``) below a path; file is the name without its ending."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [r for x in batch.to_pylist() for r in clause_rows(x["file"], x["value"])]
+            found = [r for x in batch.to_pylist() for r in clause_rows(x["file"].removesuffix(".md"), x["value"])]
             yield pa.RecordBatch.from_pylist(found, schema=kinds)
 
     kinds = to_arrow_schema(StructType.fromDDL(CLAUSES))
-    files = spark.read.schema("value string, file string").text(path, wholetext=True)
-    return files.select("file", "value").mapInArrow(parse, CLAUSES)
+    return read_named(spark, path, "*.md").mapInArrow(parse, CLAUSES)
+
+
+def quoted(text: Column) -> Column:
+    """A text as a YAML value on one line, whatever is in it."""
+    return F.concat(F.lit('"'), F.replace(F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t")), F.lit('"'))
 
 
 def write_clauses(clauses: DataFrame, path: str) -> None:
-    """Clauses (file, key, place, depth, label, heading, body, lang, normative) as Markdown, one folder a file.
+    """Clauses (file, key, place, depth, label, heading, body, lang, normative) as Markdown files ``<file>.md``, many a task.
 
-    Spark's text writer does it; a file's clauses, one document's article, meet in one row.
+    A file's clauses, one document's article, meet in one row. Headings below the first clause aren't kept by the format.
     """
     segment = F.element_at(F.split("key", ":"), -1)
-    front = F.concat(F.lit("---\nkey: "), "key", F.lit("\nlang: "), "lang", F.lit("\nnormative: "), F.col("normative").cast("string"), F.coalesce(F.concat(F.lit("\ntitle: "), "heading"), F.lit("")), F.lit("\n---\n"))
-    opens = F.concat(F.repeat(F.lit("#"), F.col("depth")), F.lit(" "), F.coalesce("label", F.lit("")), F.lit(" {#"), segment, F.lit("}\n"))
-    block = F.concat(F.when(F.col("depth") == 1, front).otherwise(opens), "body", F.lit("\n"))
+    field = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), quoted(value), F.lit("\n")), F.lit(""))
+    front = F.concat(F.lit("---\n"), field("key", F.col("key")), field("lang", F.col("lang")), field("label", F.col("label")), field("title", F.col("heading")), F.when(F.col("normative"), "").otherwise("normative: false\n"), F.lit("---\n\n"))
+    opens = F.concat(F.repeat(F.lit("#"), F.col("depth")), F.coalesce(F.concat(F.lit(" "), "label"), F.lit("")), F.lit(" {#"), segment, F.lit("}\n"))
+    body = F.regexp_replace(F.coalesce("body", F.lit("")), r"(?m)^(\\*#)", r"\\$1")
+    block = F.concat(F.when(F.col("depth") == 1, front).otherwise(opens), body, F.lit("\n\n"))
     parts = F.array_sort(F.collect_list(F.struct("place", block.alias("b"))))
     whole = clauses.groupBy("file").agg(F.array_join(F.transform(parts, lambda p: p["b"]), "").alias("value"))
-    whole.write.partitionBy("file").text(path)
+    write_named(whole.select(F.concat("file", F.lit(".md")).alias("file"), "value"), path)
 
 
 def in_law_order(files: DataFrame, expected: DataFrame) -> DataFrame:
@@ -101,16 +122,29 @@ def coming(files: DataFrame, pack_day: str) -> DataFrame:
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """id, question, lang, expected, problem of all question files (YAML) below a path; ids are used once over all of them."""
+    """id, question, lang, expected, problem of all question files (YAML) below a path; ids are used once over all of them.
+
+    A file that is no YAML, or holds no list of questions, is a row of its problem.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for x in batch.to_pylist():
-                for q in (yaml.safe_load(x["value"]) or {}).get("questions") or []:
+                try:
+                    found = yaml.safe_load(x["value"] or "") or {}
+                except yaml.YAMLError:
+                    out.append({"problem": "no YAML"})
+                    continue
+                asked = found.get("questions") or [] if isinstance(found, dict) else None
+                if not isinstance(asked, list) or not all(isinstance(q, dict) for q in asked):
+                    out.append({"problem": "no list of questions"})
+                    continue
+                for q in asked:
                     lacks = [f for f in ("id", "question", "lang", "expected_keys") if not q.get(f)]
-                    told = {f: q.get(f) for f in ("id", "question", "lang")}
-                    out.append(told | {"expected": [str(k) for k in q.get("expected_keys") or []], "problem": f"no {lacks[0]}" if lacks else None})
+                    told = {f: None if q.get(f) is None else str(q[f]) for f in ("id", "question", "lang")}
+                    keys = q.get("expected_keys") or []
+                    out.append(told | {"expected": [str(k) for k in (keys if isinstance(keys, list) else [keys])], "problem": f"no {lacks[0]}" if lacks else None})
             yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
     schema = "id string, question string, lang string, expected array<string>, problem string"
