@@ -1,16 +1,22 @@
-"""A stored keyword index: postings written once, read in blocks, searched exactly without reading every block.
+"""A stored keyword index: texts analysed once, lists read in blocks, searched exactly without scoring every text.
 
-Two tables, both appended to when texts come. ``blocks`` holds each term's texts by falling weight in blocks of
-BLOCK_TEXTS, with the greatest frequency and the least length of each block, from which its highest possible score
-follows whatever the statistics have become. ``postings`` holds the same by text, for exact scores. Terms and
-texts are spread over folders by hash, so that a search reads the folders of its own terms and candidates.
+Two tables, both appended to when texts come. ``postings`` holds a row a text: its terms and how often it has them.
+``blocks`` holds each term's texts by falling weight in blocks of BLOCK_TEXTS, with the greatest frequency and the
+least length of each block, from which its highest possible score follows whatever the statistics have become.
+Terms are spread over folders by hash, so that a search reads the folders of its own terms.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+import uuid
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -20,8 +26,10 @@ from clausewright.functions.redaction import arabic_light
 from clausewright.operators.retrieval import K1, B, tokens
 from clausewright.session import cut
 
-#: Texts in a block; texts of one run of a list; folders that terms and texts are spread over.
-BLOCK_TEXTS, RUN_TEXTS, FOLDERS = 128, 50_000, 16
+#: Texts in a block; texts whose lists one task makes; folders that terms are spread over.
+BLOCK_TEXTS, RUN_TEXTS, FOLDERS = 128, 4096, 16
+#: Questions are answered in blocks of about so many (question, term) pairs, which every task holds.
+QUESTION_TERMS = 200_000
 #: Lists of the highest bounds whose first blocks are read to begin with, for each question and source.
 FIRST_LISTS = 3
 #: Scores are rounded to six digits; bounds leave room for that.
@@ -46,13 +54,81 @@ def analyzed(text: Column, lang: Column, analyzers: dict[str, Callable[[Column],
     return chosen.otherwise(tokens(text))
 
 
-def _folder(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(FOLDERS)).cast("int").alias("folder")
+def weight(tf, n_words, mean_words):
+    """What a term's frequency in a text counts, without the term's rarity; of columns or of arrays."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n_words / mean_words))
 
 
-def weight(tf: Column, n_words: Column, mean_words: Column) -> Column:
-    """What a term's frequency in a text counts, without the term's rarity."""
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n_words / mean_words))
+_POSTINGS = "text_id long, source string, lang string, n_words int, run int, terms array<string>, tfs array<int>"
+_BLOCKS = "term string, lang string, source string, run int, block int, n int, most int, least_words int, text_ids array<long>"
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's words as terms and their frequencies."""
+    for batch in batches:
+        counts = [Counter(w) for w in batch.column("words").to_pylist()]
+        lists = [pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("text_id", "source", "lang", "n_words", "run")] + lists, names=["text_id", "source", "lang", "n_words", "run", "terms", "tfs"])
+
+
+def _inverted(mean_words: float, block_texts: int):
+    """A run's texts as lists, by falling weight, in blocks."""
+
+    def invert(texts: pd.DataFrame) -> pd.DataFrame:
+        lists: dict[tuple, list] = defaultdict(list)
+        for text_id, source, lang, n_words, terms, tfs in zip(*(texts[c] for c in ("text_id", "source", "lang", "n_words", "terms", "tfs")), strict=True):
+            for term, tf in zip(terms, tfs, strict=True):
+                lists[term, lang, source].append((-weight(tf, n_words, mean_words), text_id, tf, n_words))
+        out, run = [], texts["run"].iloc[0]
+        for (term, lang, source), own in lists.items():
+            own.sort()
+            for first in range(0, len(own), block_texts):
+                _, ids, tfs, sizes = zip(*own[first : first + block_texts], strict=True)
+                out.append((term, lang, source, run, first // block_texts, len(ids), max(tfs), min(sizes), list(ids)))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in _BLOCKS.split(", ")])
+
+    return invert
+
+
+def _scored(asked: list[tuple], known: dict[tuple[str, str], tuple[float, float]], limit: int):
+    """Of a batch of texts, the limit best of each source for each question (qid, lang, term), and what ties with the last of them."""
+    by_lang: dict[str, dict] = defaultdict(lambda: defaultdict(list))
+    for qid, lang, term in asked:
+        if (term, lang) in known:
+            by_lang[lang][qid].append(term)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plans = {}
+        for lang, questions in by_lang.items():
+            number = {t: i for i, t in enumerate(dict.fromkeys(t for own in questions.values() for t in own))}
+            idf, mean = np.array([known[t, lang][0] for t in number]), known[next(iter(number)), lang][1]
+            starts = np.cumsum([0] + [len(own) for own in questions.values()])[:-1]
+            plans[lang] = number, idf, mean, np.array([number[t] for own in questions.values() for t in own]), starts, np.array(list(questions))
+        for texts in batches:
+            for (source, lang), own in texts.groupby(["source", "lang"]):
+                if lang not in plans:
+                    continue
+                number, idf, mean, places, starts, qids = plans[lang]
+                table = np.empty((len(own), len(qids)))
+                for at, (n_words, terms, tfs) in enumerate(zip(own["n_words"], own["terms"], own["tfs"], strict=True)):
+                    part = np.zeros(len(number))
+                    for term, tf in zip(terms, tfs, strict=True):
+                        i = number.get(term)
+                        if i is not None:
+                            part[i] = weight(tf, n_words, mean)
+                    table[at] = np.add.reduceat((part * idf)[places], starts)
+                table = np.round(table, 6)
+                n = min(limit, len(own))
+                least = np.partition(table, len(own) - n, axis=0)[len(own) - n]
+                text_at, question_at = np.nonzero((table >= least[None, :]) & (table > 0))
+                named = pd.Series([source] * len(text_at), dtype=object)
+                yield pd.DataFrame({"qid": qids[question_at], "source": named, "text_id": own["text_id"].to_numpy()[text_at], "score": table[text_at, question_at]})
+
+    return score
+
+
+def _folder(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FOLDERS)).cast("int").alias("folder")
 
 
 @dataclass(frozen=True)
@@ -77,82 +153,80 @@ class Index:
             pass  # there is no index yet
         words = analyzed(F.concat_ws(" ", "heading", "body"), F.col("lang"), analyzers)
         sized = worded.select("text_id", F.coalesce("source", F.lit("")).alias("source"), "lang", words.alias("words")).withColumn("n_words", F.size("words"))
-        # An empty term stands for each text once: it keeps texts of no terms in the statistics.
-        each = sized.select("text_id", "source", "lang", "n_words", F.explode(F.array_append("words", F.lit(""))).alias("term"))
-        counted = cut(each.groupBy("text_id", "source", "lang", "n_words", "term").agg(F.count("*").alias("tf")))
-        counted.withColumn("folder", _folder("text_id")).repartition("folder", "text_id").write.mode("append").partitionBy("folder").parquet(f"{self.path}/postings")
-        terms = counted.where("term <> ''")
-        n_texts, total = counted.where("term = ''").agg(F.count("*"), F.sum("n_words")).first()
-        runs, mean = max(1, -(-n_texts // RUN_TEXTS)), F.lit(max(1.0, (total or 0) / max(1, n_texts)))
-        # A frequent term's list is cut into runs by hash of the text, so that no task sorts a whole list.
-        dealt = terms.withColumn("run", F.pmod(F.xxhash64("text_id"), F.lit(runs)).cast("int"))
-        own = W.partitionBy("term", "lang", "source", "run").orderBy(weight(F.col("tf"), F.col("n_words"), mean).desc(), "text_id")
-        numbered = dealt.withColumn("block", F.floor((F.row_number().over(own) - 1) / BLOCK_TEXTS).cast("int"))
-        block = numbered.groupBy("term", "lang", "source", "run", "block").agg(
-            F.count("*").alias("n"), F.max("tf").alias("most"), F.min("n_words").alias("least_words"), F.collect_list(F.struct("text_id", "tf", "n_words")).alias("entries")
-        )
-        block.withColumn("folder", _folder("term")).repartition("folder", "run").sortWithinPartitions("folder", "term").write.mode("append").partitionBy("folder").parquet(f"{self.path}/blocks")
+        n_texts, total = sized.agg(F.count("*"), F.sum("n_words")).first()
+        if not n_texts:
+            return
+        load, runs = f"load={uuid.uuid4().hex}", max(1, -(-n_texts // RUN_TEXTS))
+        dealt = sized.withColumn("run", F.pmod(F.xxhash64("text_id"), F.lit(runs)).cast("int")).select("text_id", "source", "lang", "n_words", "run", "words")
+        dealt.mapInArrow(_counted, _POSTINGS).write.option("compression", "zstd").parquet(f"{self.path}/postings/{load}")
+        # A frequent term's list is kept in runs of texts, so that no task holds a whole list.
+        lists = self.spark.read.schema(_POSTINGS).parquet(f"{self.path}/postings/{load}").groupBy("run").applyInPandas(_inverted(max(1.0, total / n_texts), BLOCK_TEXTS), _BLOCKS)
+        lists.withColumn("folder", _folder("term")).repartition("folder", "run").sortWithinPartitions("folder", "term").write.option("compression", "zstd").partitionBy("folder").parquet(f"{self.path}/blocks/{load}")
 
     def postings(self) -> DataFrame:
-        """text_id, source, lang, n_words, term, tf, folder."""
-        return self.spark.read.parquet(f"{self.path}/postings")
+        """text_id, source, lang, n_words, run, terms, tfs: a row a text."""
+        return self.spark.read.option("basePath", f"{self.path}/postings").schema(_POSTINGS).parquet(f"{self.path}/postings/load=*")
 
     def blocks(self) -> DataFrame:
-        """term, lang, source, run, block, n, most, least_words, entries, folder."""
-        return self.spark.read.parquet(f"{self.path}/blocks")
+        """term, lang, source, run, block, n, most, least_words, text_ids, load, folder."""
+        return self.spark.read.option("basePath", f"{self.path}/blocks").schema(f"{_BLOCKS}, load string, folder int").parquet(f"{self.path}/blocks/load=*")
 
     def statistics(self) -> DataFrame:
         """lang, texts, mean_words over all that was added."""
-        return self.postings().where("term = ''").groupBy("lang").agg(F.count("*").alias("texts"), F.avg("n_words").alias("mean_words"))
+        return self.postings().groupBy("lang").agg(F.count("*").alias("texts"), F.avg("n_words").alias("mean_words"))
 
     def search(self, questions: DataFrame, limit: int, among: DataFrame, analyzers: dict[str, Callable[[Column], Column]] | None = None) -> tuple[DataFrame, DataFrame]:
         """The limit best texts of each source for each of questions (qid, lang, text), and what was read for that.
 
         First: qid, source, text_id, score (BM25, six digits), the texts of among (text_id) in the question's language
-        only; frequencies and lengths are those of all texts of the language. Second: lists, blocks, blocks_read, a row.
-        Exact: a block is left unread only if no text of it can reach a score that enough texts of its source have for sure.
-        A stated set of questions; their terms are a small table, joined to the blocks' sums, not to their entries.
+        only; frequencies and lengths are those of all texts of the language. Second: blocks, blocks_read, texts, texts_scored,
+        a row for each block of questions. Exact: a block is left unread only if no text of it can reach a score that enough
+        texts of its source have for sure. A question without terms finds nothing. Each block of questions reads the index once.
         """
         asked = cut(questions.select("qid", "lang", F.explode(F.array_distinct(analyzed(F.col("text"), F.col("lang"), analyzers))).alias("term")))
+        rounds = max(1, -(-asked.count() // QUESTION_TERMS))
+        only, stats = cut(among.select("text_id").distinct()), {r.lang: (r.texts, r.mean_words) for r in self.statistics().collect()}
+        found = report = None
+        for r in range(rounds):
+            own = asked.where(F.pmod(F.xxhash64("qid"), F.lit(rounds)) == r)
+            some, told = self._answered(own, limit, only, stats)
+            found, report = (some, told) if found is None else (found.unionByName(some), report.unionByName(told))
+        return found, report
+
+    def _answered(self, asked: DataFrame, limit: int, only: DataFrame, stats: dict[str, tuple[int, float]]) -> tuple[DataFrame, DataFrame]:
+        pairs = [tuple(r) for r in asked.select("qid", "lang", "term").collect()]
         folders = [r.folder for r in asked.select(_folder("term")).distinct().collect()]
-        blocks, stats = self.blocks().where(F.col("folder").isin(folders)), cut(self.statistics())
-        sums = blocks.select("term", "lang", "source", "run", "block", "n", "most", "least_words").join(asked.select("term", "lang").distinct(), ["term", "lang"], "left_semi")
-        frequency = sums.groupBy("term", "lang").agg(F.sum("n").alias("df"))
-        known = cut(frequency.join(stats, "lang").withColumn("idf", F.log(1 + (F.col("texts") - F.col("df") + 0.5) / (F.col("df") + 0.5))).select("term", "lang", "idf", "mean_words"))
-        bounded = cut(sums.join(known, ["term", "lang"]).withColumn("bound", F.col("idf") * weight(F.col("most"), F.col("least_words"), F.col("mean_words"))).drop("most", "least_words"))
-        highest = asked.join(bounded.groupBy("term", "lang", "source").agg(F.max("bound").alias("high")), ["term", "lang"])
+        list_of = ["term", "lang", "source"]
+        block_of = [*list_of, "load", "run", "block"]
+        blocks = self.blocks().where(F.col("folder").isin(folders))
+        sums = cut(blocks.select(*block_of, "n", "most", "least_words").join(asked.select("term", "lang").distinct(), ["term", "lang"], "left_semi"))
+        known = {}
+        for row in sums.groupBy("term", "lang").agg(F.sum("n").alias("df")).collect():
+            n, mean = stats[row.lang]
+            known[row.term, row.lang] = math.log(1 + (n - row.df + 0.5) / (row.df + 0.5)), float(mean)
+        terms = self.spark.createDataFrame([(t, x, *v) for (t, x), v in known.items()], "term string, lang string, idf double, mean_words double")
+        bounded = sums.join(terms, ["term", "lang"]).select(*block_of, (F.col("idf") * weight(F.col("most"), F.col("least_words"), F.col("mean_words"))).alias("bound"))
+        high = bounded.groupBy(*list_of).agg(F.max("bound").alias("high"))
         by_high = W.partitionBy("qid", "source").orderBy("high", "term")
-        lists = highest.select("qid", "source", "term", "lang", "high", F.sum("high").over(by_high).alias("up_to"), F.sum("high").over(W.partitionBy("qid", "source")).alias("all_high"))
-        lists = cut(lists)
-        only = among.select("text_id")
-
-        def texts_of(wanted: DataFrame) -> DataFrame:
-            """qid, source, text_id of the entries of blocks wanted (qid, term, lang, source, run, block)."""
-            read = blocks.join(wanted.select("term", "lang", "source", "run", "block").distinct(), ["term", "lang", "source", "run", "block"], "left_semi")
-            entries = read.select("term", "lang", "source", "run", "block", F.explode("entries.text_id").alias("text_id")).join(only, "text_id", "left_semi")
-            return entries.join(wanted, ["term", "lang", "source", "run", "block"]).select("qid", "source", "text_id").distinct()
-
-        def scores(candidates: DataFrame) -> DataFrame:
-            """qid, source, text_id, score of candidates, by their own postings."""
-            own = self.postings().join(candidates.select("text_id").distinct(), "text_id", "left_semi").join(known, ["term", "lang"])
-            part = own.select("text_id", "term", "lang", (F.col("idf") * weight(F.col("tf"), F.col("n_words"), F.col("mean_words"))).alias("part"))
-            met = candidates.join(part, "text_id").join(asked, ["qid", "term", "lang"], "left_semi")
-            return met.groupBy("qid", "source", "text_id").agg(F.round(F.sum("part"), 6).alias("score"))
-
-        by_rarity = W.partitionBy("qid", "source").orderBy(F.desc("high"), "term")
-        rarest = lists.withColumn("place", F.row_number().over(by_rarity)).where(F.col("place") <= FIRST_LISTS)
-        first = rarest.select("qid", "term", "lang", "source").join(bounded.where("block = 0").select("term", "lang", "source", "run", "block"), ["term", "lang", "source"])
-        first = cut(first)
-        place = F.row_number().over(W.partitionBy("qid", "source").orderBy(F.desc("score")))
-        sure = scores(texts_of(first)).withColumn("place", place).where(F.col("place") == limit).select("qid", "source", F.col("score").alias("sure"))
-        asked_of = lists.join(sure, ["qid", "source"], "left").withColumn("sure", F.coalesce("sure", F.lit(0.0)) - ROUNDING)
+        lists = asked.join(high, ["term", "lang"]).select("qid", *list_of, "high", F.sum("high").over(by_high).alias("up_to"), F.sum("high").over(W.partitionBy("qid", "source")).alias("all_high"))
+        lists = cut(lists.withColumn("turn", F.row_number().over(W.partitionBy("qid", "source").orderBy(F.desc("high"), "term"))))
+
+        def best(wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+            """The limit best of the texts of blocks wanted, for all questions; and those texts."""
+            texts = cut(blocks.join(wanted, block_of, "left_semi").select(F.explode("text_ids").alias("text_id")).distinct().join(only, "text_id", "left_semi"))
+            scores = self.postings().join(texts, "text_id", "left_semi").mapInPandas(_scored(pairs, known, limit), f"qid {kind}, source string, text_id long, score double")
+            order = W.partitionBy("qid", "source").orderBy(F.desc("score"), "text_id")
+            return scores.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit), texts
+
+        kind = dict(asked.dtypes)["qid"]
+        rarest = lists.where(F.col("turn") <= FIRST_LISTS).select(*list_of).distinct()
+        first = bounded.where("block = 0").join(rarest, list_of, "left_semi").select(*block_of)
+        sure = best(first)[0].where(F.col("place") == limit).select("qid", "source", F.col("score").alias("sure"))
+        aims = lists.join(sure, ["qid", "source"], "left").withColumn("sure", F.coalesce("sure", F.lit(0.0)) - ROUNDING)
         # A text that is in these lists only can't reach it; nor can one of a block that all other lists together don't lift to it.
-        asked_of = asked_of.where("up_to >= sure")
-        reach = F.col("bound") + F.col("all_high") - F.col("high") >= F.col("sure")
-        wanted = asked_of.join(bounded.select("term", "lang", "source", "run", "block", "bound"), ["term", "lang", "source"]).where(reach).select(*first.columns)
-        wanted = cut(wanted)
-        found = scores(cut(texts_of(wanted.unionByName(first).distinct())))
-        read = wanted.unionByName(first).select("term", "lang", "source", "run", "block").distinct().agg(F.count("*").alias("blocks_read"))
-        report = sums.agg(F.count_distinct("term", "lang", "source").alias("lists"), F.count("*").alias("blocks")).crossJoin(read)
-        best = W.partitionBy("qid", "source").orderBy(F.desc("score"), "text_id")
-        return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).drop("place"), report
+        needs = aims.where("up_to >= sure").groupBy(*list_of).agg(F.min(F.col("sure") - (F.col("all_high") - F.col("high"))).alias("least"))
+        wanted = cut(bounded.join(needs, list_of).where("bound >= least").select(*block_of))
+        found, texts = best(wanted)
+        report = sums.agg(F.count("*").alias("blocks")).crossJoin(wanted.agg(F.count("*").alias("blocks_read")))
+        report = report.crossJoin(self.postings().agg(F.count("*").alias("texts"))).crossJoin(texts.agg(F.count("*").alias("texts_scored")))
+        return found.drop("place"), report

@@ -149,7 +149,7 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
     schema = "id string, question string, lang string, expected array<string>, problem string"
     kinds = to_arrow_schema(StructType.fromDDL(schema))
-    found = spark.read.text(path, wholetext=True).select("value").mapInArrow(parse, schema)
+    found = read_named(spark, path, "*").select("value").mapInArrow(parse, schema)
     twice = found.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 and id is not null").select("id", F.lit("id used twice").alias("twice"))
     return found.join(twice, "id", "left").select("id", "question", "lang", "expected", F.coalesce("problem", "twice").alias("problem"))
 
