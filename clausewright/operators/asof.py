@@ -26,10 +26,17 @@ def lifecycles(versions: DataFrame) -> DataFrame:
 
 
 def in_force_on_days(versions: DataFrame, days: DataFrame) -> DataFrame:
-    """in_force for many days at once: a range join of lifecycles with days (day)."""
-    life = lifecycles(versions)
+    """in_force for many days at once: a range join of lifecycles with days (day), as an equi-join on the years that both lie in.
+
+    A lifecycle is spread over its years, of those that days lie in only; repeated days give repeated rows, null days none.
+    """
+    known = days.where("day is not null").select("day", F.year("day").alias("year"))
+    ends = known.agg(F.min("year").alias("first"), F.max("year").alias("last"))
+    life = lifecycles(versions).crossJoin(F.broadcast(ends))
+    from_year, to_year = F.greatest(F.year("effective"), F.col("first")), F.least(F.coalesce(F.year("next_effective"), F.col("last")), F.col("last"))
+    spread = life.where(from_year <= to_year).withColumn("year", F.explode(F.sequence(from_year, to_year)))
     here = (F.col("effective") <= F.col("day")) & (F.col("next_effective").isNull() | (F.col("day") < F.col("next_effective")))
-    return days.join(life, here).select("day", "document", "version", "number", "effective")
+    return known.join(spread, "year").where(here).select("day", "document", "version", "number", "effective")
 
 
 def states(versions: DataFrame, today: str) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from clausewright.session import cut
+
 FIELDS = ["occurred_at", "actor", "token", "action", "target_type", "target_id", "details"]
 
 
@@ -75,6 +77,55 @@ def chained(entries: DataFrame, chain: str) -> DataFrame:
     return entries.select(*columns).groupBy(chain).applyInPandas(link, schema)
 
 
+def walked(entries: DataFrame, genesis: DataFrame) -> DataFrame:
+    """chain, seq, turn: where each entry (chain, seq, prev_hash, entry_hash) stands on the way from its chain's genesis (chain, genesis), null if it doesn't.
+
+    Pointers to predecessors are doubled with the steps they stand for, so that a chain of n entries is walked in log n
+    equi-joins, however many chains there are; what still points on after that goes in a circle. Of entries that share a
+    predecessor, the first is on the way.
+    """
+    own = W.partitionBy("chain", "prev_hash").orderBy("seq")
+    first = entries.select("chain", "seq", "prev_hash", "entry_hash").withColumn("n", F.row_number().over(own)).where("n = 1").drop("n")
+    one = first.groupBy("chain", "entry_hash").agg(F.min(F.struct("seq", "prev_hash")).alias("e")).select("chain", "entry_hash", "e.seq", "e.prev_hash")
+    # Each entry has its predecessor's hash, the steps so far, and whether it got to something that is no entry.
+    links = cut(one.select("chain", F.col("entry_hash").alias("own"), F.col("prev_hash").alias("far"), F.lit(1).cast("long").alias("steps"), F.lit(False).alias("ended")))
+    for _ in range(links.count().bit_length() + 1):
+        next_ = links.select("chain", F.col("own").alias("far"), F.col("far").alias("further"), F.col("steps").alias("more"), F.col("ended").alias("there"))
+        met = links.where("not ended").join(next_, ["chain", "far"], "left")
+        moved = met.select("chain", "own", F.coalesce("further", "far").alias("far"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("there", F.lit(True)).alias("ended"))
+        links = cut(moved.unionByName(links.where("ended")))
+        if links.where("not ended").isEmpty():
+            break
+    started = links.where("ended").join(genesis.select("chain", F.col("genesis").alias("far")), ["chain", "far"]).select("chain", F.col("own").alias("entry_hash"), F.col("steps").alias("turn"))
+    placed = one.join(started, ["chain", "entry_hash"], "left").select("chain", "seq", "turn")
+    return entries.select("chain", "seq").join(placed, ["chain", "seq"], "left")
+
+
+def verified_chains(entries: DataFrame, genesis: DataFrame, known_versions: tuple[str, ...] = ("1",)) -> DataFrame:
+    """chain, entries, bad_seq, reason, out_of_order of chains of entries (chain, seq, hash_version, prev_hash, entry_hash, FIELDS).
+
+    The first thing that is wrong with a chain, in this order: by seq, an unknown version or an entry whose fields don't give its
+    hash; two entries of one predecessor; the least entry that the way from genesis (chain, genesis) doesn't reach. reason is null
+    where all of that holds; out_of_order then says whether the way is another order than that of seq. Null hashes are wrong ones.
+    """
+    right = F.coalesce(entry_hash(F.unhex("prev_hash"), *map(F.col, FIELDS)) == F.col("entry_hash"), F.lit(False))
+    unknown = ~F.coalesce(F.col("hash_version").isin(*known_versions), F.lit(False))
+    own = W.partitionBy("chain", "prev_hash").orderBy("seq")
+    told = entries.withColumns({"broken": F.when(unknown, "unknown version").when(~right, "altered"), "again": F.row_number().over(own) > 1})
+    way = walked(entries, genesis)
+    each = told.select("chain", "seq", "broken", "again").join(way, ["chain", "seq"])
+    before = way.where("turn is not null").select("chain", (F.col("turn") + 1).alias("turn"), F.col("seq").alias("before"))
+    each = each.join(before, ["chain", "turn"], "left")
+    least = lambda test, reason: F.min(F.when(test, F.struct("seq", reason.alias("reason"))))
+    found = each.groupBy("chain").agg(
+        F.count("*").alias("entries"), least(F.col("broken").isNotNull(), F.col("broken")).alias("a"), least(F.col("again"), F.lit("same predecessor")).alias("b"), least(F.col("turn").isNull(), F.lit("not linked")).alias("c"),
+        F.count("turn").alias("reached"), F.coalesce(F.bool_or(F.col("before") > F.col("seq")), F.lit(False)).alias("mixed"),
+    )
+    unlinked = F.struct(F.col("c.seq").alias("seq"), F.when(F.col("reached") == 0, "wrong start").otherwise(F.col("c.reason")).alias("reason"))
+    worst = F.coalesce("a", "b", F.when(F.col("c").isNotNull(), unlinked))
+    return found.select("chain", "entries", worst["seq"].alias("bad_seq"), worst["reason"].alias("reason"), (F.col("mixed") & worst.isNull()).alias("out_of_order"))
+
+
 def verify_exports(entries: DataFrame, manifests: DataFrame) -> DataFrame:
     """export, problem for exports that their manifest doesn't fit; none where all hold (``verify`` tells about the entries themselves).
 

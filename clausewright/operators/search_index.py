@@ -15,12 +15,14 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from clausewright.functions.redaction import arabic_light
 from clausewright.operators.retrieval import K1, B, tokens
@@ -71,58 +73,79 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("text_id", "source", "lang", "n_words", "run")] + lists, names=["text_id", "source", "lang", "n_words", "run", "terms", "tfs"])
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The row of each entry of a list column, and the entries."""
+    return np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)), lists.flatten()
+
+
 def _inverted(mean_words: float, block_texts: int):
     """A run's texts as lists, by falling weight, in blocks."""
 
-    def invert(texts: pd.DataFrame) -> pd.DataFrame:
-        lists: dict[tuple, list] = defaultdict(list)
-        for text_id, source, lang, n_words, terms, tfs in zip(*(texts[c] for c in ("text_id", "source", "lang", "n_words", "terms", "tfs")), strict=True):
-            for term, tf in zip(terms, tfs, strict=True):
-                lists[term, lang, source].append((-weight(tf, n_words, mean_words), text_id, tf, n_words))
-        out, run = [], texts["run"].iloc[0]
-        for (term, lang, source), own in lists.items():
-            own.sort()
-            for first in range(0, len(own), block_texts):
-                _, ids, tfs, sizes = zip(*own[first : first + block_texts], strict=True)
-                out.append((term, lang, source, run, first // block_texts, len(ids), max(tfs), min(sizes), list(ids)))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in _BLOCKS.split(", ")])
-
+    def invert(texts: pa.Table) -> pa.Table:
+        column = {c: texts[c].combine_chunks() for c in texts.column_names}
+        row, terms = _flat(column["terms"])
+        if not len(terms):
+            return kinds.empty_table()
+        coded, langs, sources = terms.dictionary_encode(), column["lang"].dictionary_encode(), column["source"].dictionary_encode()
+        term, of = coded.indices.to_numpy(), (langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy())[row]
+        tfs, n_words, ids = column["tfs"].flatten().to_numpy(), column["n_words"].to_numpy()[row], column["text_id"].to_numpy()[row]
+        order = np.lexsort((ids, -weight(tfs, n_words, mean_words), of, term))
+        term, of, tfs, n_words, ids = (x[order] for x in (term, of, tfs, n_words, ids))
+        opens = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (of[1:] != of[:-1])))
+        place = np.arange(len(ids)) - np.repeat(opens, np.diff(np.append(opens, len(ids))))
+        starts = np.flatnonzero(place % block_texts == 0)
+        ends = np.append(starts, len(ids)).astype(np.int32)
+        return pa.table(
+            [
+                coded.dictionary.take(pa.array(term[starts])), langs.dictionary.take(pa.array(of[starts] // len(sources.dictionary))), sources.dictionary.take(pa.array(of[starts] % len(sources.dictionary))),
+                pa.array(np.full(len(starts), column["run"][0].as_py(), np.int32)), pa.array((place[starts] // block_texts).astype(np.int32)), pa.array(np.diff(ends)),
+                pa.array(np.maximum.reduceat(tfs, starts)), pa.array(np.minimum.reduceat(n_words, starts)), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)),
+            ],
+            schema=kinds,
+        )
+
+    kinds = to_arrow_schema(StructType.fromDDL(_BLOCKS))
     return invert
 
 
-def _scored(asked: list[tuple], known: dict[tuple[str, str], tuple[float, float]], limit: int):
+def _scored(asked: list[tuple], known: dict[tuple[str, str], tuple[float, float]], limit: int, kind: pa.Schema):
     """Of a batch of texts, the limit best of each source for each question (qid, lang, term), and what ties with the last of them."""
     by_lang: dict[str, dict] = defaultdict(lambda: defaultdict(list))
     for qid, lang, term in asked:
         if (term, lang) in known:
             by_lang[lang][qid].append(term)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans = {}
         for lang, questions in by_lang.items():
             number = {t: i for i, t in enumerate(dict.fromkeys(t for own in questions.values() for t in own))}
             idf, mean = np.array([known[t, lang][0] for t in number]), known[next(iter(number)), lang][1]
             starts = np.cumsum([0] + [len(own) for own in questions.values()])[:-1]
-            plans[lang] = number, idf, mean, np.array([number[t] for own in questions.values() for t in own]), starts, np.array(list(questions))
-        for texts in batches:
-            for (source, lang), own in texts.groupby(["source", "lang"]):
+            plans[lang] = pa.array(list(number), pa.string()), idf, mean, np.array([number[t] for own in questions.values() for t in own]), starts, list(questions)
+        for batch in batches:
+            texts = pa.Table.from_batches([batch])
+            for source, lang in set(zip(texts["source"].to_pylist(), texts["lang"].to_pylist(), strict=True)):
                 if lang not in plans:
                     continue
-                number, idf, mean, places, starts, qids = plans[lang]
-                table = np.empty((len(own), len(qids)))
-                for at, (n_words, terms, tfs) in enumerate(zip(own["n_words"], own["terms"], own["tfs"], strict=True)):
-                    part = np.zeros(len(number))
-                    for term, tf in zip(terms, tfs, strict=True):
-                        i = number.get(term)
-                        if i is not None:
-                            part[i] = weight(tf, n_words, mean)
-                    table[at] = np.add.reduceat((part * idf)[places], starts)
+                names, idf, mean, places, starts, qids = plans[lang]
+                own = texts.filter(pc.and_(pc.equal(texts["source"], source), pc.equal(texts["lang"], lang))).combine_chunks()
+                row, terms = _flat(own["terms"].combine_chunks())
+                found = pc.index_in(terms, value_set=names)
+                some = found.is_valid().to_numpy(zero_copy_only=False)
+                row, term, tfs = row[some], found.drop_null().to_numpy(), own["tfs"].combine_chunks().flatten().to_numpy()[some]
+                parts = weight(tfs, own["n_words"].to_numpy()[row], mean) * idf[term]
+                bounds = np.searchsorted(row, np.arange(own.num_rows + 1))
+                table = np.empty((own.num_rows, len(qids)))
+                for at in range(own.num_rows):
+                    part = np.zeros(len(names))
+                    part[term[bounds[at] : bounds[at + 1]]] = parts[bounds[at] : bounds[at + 1]]
+                    table[at] = np.add.reduceat(part[places], starts)
                 table = np.round(table, 6)
-                n = min(limit, len(own))
-                least = np.partition(table, len(own) - n, axis=0)[len(own) - n]
+                n = min(limit, own.num_rows)
+                least = np.partition(table, own.num_rows - n, axis=0)[own.num_rows - n]
                 text_at, question_at = np.nonzero((table >= least[None, :]) & (table > 0))
-                named = pd.Series([source] * len(text_at), dtype=object)
-                yield pd.DataFrame({"qid": qids[question_at], "source": named, "text_id": own["text_id"].to_numpy()[text_at], "score": table[text_at, question_at]})
+                columns = [[qids[i] for i in question_at], [source] * len(text_at), own["text_id"].to_numpy()[text_at], table[text_at, question_at]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind)
 
     return score
 
@@ -141,8 +164,8 @@ class Index:
     def add(self, texts: DataFrame, analyzers: dict[str, Callable[[Column], Column]] | None = None) -> None:
         """Append texts (text_id, source, lang, heading, body) that the index doesn't hold; texts without a worded body aren't kept.
 
-        A text_id is added once: rows whose id the index holds already are left out. Null headings count as empty, as do
-        null sources; texts of no language aren't found.
+        A text_id is added once: rows whose id the index holds already are left out. Null headings, sources and
+        languages count as empty.
         """
         if texts.limit(1).isEmpty():
             return
@@ -152,7 +175,7 @@ class Index:
         except AnalysisException:
             pass  # there is no index yet
         words = analyzed(F.concat_ws(" ", "heading", "body"), F.col("lang"), analyzers)
-        sized = worded.select("text_id", F.coalesce("source", F.lit("")).alias("source"), "lang", words.alias("words")).withColumn("n_words", F.size("words"))
+        sized = worded.select("text_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), words.alias("words")).withColumn("n_words", F.size("words"))
         n_texts, total = sized.agg(F.count("*"), F.sum("n_words")).first()
         if not n_texts:
             return
@@ -160,7 +183,7 @@ class Index:
         dealt = sized.withColumn("run", F.pmod(F.xxhash64("text_id"), F.lit(runs)).cast("int")).select("text_id", "source", "lang", "n_words", "run", "words")
         dealt.mapInArrow(_counted, _POSTINGS).write.option("compression", "zstd").parquet(f"{self.path}/postings/{load}")
         # A frequent term's list is kept in runs of texts, so that no task holds a whole list.
-        lists = self.spark.read.schema(_POSTINGS).parquet(f"{self.path}/postings/{load}").groupBy("run").applyInPandas(_inverted(max(1.0, total / n_texts), BLOCK_TEXTS), _BLOCKS)
+        lists = self.spark.read.schema(_POSTINGS).parquet(f"{self.path}/postings/{load}").groupBy("run").applyInArrow(_inverted(max(1.0, total / n_texts), BLOCK_TEXTS), _BLOCKS)
         lists.withColumn("folder", _folder("term")).repartition("folder", "run").sortWithinPartitions("folder", "term").write.option("compression", "zstd").partitionBy("folder").parquet(f"{self.path}/blocks/{load}")
 
     def postings(self) -> DataFrame:
@@ -214,11 +237,11 @@ class Index:
         def best(wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
             """The limit best of the texts of blocks wanted, for all questions; and those texts."""
             texts = cut(blocks.join(wanted, block_of, "left_semi").select(F.explode("text_ids").alias("text_id")).distinct().join(only, "text_id", "left_semi"))
-            scores = self.postings().join(texts, "text_id", "left_semi").mapInPandas(_scored(pairs, known, limit), f"qid {kind}, source string, text_id long, score double")
+            scores = self.postings().join(texts, "text_id", "left_semi").mapInArrow(_scored(pairs, known, limit, to_arrow_schema(StructType.fromDDL(kind))), kind)
             order = W.partitionBy("qid", "source").orderBy(F.desc("score"), "text_id")
             return scores.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit), texts
 
-        kind = dict(asked.dtypes)["qid"]
+        kind = f"qid {dict(asked.dtypes)['qid']}, source string, text_id long, score double"
         rarest = lists.where(F.col("turn") <= FIRST_LISTS).select(*list_of).distinct()
         first = bounded.where("block = 0").join(rarest, list_of, "left_semi").select(*block_of)
         sure = best(first)[0].where(F.col("place") == limit).select("qid", "source", F.col("score").alias("sure"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clausewright.operators import evaluation as ev
@@ -10,7 +11,7 @@ from clausewright.operators import querylog as ql
 from clausewright.plans.bindings import LOG_SQL, log_entries
 from clausewright.plans.catalog import query
 from clausewright.plans.corpus_queries import _FIELD, _HASHED, _governed
-from clausewright.session import table
+from clausewright.session import cut, table
 
 _RECIPE = f"""sha256({_FIELD.format("'1'")} || unhex('0000000000000020') || unhex({{prev}}) || {" || ".join(_FIELD.format(f) for f in _HASHED)})"""
 
@@ -27,6 +28,31 @@ def built_chains(spark, sf_dir):
     return gv.chained(_governed(spark, sf_dir).withColumn("chain", F.col("seq") % 251), "chain")
 
 
+@query(
+    "gov3_verified_chains",
+    f"""WITH {LOG_SQL}, own AS (SELECT id AS seq, coalesce(actor, 0) AS chain, row_number() OVER (PARTITION BY coalesce(actor, 0) ORDER BY id) AS n, count(*) OVER (PARTITION BY coalesce(actor, 0)) AS size FROM entries),
+    t AS (SELECT chain, size, chain % 8 AS kind, max(seq) FILTER (n = 5) AS fifth, max(seq) FILTER (n = 6) AS sixth, max(seq) FILTER (n = 2) AS second FROM own GROUP BY chain, size)
+    SELECT chain, size - CASE WHEN kind IN (3, 5) THEN 1 ELSE 0 END AS entries, CASE WHEN kind IN (1, 2) THEN fifth WHEN kind IN (3, 6) THEN sixth WHEN kind = 5 THEN second END AS bad_seq,
+      CASE kind WHEN 1 THEN 'altered' WHEN 2 THEN 'unknown version' WHEN 3 THEN 'not linked' WHEN 5 THEN 'wrong start' WHEN 6 THEN 'altered' END AS reason, kind = 4 AS out_of_order FROM t""",
+)
+def verified_chains(spark, sf_dir):
+    """GOV3: each actor's chain of the log, built with real hashes and then harmed in six ways, walked from genesis."""
+    chain = F.coalesce(F.col("actor").cast("long"), F.lit(0))
+    rows = _governed(spark, sf_dir).drop("prev_hash").withColumn("chain", chain)
+    built = cut(gv.chained(rows, "chain").join(rows, ["chain", "seq"]).withColumn("hash_version", F.lit("1")))
+    n, kind = F.row_number().over(W.partitionBy("chain").orderBy("seq")), F.col("chain") % 8
+    placed = built.withColumn("n", n)
+    gone = placed.where(~(((kind == 3) & (F.col("n") == 5)) | ((kind == 5) & (F.col("n") == 1))))
+    # 1: other details; 2: another version; 3: one is missing; 4: two change their numbers; 5: the first is missing; 6: a link to another entry, so that the hash is wrong.
+    swapped = F.when((kind == 4) & F.col("n").isin(5, 6), F.when(F.col("n") == 5, F.lead("seq").over(W.partitionBy("chain").orderBy("seq"))).otherwise(F.lag("seq").over(W.partitionBy("chain").orderBy("seq")))).otherwise(F.col("seq"))
+    harmed = gone.withColumns({
+        "details": F.when((kind == 1) & (F.col("n") == 5), "{}").otherwise(F.col("details")), "hash_version": F.when((kind == 2) & (F.col("n") == 5), "2").otherwise(F.col("hash_version")),
+        "prev_hash": F.when((kind == 6) & (F.col("n") == 6), F.sha2(F.lit("x"), 256)).otherwise(F.col("prev_hash")), "moved": swapped,
+    }).drop("seq").withColumnRenamed("moved", "seq")
+    genesis = rows.select("chain").distinct().withColumn("genesis", F.sha2(F.col("chain").cast("string"), 256))
+    return gv.verified_chains(harmed, genesis)
+
+
 @query(
     "gov4_verified_exports",
     """WITH e AS (SELECT event_id % 97 AS export, event_id AS seq, sha256('p' || event_id) AS prev_hash, sha256('e' || event_id) AS entry_hash FROM events),
