@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from clausewright.operators import retrieval as rt
+
 
 def first_hits(results: DataFrame, expected: DataFrame) -> DataFrame:
     """qid, first: rank of the first result that answers, null for none.
@@ -77,22 +79,53 @@ def gate(measured: DataFrame, published: DataFrame) -> DataFrame:
     return measured.join(published, "name", "left").select("name", verdict.alias("verdict"))
 
 
-MODIFIERS = ("normative", "questions", "light", "rerank")
+MODIFIERS = ("normative", "questions", "rerank")
 
 
 def configurations(grid: DataFrame) -> DataFrame:
-    """configuration, problem of a grid (base, modifiers): combinations that can't be run are named, not dropped.
+    """configuration, base, modifiers, problem of a grid (base, modifiers): combinations that can't be run are named, not dropped.
 
-    rerank needs a list to rerank (not ``meaning`` alone with light words); light words need a keyword list.
+    base: keyword, meaning, or a fusion rule with its parameter. Questions need a meaning list; a modifier is named once, and is one of MODIFIERS.
     """
     has = lambda m: F.array_contains("modifiers", m)
     name = F.concat_ws("+", "base", F.array_join(F.array_sort("modifiers"), "+"))
     problem = (
-        F.when(has("light") & (F.col("base") == "meaning"), "no keyword list")
+        F.when(F.size(F.array_except("modifiers", F.array(*[F.lit(m) for m in MODIFIERS]))) > 0, "unknown modifier")
         .when(has("questions") & (F.col("base") == "keyword"), "no meaning list")
         .when(F.size(F.array_distinct("modifiers")) < F.size("modifiers"), "named twice")
     )
-    return grid.select(F.regexp_replace(name, r"\+$", "").alias("configuration"), problem.alias("problem"))
+    return grid.select(F.regexp_replace(name, r"\+$", "").alias("configuration"), "base", "modifiers", problem.alias("problem"))
+
+
+def run_configurations(grid: DataFrame, lists: DataFrame, expected: DataFrame, fresh: Column, depth: int = 25) -> DataFrame:
+    """configuration, problem, n, recall_5, recall_10, mrr: every valid configuration of grid (base, modifiers) run over the same candidate lists.
+
+    lists: retriever (keyword, meaning, questions), normative (whether only such clauses are in it), qid, key, score, rank;
+    expected: qid, answer; fresh: a score of key for reranking the head. Parameters are columns: all configurations are fused,
+    reranked and scored in one plan, and the lists are made once, whatever the grid. Configurations with a problem have no scores.
+    """
+    told = configurations(grid)
+    has = lambda m: F.array_contains("modifiers", m)
+    valid = told.where("problem is null").select("configuration", "base", *[has(m).alias(m) for m in MODIFIERS]).withColumnRenamed("normative", "only_normative")
+    both = lists.where("retriever <> 'keyword'").select(F.struct("normative", "qid").alias("qid"), "retriever", "key", "score")
+    lifted = rt.z_scores(both).groupBy("qid", "key").agg(F.round(F.max("z"), 5).alias("score"))
+    own = lists.where("retriever <> 'questions'").select("retriever", "normative", "qid", "key", "score")
+    each = own.unionByName(lifted.select(F.lit("blended").alias("retriever"), "qid.normative", "qid.qid", "key", "score"))
+    each = each.withColumn("rank", F.row_number().over(W.partitionBy("retriever", "normative", "qid").orderBy(F.desc("score"), "key")))
+    wanted = F.when(F.col("retriever") == "keyword", F.col("base") != "meaning").otherwise((F.col("base") != "keyword") & (F.col("questions") == (F.col("retriever") == "blended")))
+    used = each.join(F.broadcast(valid), F.col("only_normative") == F.col("normative")).where(wanted)
+    run = F.struct("configuration", "rerank", "qid").alias("qid")
+    used = used.select("base", run, F.when(F.col("retriever") == "keyword", "keyword").otherwise("meaning").alias("retriever"), "key", "score", "rank")
+    found = used.where(F.col("base").isin("keyword", "meaning")).select("qid", "key", "score")
+    for rule in sorted({r.base for r in valid.select("base").distinct().collect()} - {"keyword", "meaning"}):
+        found = found.unionByName(rt.fusion(rule)(used.where(F.col("base") == rule)).select("qid", "key", "score"))
+    ranked = rt.ranked(found, rt.CANDIDATES)
+    head = F.col("qid.rerank") & (F.col("rank") <= depth)
+    order = W.partitionBy("qid").orderBy(F.when(head, 0).otherwise(1), F.when(head, fresh).desc(), "rank")
+    results = ranked.select(F.struct("qid.configuration", "qid.qid").alias("qid"), "key", F.row_number().over(order).alias("rank"))
+    answers = expected.crossJoin(F.broadcast(valid.select("configuration"))).select(F.struct("configuration", "qid").alias("qid"), "answer")
+    scored = scores(first_hits(results, answers).select(F.col("qid.configuration").alias("configuration"), "first"), "configuration")
+    return told.select("configuration", "problem").join(scored, "configuration", "left")
 
 
 def pooled(outcomes: DataFrame) -> DataFrame:

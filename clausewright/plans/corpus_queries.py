@@ -45,16 +45,15 @@ def breadcrumbs(spark, sf_dir):
     return trees.breadcrumbs(_nodes(spark, sf_dir), 3)
 
 
-_CLAUSES = """clauses AS MATERIALIZED (SELECT v AS version, l_partkey * 10 + (l_linenumber + v * CAST(l_partkey % 5 = 0 AS INTEGER)) % 7 AS key, l_orderkey * 8 + l_linenumber AS id,
-  CASE WHEN v > 1 AND l_orderkey % 3 <> 0 THEN l_orderkey * 8 + l_linenumber END AS previous_id
-  FROM lineitem, (VALUES (1), (2), (3)) t(v) QUALIFY row_number() OVER (PARTITION BY v, l_partkey * 10 + (l_linenumber + v * CAST(l_partkey % 5 = 0 AS INTEGER)) % 7 ORDER BY l_orderkey, l_linenumber) = 1)"""
+_CLAUSES = """keyed AS (SELECT v AS version, l_partkey * 10 + (l_linenumber + v * CAST(l_partkey % 5 = 0 AS INTEGER)) % 7 AS key, l_orderkey * 8 + l_linenumber AS id FROM lineitem, (VALUES (1), (2), (3)) t(v)),
+clauses AS MATERIALIZED (SELECT version, key, min(id) AS id, CASE WHEN version > 1 AND (min(id) // 8) % 3 <> 0 THEN min(id) END AS previous_id FROM keyed GROUP BY version, key)"""
 
 
 @query(
     "tr4_continuations",
-    f"""WITH {_CLAUSES} SELECT c.version, c.key, CASE WHEN o.key <> c.key THEN o.key END AS moved_from,
-    CASE WHEN h.id IS NOT NULL AND h.id IS DISTINCT FROM c.previous_id THEN h.id END AS formerly
-    FROM clauses c LEFT JOIN clauses o ON o.version + 1 = c.version AND o.id = c.previous_id LEFT JOIN clauses h ON h.version + 1 = c.version AND h.key = c.key""",
+    f"""WITH {_CLAUSES}, before AS MATERIALIZED (SELECT version + 1 AS version, key, id FROM clauses)
+    SELECT c.version, c.key, CASE WHEN o.key <> c.key THEN o.key END AS moved_from, CASE WHEN h.id IS NOT NULL AND h.id IS DISTINCT FROM c.previous_id THEN h.id END AS formerly
+    FROM clauses c LEFT JOIN before o ON o.version = c.version AND o.id = c.previous_id LEFT JOIN before h ON h.version = c.version AND h.key = c.key""",
 )
 def continuations(spark, sf_dir):
     """JN2, TR5: clauses moved since the version before, numbers that named another clause there."""

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from clausewright.operators import evaluation as ev
 from clausewright.operators import governance as gv
 from clausewright.operators import querylog as ql
+from clausewright.operators import retrieval as rt
 from clausewright.plans.bindings import LOG_SQL, log_entries
 from clausewright.plans.catalog import query
 from clausewright.plans.corpus_queries import _FIELD, _HASHED, _governed
+from clausewright.plans.retrieval_queries import _KEYWORD, _MEANING, _clauses, _question_vectors, _questions, _vectors
 from clausewright.session import cut, table
 
 _RECIPE = f"""sha256({_FIELD.format("'1'")} || unhex('0000000000000020') || unhex({{prev}}) || {" || ".join(_FIELD.format(f) for f in _HASHED)})"""
@@ -73,19 +75,57 @@ def verified_exports(spark, sf_dir):
     return gv.verify_exports(entries, manifests)
 
 
-@query(
-    "ev5_configurations",
-    """WITH b AS (SELECT unnest(['keyword', 'meaning', 'convex:0.5', 'rrf:10']) AS base), m AS (SELECT unnest(range(32)) AS i),
-    g AS (SELECT base, list_sort(list_concat(list_filter(['normative', 'questions', 'light', 'rerank'], lambda x, n: (i >> (n - 1)) % 2 = 1), CASE WHEN i >= 16 THEN ['normative'] ELSE [] END)) AS mods FROM b, m)
-    SELECT base || CASE WHEN len(mods) > 0 THEN '+' || array_to_string(mods, '+') ELSE '' END AS configuration, CASE WHEN list_contains(mods, 'light') AND base = 'meaning' THEN 'no keyword list'
-      WHEN list_contains(mods, 'questions') AND base = 'keyword' THEN 'no meaning list' WHEN len(list_distinct(mods)) < len(mods) THEN 'named twice' END AS problem FROM g""",
-)
+_GRID = """b AS (SELECT unnest(['keyword', 'meaning', 'convex:0.5', 'rrf:10']) AS base), m AS (SELECT unnest(range(10)) AS i),
+  g AS (SELECT base, list_sort(CASE i WHEN 8 THEN ['normative', 'normative'] WHEN 9 THEN ['light'] ELSE list_filter(['normative', 'questions', 'rerank'], lambda x, n: (i >> (n - 1)) % 2 = 1) END) AS mods FROM b, m),
+  told AS (SELECT base || CASE WHEN len(mods) > 0 THEN '+' || array_to_string(mods, '+') ELSE '' END AS configuration, base, mods,
+    CASE WHEN list_contains(mods, 'light') THEN 'unknown modifier' WHEN list_contains(mods, 'questions') AND base = 'keyword' THEN 'no meaning list' WHEN len(list_distinct(mods)) < len(mods) THEN 'named twice' END AS problem FROM g)"""
+_RUNS = f"""WITH {_KEYWORD}, {_MEANING}, {_GRID},
+  named AS (SELECT doc_id AS key, source || ':' || lang || ':' || doc_id AS path FROM documents),
+  modes AS (SELECT unnest([false, true]) AS normative),
+  every_list AS (
+    SELECT 'keyword' AS retriever, normative, qid, key, score, row_number() OVER (PARTITION BY normative, qid ORDER BY score DESC, key) AS at_ FROM bm, modes WHERE NOT normative OR key % 4 <> 0
+    UNION ALL SELECT 'meaning', normative, qid, key, score, row_number() OVER (PARTITION BY normative, qid ORDER BY score DESC, key) FROM cos, modes WHERE NOT normative OR key % 4 <> 0
+    UNION ALL SELECT 'questions', normative, qid, key, score, row_number() OVER (PARTITION BY normative, qid ORDER BY score DESC, key) FROM cos, modes WHERE key % 3 = 0 AND (NOT normative OR key % 4 <> 0)),
+  lists AS (SELECT retriever, normative, qid, path AS key, score FROM every_list JOIN named USING (key) WHERE at_ <= 100),
+  z AS (SELECT normative, qid, key, CASE WHEN min(score) OVER w = max(score) OVER w THEN 0e0 ELSE (score - avg(score) OVER w) / stddev_pop(score) OVER w END AS z FROM lists WHERE retriever <> 'keyword' WINDOW w AS (PARTITION BY normative, qid, retriever)),
+  each_list AS (SELECT * FROM lists WHERE retriever <> 'questions' UNION ALL SELECT 'blended', normative, qid, key, round(max(z), 5) FROM z GROUP BY ALL),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY retriever, normative, qid ORDER BY score DESC, key) AS rank FROM each_list),
+  used AS (
+    SELECT configuration, base, list_contains(mods, 'rerank') AS rerank, qid, CASE retriever WHEN 'keyword' THEN 'keyword' ELSE 'meaning' END AS retriever, key, score, rank
+    FROM placed JOIN told ON problem IS NULL AND list_contains(mods, 'normative') = normative
+    AND CASE WHEN retriever = 'keyword' THEN base <> 'meaning' ELSE base <> 'keyword' AND list_contains(mods, 'questions') = (retriever = 'blended') END),
+  spread AS (SELECT *, min(score) OVER w AS low, max(score) OVER w AS high FROM used WHERE base = 'convex:0.5' WINDOW w AS (PARTITION BY configuration, qid, retriever)),
+  fused AS (
+    SELECT configuration, rerank, qid, key, score FROM used WHERE base IN ('keyword', 'meaning')
+    UNION ALL SELECT configuration, rerank, qid, key, round(sum(1e0 / (10 + rank)), 9) FROM used WHERE base = 'rrf:10' GROUP BY ALL
+    UNION ALL SELECT configuration, rerank, qid, key, round(sum(CASE WHEN high = low THEN 1e0 ELSE (score - low) / (high - low) END * 0.5e0), 6) FROM spread GROUP BY ALL),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY configuration, qid ORDER BY score DESC, key) AS rank FROM fused QUALIFY rank <= 100),
+  results AS (
+    SELECT configuration, qid, key, row_number() OVER (PARTITION BY configuration, qid ORDER BY CASE WHEN rerank AND rank <= 25 THEN 0 ELSE 1 END, CASE WHEN rerank AND rank <= 25 THEN CAST(split_part(key, ':', 3) AS BIGINT) * 7919 % 101 END DESC, rank) AS rank FROM ranked),
+  expected AS (SELECT configuration, item_id AS qid, 'src' || (item_id % 5) AS answer FROM benchmark, told WHERE problem IS NULL),
+  firsts AS (SELECT e.configuration, e.qid, min(rank) FILTER (starts_with(r.key, answer || ':')) AS first FROM expected e LEFT JOIN results r ON r.configuration = e.configuration AND r.qid = e.qid GROUP BY ALL),
+  scored AS (SELECT configuration, count(*) AS n, round(avg(CASE WHEN first <= 5 THEN 1e0 ELSE 0e0 END), 4) AS recall_5, round(avg(CASE WHEN first <= 10 THEN 1e0 ELSE 0e0 END), 4) AS recall_10, round(avg(coalesce(1e0 / first, 0)), 4) AS mrr FROM firsts GROUP BY 1)
+  SELECT configuration, problem, n, recall_5, recall_10, mrr FROM told LEFT JOIN scored USING (configuration)"""
+
+
+@query("ev5_configurations", _RUNS)
 def configurations(spark, sf_dir):
-    """EV5, EV10: the grid of configurations, and which can't be run."""
+    """EV5, EV10: a grid of configurations, each valid one run over every benchmark item: recall and mean reciprocal rank."""
+    questions, clauses, vectors = _questions(spark, sf_dir), _clauses(spark, sf_dir), _vectors(spark, sf_dir)
+    asked, normative = _question_vectors(spark, sf_dir), F.col("key") % 4 != 0
+    named = clauses.select(F.col("key").alias("id"), F.concat_ws(":", "source", "lang", F.col("key").cast("string")).alias("key"))
+    listed = lambda found, retriever, only: found.withColumnRenamed("key", "id").join(named, "id").select(F.lit(retriever).alias("retriever"), F.lit(only).alias("normative"), "qid", "key", "score", "rank")
+    lists = listed(rt.keyword_search(questions, clauses), "keyword", False)
+    lists = lists.unionByName(listed(rt.keyword_search(questions, clauses, among=clauses.where(normative).select("key")), "keyword", True))
+    for only, kept in ((False, vectors), (True, vectors.where(normative))):
+        lists = lists.unionByName(listed(rt.meaning_search(asked, kept), "meaning", only)).unionByName(listed(rt.meaning_search(asked, kept.where("key % 3 = 0")), "questions", only))
+    expected = questions.select("qid", F.concat(F.lit("src"), (F.col("qid") % 5).cast("string")).alias("answer"))
     bases = F.explode(F.array(*[F.lit(b) for b in ("keyword", "meaning", "convex:0.5", "rrf:10")]))
-    bits = F.array(*[F.when(F.shiftright("id", i) % 2 == 1, F.lit(m)) for i, m in enumerate(ev.MODIFIERS)])
-    chosen = F.concat(F.array_compact(bits), F.when(F.col("id") >= 16, F.array(F.lit("normative"))).otherwise(F.array().cast("array<string>")))
-    return ev.configurations(spark.range(32).select(bases.alias("base"), chosen.alias("modifiers")))
+    bits = F.array_compact(F.array(*[F.when(F.shiftright("id", i) % 2 == 1, F.lit(m)) for i, m in enumerate(ev.MODIFIERS)]))
+    chosen = F.when(F.col("id") == 8, F.array(F.lit("normative"), F.lit("normative"))).when(F.col("id") == 9, F.array(F.lit("light"))).otherwise(bits)
+    grid = spark.range(10).select(bases.alias("base"), chosen.alias("modifiers"))
+    fresh = F.substring_index("key", ":", -1).cast("long") * 7919 % 101
+    return ev.run_configurations(grid, cut(lists), expected, fresh)
 
 
 _OUTCOMES = "SELECT label % 2 AS \"set\", 'run/' || (vec_id % 9) || CASE WHEN vec_id % 4 = 0 THEN '-chat' ELSE '' END AS id, CASE WHEN vec_id % 5 <> 3 THEN vec_id % 11 + 1 END AS first FROM embeddings"
