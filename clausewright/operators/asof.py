@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from clausewright.functions.redaction import natural_key
+
 
 def in_force(versions: DataFrame, as_of: str) -> DataFrame:
     """Of each document the published version of latest effective date up to as_of, highest number on ties.
@@ -123,6 +125,23 @@ def amended(old: DataFrame, new: DataFrame) -> DataFrame:
     return kept.where("applies_until is null or applies_from < applies_until").select("node", "text_id", "applies_from", "applies_until")
 
 
+def placed(old: DataFrame, new: DataFrame) -> DataFrame:
+    """parent, key, turn, added: old siblings (parent, key, place) in their order, and new ones (parent, key) where they belong among them.
+
+    A new clause stands before the first old one, in the old ones' order, whose last segment comes after its own in natural
+    order (art-5-bis after art-5, before art-6), at the end if there is none; several at one place in natural order. Keys that
+    the parent has already aren't added. One sort a parent, no pairs of siblings.
+    """
+    natural = natural_key(F.element_at(F.split("key", ":"), -1))
+    fresh = new.select("parent", "key").distinct().join(old.select("parent", "key"), ["parent", "key"], "left_anti")
+    every = old.select("parent", "key", F.col("place").cast("long").alias("place")).unionByName(fresh.withColumn("place", F.lit(None).cast("long"))).withColumn("natural", natural)
+    greater = F.min("place").over(W.partitionBy("parent").orderBy(F.desc("natural"), F.desc("key")).rowsBetween(W.unboundedPreceding, -1))
+    at = F.coalesce("place", greater, F.lit((1 << 63) - 1))
+    anchored = every.withColumn("at", at)
+    turn = F.row_number().over(W.partitionBy("parent").orderBy("at", F.col("place").isNotNull(), "natural", "key"))
+    return anchored.select("parent", "key", turn.alias("turn"), F.col("place").isNull().alias("added"))
+
+
 def changed_after_publication(before: DataFrame, now: DataFrame, key: str) -> DataFrame:
     """Published rows of before that now lacks or holds otherwise: the immutability rule's violations."""
     columns = [c for c in before.columns if c != key]

@@ -146,6 +146,21 @@ def coverage(paragraphs: DataFrame, uses: DataFrame) -> DataFrame:
     )
 
 
+def file_as_read(lines: DataFrame, clauses: DataFrame, aside: DataFrame) -> DataFrame:
+    """file, position, text, clause, clauses, set_aside: a file's printed lines (file, position, text), each with the clauses it went to.
+
+    clauses: file, key, depth, place, positions; aside: file, positions, reason. clause is the outermost, first in order, of
+    those that name the position, clauses all of them in that order; set_aside is why a line went to none (the first reason by
+    name). Blank lines are left out, as are positions that no line has. Positions are exploded, so that both joins are equi-joins.
+    """
+    told = clauses.select("file", "key", "depth", "place", F.explode(F.array_distinct("positions")).alias("position"))
+    went = told.groupBy("file", "position").agg(F.array_sort(F.collect_list(F.struct("depth", "place", "key"))).alias("c")).select("file", "position", F.transform("c", lambda x: x["key"]).alias("clauses"))
+    kept = aside.select("file", "reason", F.explode("positions").alias("position")).groupBy("file", "position").agg(F.min("reason").alias("set_aside"))
+    printed_lines = lines.where(printed(F.col("text")) > 0)
+    both = printed_lines.join(went, ["file", "position"], "left").join(kept, ["file", "position"], "left")
+    return both.select("file", "position", "text", F.get("clauses", F.lit(0)).alias("clause"), F.coalesce("clauses", F.array().cast("array<string>")).alias("clauses"), "set_aside")
+
+
 def numbering_gaps(clauses: DataFrame) -> DataFrame:
     """parent, place, what: numbered siblings (parent, place, number, null for none) that don't follow the one before.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clausewright.operators import asof
@@ -159,3 +160,21 @@ def published_changes(spark, sf_dir):
     before = versions(spark, sf_dir)
     now = before.where("version % 40 <> 5").withColumn("number", F.col("number") + F.when(F.col("version") % 50 == 3, 1).otherwise(0))
     return asof.changed_after_publication(before, now, "version")
+
+
+@query(
+    "snk2_placed_clauses",
+    """WITH old AS (SELECT DISTINCT l_orderkey AS parent, l_linenumber * 3 AS n, 8 - l_linenumber % 5 AS place_, l_linenumber FROM lineitem),
+    o AS (SELECT parent, n, row_number() OVER (PARTITION BY parent ORDER BY place_, n) AS place FROM old),
+    w AS (SELECT DISTINCT parent, n FROM (SELECT o_orderkey AS parent, o_custkey % 23 AS n FROM orders UNION ALL SELECT o_orderkey, o_orderkey % 10 * 3 + 1 FROM orders) x WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.parent = x.parent AND o.n = x.n)),
+    e AS (SELECT parent, n, place, place AS at_, 1 AS was FROM o UNION ALL SELECT w.parent, w.n, NULL, coalesce(min(o.place) FILTER (o.n > w.n), 9999), 0 FROM w LEFT JOIN o ON o.parent = w.parent GROUP BY w.parent, w.n)
+    SELECT parent, 'law:art-' || n AS key, row_number() OVER (PARTITION BY parent ORDER BY at_, was, n) AS turn, was = 0 AS added FROM e""",
+)
+def placed_clauses(spark, sf_dir):
+    """SNK2: clauses that amendments add, each where it belongs among its siblings."""
+    key = lambda n: F.concat(F.lit("law:art-"), n.cast("string"))
+    line = F.col("l_linenumber")
+    old = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("parent"), line).distinct()
+    turn = F.row_number().over(W.partitionBy("parent").orderBy(8 - line % 5, line))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("parent"), F.explode(F.array(F.col("o_custkey") % 23, F.col("o_orderkey") % 10 * 3 + 1)).alias("n"))
+    return asof.placed(old.select("parent", key(line * 3).alias("key"), turn.alias("place")), orders.select("parent", key(F.col("n")).alias("key")))

@@ -233,3 +233,26 @@ def outline(spark, sf_dir):
     names = region.select(F.col("r_regionkey").cast("long").alias("id"), F.lit("en").alias("lang"), F.col("r_name").alias("name"), F.lit(True).alias("is_authoritative"))
     more = region.where("r_regionkey % 2 = 0").select(F.col("r_regionkey").cast("long"), F.lit("fr"), F.concat(F.lit("fr "), "r_name"), F.lit(False))
     return cp.outline(top.union(below), names.union(more), "fr")
+
+
+@query(
+    "pl8_file_as_read",
+    """WITH l AS (SELECT doc_id AS file, unnest(string_split(text, '. ')) AS text, unnest(range(1, len(string_split(text, '. ')) + 1)) AS position FROM documents),
+    n AS (SELECT doc_id AS file, len(string_split(text, '. ')) AS n FROM documents),
+    c AS (SELECT l.file, position, 'ch-' || ((position - 1) // 10) AS key, 1 AS depth, (position - 1) // 10 AS place FROM l WHERE (position - 1) // 10 % 3 <> 2
+      UNION ALL SELECT l.file, position, 'para-' || (position // 7), 2, position // 7 FROM l WHERE position % 7 < 2 AND position >= 7),
+    g AS (SELECT file, position, list(key ORDER BY depth, place, key) AS keys FROM c GROUP BY ALL)
+    SELECT l.file, l.position, md5(l.text) AS text, keys[1] AS clause, coalesce(array_to_string(keys, ','), '') AS clauses, CASE WHEN (l.position - 1) // 10 % 3 = 2 AND l.position % 4 = 0 THEN 'contents' END AS set_aside
+    FROM l LEFT JOIN g USING (file, position) WHERE length(regexp_replace(l.text, '\\s', '', 'g')) > 0""",
+)
+def file_as_read(spark, sf_dir):
+    """PL8: every line of a file in order, with the clauses it went to or why it was set aside."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.split("text", r"\. ").alias("parts")).where("parts is not null")
+    lines = docs.select("file", F.posexplode("parts").alias("p", "text")).select("file", (F.col("p") + 1).alias("position"), "text")
+    at = F.sequence(F.lit(1), F.size("parts"))
+    spans = lambda name, depth, group, test: docs.select("file", F.explode(F.filter(at, test)).alias("position")).groupBy("file", group.alias("place")).agg(F.collect_list("position").alias("positions")).select("file", F.concat(F.lit(name), F.col("place").cast("string")).alias("key"), F.lit(depth).alias("depth"), "place", "positions")
+    tens = F.floor((F.col("position") - 1) / 10)
+    chapters = spans("ch-", 1, tens, lambda p: F.floor((p - 1) / 10) % 3 != 2)
+    paragraphs = spans("para-", 2, F.floor(F.col("position") / 7), lambda p: (p % 7 < 2) & (p >= 7))
+    aside = docs.select("file", F.filter(at, lambda p: (F.floor((p - 1) / 10) % 3 == 2) & (p % 4 == 0)).alias("positions"), F.lit("contents").alias("reason"))
+    return cp.file_as_read(lines, chapters.unionByName(paragraphs), aside).select("file", "position", F.md5("text").alias("text"), "clause", F.array_join("clauses", ",").alias("clauses"), "set_aside")

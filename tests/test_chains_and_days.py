@@ -97,3 +97,40 @@ def test_days(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan and "Cartesian" not in plan
     assert asof.in_force_on_days(frame, days.limit(0)).count() == asof.in_force_on_days(frame.limit(0), days).count() == 0
+
+
+def test_new_clauses_are_placed(spark):
+    old = [("p", f"law:{k}", i) for i, k in enumerate(["art-1", "art-2", "art-5", "art-10"])] + [("q", "law:b", 7), ("q", "law:a", 9), ("q", "law:c", 8)]
+    new = [("p", f"law:{k}") for k in ("art-5-bis", "art-3", "art-11", "art-2", "art-0", "art-4", "art-4")] + [("q", "law:a2"), ("r", "law:x")]
+    got = asof.placed(spark.createDataFrame(old, "parent string, key string, place int"), spark.createDataFrame(new, "parent string, key string")).collect()
+    order = lambda p: [r.key[4:] for r in sorted((r for r in got if r.parent == p), key=lambda r: r.turn)]
+    assert order("p") == ["art-0", "art-1", "art-2", "art-3", "art-4", "art-5", "art-5-bis", "art-10", "art-11"]
+    # Where the old ones aren't in natural order, a new one stands before the first that comes after it.
+    assert order("q") == ["a2", "b", "c", "a"] and order("r") == ["x"]
+    assert {r.key for r in got if r.added} == {"law:art-5-bis", "law:art-3", "law:art-11", "law:art-0", "law:art-4", "law:a2", "law:x"}
+
+
+def test_file_as_read(spark):
+    from clausewright.operators import corpus as cp
+
+    lines = spark.createDataFrame([("f", 1, "one"), ("f", 2, " "), ("f", 3, "three"), ("f", 4, "four"), ("g", 1, None), ("g", 2, "x"), ("g", 2, "x")], "file string, position int, text string")
+    clauses = spark.createDataFrame([("f", "b", 2, 1, [1, 1]), ("f", "a", 1, 2, [1, 3]), ("f", "c", 1, 1, [3, 9]), ("g", "d", 1, 1, [])], "file string, key string, depth int, place int, positions array<int>")
+    aside = spark.createDataFrame([("f", [4], "contents"), ("f", [4], "blank"), ("g", None, "none")], "file string, positions array<int>, reason string")
+    got = sorted((r.file, r.position, r.clause, r.clauses, r.set_aside) for r in cp.file_as_read(lines, clauses, aside).collect())
+    assert got == [("f", 1, "a", ["a", "b"], None), ("f", 3, "c", ["c", "a"], None), ("f", 4, None, [], "blank"), ("g", 2, None, [], None), ("g", 2, None, [], None)]
+    assert cp.file_as_read(lines.limit(0), clauses, aside).count() == 0
+
+
+def test_configurations(spark):
+    from pyspark.sql import functions as F
+
+    from clausewright.operators import evaluation as ev
+
+    lists = [("keyword", False, 1, "a:1", 3.0, 1), ("keyword", False, 1, "b:2", 2.0, 2), ("keyword", True, 1, "b:2", 2.0, 1), ("meaning", False, 1, "b:2", 0.9, 1), ("meaning", False, 1, "c:3", 0.1, 2), ("meaning", True, 1, "c:3", 0.1, 1), ("questions", False, 1, "c:3", 0.8, 1), ("questions", False, 1, "d:4", 0.1, 2)]
+    grid = [("keyword", []), ("keyword", ["normative"]), ("meaning", []), ("meaning", ["questions"]), ("rrf:10", []), ("keyword", ["questions"]), ("keyword", ["x"]), ("meaning", ["normative", "normative"]), ("keyword", ["rerank"])]
+    found = ev.run_configurations(
+        spark.createDataFrame(grid, "base string, modifiers array<string>"), spark.createDataFrame(lists, "retriever string, normative boolean, qid int, key string, score double, rank int"),
+        spark.createDataFrame([(1, "b"), (2, "z")], "qid int, answer string"), F.substring_index("key", ":", -1).cast("int"),
+    )
+    got = {r.configuration: (r.problem, r.mrr) for r in found.collect()}
+    assert got == {"keyword": (None, 0.25), "keyword+normative": (None, 0.5), "meaning": (None, 0.5), "meaning+questions": (None, 0.5), "rrf:10": (None, 0.5), "keyword+questions": ("no meaning list", None), "keyword+x": ("unknown modifier", None), "meaning+normative+normative": ("named twice", None), "keyword+rerank": (None, 0.5)}
