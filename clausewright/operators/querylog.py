@@ -110,11 +110,12 @@ def matching(
 
 
 def page(entries: DataFrame, limit: int, before: tuple[str, int] | None = None) -> DataFrame:
-    """The newest entries before a cursor (created_at, id); one more than limit tells that there are others."""
+    """The newest entries before a cursor (created_at, id), each with the total of all; one more than limit tells that there are others."""
+    total = entries.agg(F.count("*").alias("total"))
     if before is not None:
         at, key = F.lit(before[0]).cast("timestamp"), F.lit(before[1])
         entries = entries.where((F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("id") < key)))
-    return entries.orderBy(F.desc("created_at"), F.desc("id")).limit(limit + 1)
+    return entries.orderBy(F.desc("created_at"), F.desc("id")).limit(limit + 1).crossJoin(F.broadcast(total))
 
 
 def offset_page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:

@@ -90,12 +90,12 @@ def log_filter(spark, sf_dir):
 
 @query(
     "so1_keyset_page",
-    f"""WITH {LOG_SQL} SELECT id, created_at, rtrim(translate(to_base64(encode(strftime(created_at, '%Y-%m-%d %H:%M:%S') || '|' || CAST(id AS VARCHAR))), '+/', '-_'), '=') AS cursor
+    f"""WITH {LOG_SQL} SELECT id, created_at, rtrim(translate(to_base64(encode(strftime(created_at, '%Y-%m-%d %H:%M:%S') || '|' || CAST(id AS VARCHAR))), '+/', '-_'), '=') AS cursor, (SELECT count(*) FROM entries) AS total
     FROM (SELECT id, date_trunc('second', created_at) AS created_at FROM entries)
     WHERE created_at < TIMESTAMP '2024-01-15' OR (created_at = TIMESTAMP '2024-01-15' AND id < 5000) ORDER BY created_at DESC, id DESC LIMIT 21""",
 )
 def keyset_page(spark, sf_dir):
-    """SO1, SC14: a page behind a cursor."""
+    """SO1, SC14: a page behind a cursor, with the total."""
     log = log_entries(spark, sf_dir).select("id", F.date_trunc("second", "created_at").alias("created_at"))
     rows = ql.page(log, 20, ("2024-01-15", 5000))
     return rows.withColumn("cursor", ql.encode_cursor(F.col("created_at"), F.col("id")))
