@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -109,6 +111,31 @@ def matching(
     return out if actors is None else out.join(actors.select("actor").distinct(), "actor", "left_semi")
 
 
+def governance_entries(entries: DataFrame, people: DataFrame, *, actor: int | None = None, action: str | None = None, since: str | None = None, until: str | None = None, text: str | None = None) -> DataFrame:
+    """Entries (id, created_at, actor, target, action and other columns) that a reader of the log asks for, with actor_name and target_name.
+
+    actor: that person acted or was acted on; action: exactly that, or below it (``search`` takes ``search.ok``); since <= created_at <
+    until; text: somewhere in a text column or in a name, whatever its case, taken as it is written (``%`` and ``_`` too). What isn't
+    given doesn't filter. people: person (once), name. Names are joined after everything that needs none of them has filtered.
+    """
+    kept = entries
+    if action is not None:
+        kept = kept.where((F.col("action") == action) | F.col("action").startswith(f"{action}."))
+    if since is not None:
+        kept = kept.where(F.col("created_at") >= F.lit(since).cast("timestamp"))
+    if until is not None:
+        kept = kept.where(F.col("created_at") < F.lit(until).cast("timestamp"))
+    if actor is not None:
+        kept = kept.where(F.coalesce(F.col("actor") == actor, F.lit(False)) | F.coalesce(F.col("target") == actor, F.lit(False)))
+    for who in ("actor", "target"):
+        kept = kept.join(people.select(F.col("person").alias(who), F.col("name").alias(f"{who}_name")), who, "left")
+    if text is not None:
+        columns = [c for c, kind in kept.dtypes if kind == "string"]
+        found = [F.coalesce(F.contains(F.lower(c), F.lit(text.lower())), F.lit(False)) for c in columns]
+        kept = kept.where(functools.reduce(lambda a, b: a | b, found))
+    return kept
+
+
 def page(entries: DataFrame, limit: int, before: tuple[str, int] | None = None) -> DataFrame:
     """The newest entries before a cursor (created_at, id), each with the total of all; one more than limit tells that there are others."""
     total = entries.agg(F.count("*").alias("total"))

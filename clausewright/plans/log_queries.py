@@ -179,6 +179,21 @@ def governance_filter(spark, sf_dir):
     return by_actor.union(by_target).select("id", "action").distinct()
 
 
+@query(
+    "fil11_entries_asked_for",
+    f"""WITH {LOG_SQL}, e AS (SELECT *, operation || '.' || status AS action, CAST(floor(value) AS BIGINT) AS target FROM entries)
+    SELECT id, action, p.c_name AS actor_name, t.c_name AS target_name FROM e LEFT JOIN customer p ON p.c_custkey = e.actor LEFT JOIN customer t ON t.c_custkey = e.target
+    WHERE (action = 'search' OR starts_with(action, 'search.')) AND created_at >= TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-25'
+    AND (contains(lower(action), '07') OR contains(lower(surface), '07') OR contains(lower(operation), '07') OR contains(lower(status), '07') OR contains(lower(pack), '07') OR contains(lower(clause), '07') OR contains(lower(props), '07') OR contains(lower(p.c_name), '07') OR contains(lower(t.c_name), '07'))""",
+)
+def entries_asked_for(spark, sf_dir):
+    """FIL11: action and what is below it, a window, a text in any of nine columns, two of them names."""
+    log = log_entries(spark, sf_dir).withColumn("action", F.concat_ws(".", "operation", "status")).withColumn("target", F.floor("value").cast("long"))
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person"), F.col("c_name").alias("name"))
+    found = ql.governance_entries(log, people, action="search", since="2024-01-05", until="2024-01-25", text="07")
+    return found.select("id", "action", "actor_name", "target_name")
+
+
 @query(
     "ag20_actors",
     "SELECT DISTINCT c_name AS actor, lower(c_name) AS sort_name FROM events JOIN customer ON user_id = c_custkey",

@@ -134,3 +134,17 @@ def test_configurations(spark):
     )
     got = {r.configuration: (r.problem, r.mrr) for r in found.collect()}
     assert got == {"keyword": (None, 0.25), "keyword+normative": (None, 0.5), "meaning": (None, 0.5), "meaning+questions": (None, 0.5), "rrf:10": (None, 0.5), "keyword+questions": ("no meaning list", None), "keyword+x": ("unknown modifier", None), "meaning+normative+normative": ("named twice", None), "keyword+rerank": (None, 0.5)}
+
+
+def test_entries_asked_for(spark):
+    from clausewright.operators import querylog as ql
+
+    day = lambda n: datetime.datetime(2024, 1, n)
+    rows = [(1, day(1), 7, 8, "search.ok", "50%_x"), (2, day(2), None, 7, "search", None), (3, day(3), 8, None, "searched", "ANNA"), (4, day(4), 9, 9, "search.ok", "50 x")]
+    entries = spark.createDataFrame(rows, "id int, created_at timestamp, actor int, target int, action string, details string")
+    people = spark.createDataFrame([(7, "Anna"), (8, "Bo"), (10, "Cy")], "person int, name string")
+    ids = lambda **kw: sorted(r.id for r in ql.governance_entries(entries, people, **kw).collect())
+    assert ids() == [1, 2, 3, 4] and ids(action="search") == [1, 2, 4] and ids(actor=7) == [1, 2] and ids(text="anna") == [1, 2, 3] and ids(text="0%_X") == [1]
+    assert ids(since="2024-01-02", until="2024-01-04") == [2, 3] and ids(action="search", text="bo", until="2024-01-02") == [1] and ids(text="nobody") == []
+    assert {(r.id, r.actor_name, r.target_name) for r in ql.governance_entries(entries, people).collect()} == {(1, "Anna", "Bo"), (2, None, "Anna"), (3, "Bo", None), (4, None, None)}
+    assert ql.governance_entries(entries.limit(0), people, text="x").count() == 0
