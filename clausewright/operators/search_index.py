@@ -221,8 +221,10 @@ class Index:
         folders = [r.folder for r in asked.select(_folder("term")).distinct().collect()]
         list_of = ["term", "lang", "source"]
         block_of = [*list_of, "load", "run", "block"]
-        blocks = self.blocks().where(F.col("folder").isin(folders))
-        sums = cut(blocks.select(*block_of, "n", "most", "least_words").join(asked.select("term", "lang").distinct(), ["term", "lang"], "left_semi"))
+        # The terms of one block of questions, of a stated number: only their lists go into a shuffle.
+        own_terms = self.spark.createDataFrame(sorted({(t, x) for _, x, t in pairs if x is not None}), "term string, lang string")
+        blocks = self.blocks().where(F.col("folder").isin(folders)).join(F.broadcast(own_terms), ["term", "lang"], "left_semi")
+        sums = cut(blocks.select(*block_of, "n", "most", "least_words"))
         known = {}
         for row in sums.groupBy("term", "lang").agg(F.sum("n").alias("df")).collect():
             n, mean = stats[row.lang]
