@@ -66,11 +66,13 @@ _BLOCKS = "term string, lang string, source string, run int, block int, n int, m
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's words as terms and their frequencies."""
-    for batch in batches:
-        counts = [Counter(w) for w in batch.column("words").to_pylist()]
-        lists = [pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("text_id", "source", "lang", "n_words", "run")] + lists, names=["text_id", "source", "lang", "n_words", "run", "terms", "tfs"])
+    """Each text's words as terms and their frequencies, few texts at a time."""
+    for whole in batches:
+        for first in range(0, whole.num_rows, 256):
+            batch = whole.slice(first, 256)
+            counts = [Counter(w.as_py()) for w in batch.column("words")]
+            lists = [pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("text_id", "source", "lang", "n_words", "run")] + lists, names=["text_id", "source", "lang", "n_words", "run", "terms", "tfs"])
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
