@@ -1,15 +1,17 @@
 """License scans by conditional compression.
 
-In texts that speak of licensing, a block of words is a candidate wherever three words of a template
-stand in a row. A block is compressed alone and with each of its templates as zstandard raw dictionary.
-Templates that shrink it are ranked by how much, and each is confirmed, or not, by the exact words in
-which text and template differ.
+Around every word that speaks of licensing lie candidate blocks, for each template as long as it is with the
+words it may gain. Each is compressed alone and with the template as zstandard raw dictionary. Templates that
+take away half of what they take away from themselves are the winners; the largest reduction in bytes takes its
+words first, if the exact words in which text and template differ confirm it. Nothing else proposes a place.
 """
 
 from __future__ import annotations
 
 import difflib
+import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -99,27 +101,65 @@ TEMPLATES = {
     "CC0": "Licensed under CC0 1.0 Universal.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-#: What a line must speak of to be a candidate.
-TRIGGERS = ("licens", "licence", "permission", "redistribut", "copyright", "creative commons", "public domain")
+#: Licenses by the names that stand beside the word license, and by names that hold it.
+SHORT_NAMES = {
+    "MIT-name": ("MIT",),
+    "Apache-name": ("Apache",),
+    "GPL-name": ("GPL", "GPLv", "GNU GPL"),
+    "AGPL-name": ("AGPL", "AGPLv", "GNU AGPL"),
+    "LGPL-name": ("LGPL", "LGPLv", "GNU LGPL"),
+    "MPL-name": ("MPL",),
+    "BSD-name": ("BSD", "BSD Clause"),
+    "ISC-name": ("ISC",),
+    "CC-BY-name": ("CC BY",),
+    "CC-BY-SA-name": ("CC BY-SA",),
+    "CC-BY-NC-name": ("CC BY-NC",),
+    "CC-BY-ND-name": ("CC BY-ND",),
+    "CC0-name": ("CC0", "CC Zero"),
+}
+FULL_NAMES = {
+    "GPL-name": ("GNU General Public License",),
+    "AGPL-name": ("GNU Affero General Public License",),
+    "LGPL-name": ("GNU Lesser General Public License",),
+    "GFDL-name": ("GNU Free Documentation License",),
+    "MPL-name": ("Mozilla Public License",),
+    "EPL-name": ("Eclipse Public License",),
+    "Boost-name": ("Boost Software License",),
+    "CC-BY-name": ("Creative Commons Attribution",),
+    "CC-BY-SA-name": ("Creative Commons Attribution-ShareAlike",),
+    "CC-BY-NC-name": ("Creative Commons Attribution-NonCommercial",),
+    "CC-BY-ND-name": ("Creative Commons Attribution-NoDerivatives",),
+    "CC-BY-NC-SA-name": ("CC BY-NC-SA", "Creative Commons Attribution-NonCommercial-ShareAlike"),
+    "CC-BY-NC-ND-name": ("CC BY-NC-ND", "Creative Commons Attribution-NonCommercial-NoDerivatives"),
+}
+#: How a short name stands beside the word license.
+PHRASES = ("{} license", "{} licence", "license {}", "licence {}", "licensed under {}", "licensed under the {}")
+#: What a block must speak of to be a candidate.
+TRIGGERS = ("licens", "licence", "permission", "redistribut", "copyright", "creative commons", "public domain", "cc by", "cc-by")
 #: Words that tell one license from another or turn a statement round. Text and template never differ by one.
 DECISIVE = frozenset(
     "affero lesser documentation sa nc nd sharealike noncommercial noderivatives noderivs zero not never no nor neither isn wasn aren".split()
 )
-#: Words that, just before a notice in its sentence, deny it.
+#: Words that, before a notice in its clause, deny it.
 DENIALS = frozenset("not never no nor neither isn wasn aren".split())
-#: Lines between two candidate lines that still join them in a block; words a template may differ by, as a share.
-GAP_LINES, LEEWAY = 2, 0.1
-#: Words around a trigger that a block takes of a long line; words in a row by which a template is looked for.
-#: With a share of LEEWAY missing and as many put between, at least so many of ten words or more stay in a row.
-AROUND, ROW = 150, 3
+#: The share of a template's words that a place may lack, and as many may be put between; the share of a template's own
+#: reduction that a block must reach; words in a row by which a winner is laid on its block.
+#: With a share of LEEWAY missing and as many put between, at least ROW words of ten or more stay in a row.
+LEEWAY, REACHED, ROW = 0.1, 0.5, 3
 SCHEMA = (
     "doc_id long, block_start long, block_end long, license string, version string, size_alone int, size_with int, gain double, "
     "template_words int, missing_words int, extra_words int"
 )
 _WORDS = re.compile(r"[^\W\d_]+|\d+")
-_VERSION = re.compile(r"(?:version|\bv\.?|cc(?: by)?(?:-\w\w)*0?)\s*(\d+(?:\.\d+)*)", re.IGNORECASE)
-_TAIL = re.compile(r"(?:[^\w\n]{0,3}\d+(?:\.\d+)*)?[^\w\s]*")
+_VERSION = re.compile(
+    r"(?:version|\bv\.?|gplv|apache[\s-]*(?:licen[sc]e)?,?|(?:public|software) licen[sc]e,?|attribution(?:-[a-z]+)*|cc[\s-]?(?:by)?(?:[\s-][a-z]{2})*0?[\s-]*)"
+    r"\s*(\d+(?:\.\d+)*)",
+    re.IGNORECASE,
+)
+_TAIL = re.compile(r"(?:[,\s-]{0,3}(?:version|v\.?)?[^\w\n]{0,3}\d+(?:\.\d+)*)?[^\w\s]*", re.IGNORECASE)
 _STOP = re.compile(r"[.!?;:\n](?!\d)|\d")
+_CLAUSE = re.compile(r"[.!?;:,\n](?!\d)")
+_BREAK = re.compile(r"[.!?;](?!\d)\s|\n\s*\n")
 _TRIGGER = re.compile("|".join(TRIGGERS), re.IGNORECASE)
 
 
@@ -128,42 +168,40 @@ def plain_words(text: str) -> list[str]:
     return [w for w in _WORDS.findall(text.lower()) if not w[0].isdigit()]
 
 
+def wordings(templates: dict[str, str] = TEMPLATES) -> list[tuple[str, list[str]]]:
+    """(license, words) of every template: the notices and texts, then the names."""
+    out = [(k, plain_words(t)) for k, t in templates.items()]
+    out += [(k, plain_words(p.format(n))) for k, names in SHORT_NAMES.items() for n in names for p in PHRASES]
+    out += [(k, plain_words(n)) for k, names in FULL_NAMES.items() for n in names]
+    return out
+
+
 def blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the candidate blocks of a whole text: places of a trigger with the words around them."""
-    low = text.lower()
-    if not any(t in low for t in TRIGGERS):
-        return []
-    out: list[list[int]] = []
-    for hit in _TRIGGER.finditer(text):
-        begin = text.rfind("\n", 0, hit.start()) + 1
-        end = text.find("\n", hit.end())
-        end = len(text) if end < 0 else end
-        if end - begin > 2 * 8 * AROUND:
-            begin, end = max(begin, hit.start() - 8 * AROUND), min(end, hit.end() + 8 * AROUND)
-        if out and (begin <= out[-1][1] or text.count("\n", out[-1][1], begin) <= GAP_LINES):
-            out[-1][1] = max(end, out[-1][1])
-        else:
-            out.append([begin, end])
-    return [(a, b) for a, b in out]
+    """(start, end) of the places of a whole text that speak of licensing: candidate blocks lie around them."""
+    return [m.span() for m in _TRIGGER.finditer(text)]
 
 
 class Scanner:
-    """Templates ready to compress with."""
+    """Templates ready to compress with. Numbers count templates: several are of one license."""
 
     def __init__(self, templates: dict[str, str] = TEMPLATES):
-        self.words = {k: plain_words(t) for k, t in templates.items()}
-        plain = {"level": 19, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+        self.names, self.words = (list(x) for x in zip(*wordings(templates), strict=True))
+        plain = {"level": 3, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.alone = zstandard.ZstdCompressor(**plain)
-        self.given = {
-            k: zstandard.ZstdCompressor(
-                **plain, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            )
-            for k, w in self.words.items()
-        }
-
-    def confirmed(self, name: str, part: list[str]) -> tuple[int, int, int, int] | None:
+        self.given = [
+            zstandard.ZstdCompressor(**plain, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            for w in self.words
+        ]
+        self.own = [self.sizes(n, tuple(w)) for n, w in enumerate(self.words)]
+
+    def sizes(self, template: int, block: tuple[str, ...]) -> tuple[int, int]:
+        """Bytes of a block compressed alone and with a template."""
+        data = " ".join(block).encode()
+        return len(self.alone.compress(data)), len(self.given[template].compress(data))
+
+    def confirmed(self, template: int, part: list[str]) -> tuple[int, int, int, int] | None:
         """(first, last, missing, extra) of the template's words in part, None if they differ by too much or by a decisive word."""
-        want = self.words[name]
+        want = self.words[template]
         allowed = int(LEEWAY * len(want))
         same = [m for m in difflib.SequenceMatcher(None, want, part, autojunk=False).get_matching_blocks() if m.size]
         if not same:
@@ -177,69 +215,111 @@ class Scanner:
             return None
         return first, last, len(missing), len(extra)
 
-    def candidates(self, words: list[str]) -> dict[tuple[int, int], set[str]]:
-        """(begin, end) of blocks of words and the templates to try there: three of their words stand in a row."""
+    def windows(self, template: int, n_words: int, marks: list[int]) -> set[tuple[int, int]]:
+        """(begin, end) of the blocks that hold a marked word. Any place of the template, with the words it may gain, lies whole in one."""
+        length = len(self.words[template])
+        step = max(length // 8, 1)
+        size = length + int(LEEWAY * length) + step - 1
+        starts = {s * step for t in marks for s in range(max(-(-(t - size + 1) // step), 0), t // step + 1)}
+        return {(s, min(s + size, n_words)) for s in starts}
+
+    def laid(self, template: int, block: tuple[str, ...]) -> set[tuple[int, int, int, int]]:
+        """(first, last, missing, extra) of a template's confirmed places in a block, by rows of words that both have."""
+        want = self.words[template]
+        allowed, row = int(LEEWAY * len(want)), min(ROW, len(want))
         at: dict[tuple[str, ...], list[int]] = {}
-        for q in range(len(words) - ROW + 1):
-            at.setdefault(tuple(words[q : q + ROW]), []).append(q)
-        out: dict[tuple[int, int], set[str]] = {}
-        for name, want in self.words.items():
-            allowed, row = int(LEEWAY * len(want)), min(ROW, len(want))
-            for start in {q - p for p in range(len(want) - row + 1) for q in at.get(tuple(want[p : p + row]), ())}:
-                span = (max(start - allowed, 0), min(start + len(want) + allowed, len(words)))
-                out.setdefault(span, set()).add(name)
+        for p in range(len(want) - row + 1):
+            at.setdefault(tuple(want[p : p + row]), []).append(p)
+        out = set()
+        for start in {q - p for q in range(len(block) - row + 1) for p in at.get(block[q : q + row], ())}:
+            begin = max(start - allowed, 0)
+            if found := self.confirmed(template, list(block[begin : start + len(want) + allowed])):
+                out.add((begin + found[0], begin + found[1], *found[2:]))
         return out
 
-    def ranked(self, part: tuple[str, ...], names: set[str]) -> list[tuple[float, str, int, int]]:
-        """(gain, template, size alone, size with it) of the templates that shrink a block, best first."""
-        data = " ".join(part).encode()
-        alone = len(self.alone.compress(data))
-        sizes = [(name, len(self.given[name].compress(data))) for name in names]
-        return sorted((((alone - n) / alone, name, alone, n) for name, n in sizes if n < alone), key=lambda x: (-x[0], x[1]))
-
-    def places(self, words: list[str]) -> list[tuple]:
-        """(name, first, last, missing, extra, size alone, size with, gain) of confirmed places; equal blocks are judged once."""
-        known: dict[tuple, list[tuple]] = {}
-        found = set()
-        for (begin, end), names in self.candidates(words).items():
-            key = (tuple(words[begin:end]), frozenset(names))
-            if key not in known:
-                known[key] = [(n, x, a, b, g) for g, n, a, b in self.ranked(key[0], names) if (x := self.confirmed(n, list(key[0])))]
-            for name, (first, last, missing, extra), alone, size, gain in known[key]:
-                found.add((name, begin + first, begin + last, missing, extra, alone, size, gain))
-        return list(found)
+    def places(self, words: list[str], marks: list[int] | None = None) -> list[tuple]:
+        """(license, first, last, missing, extra, size alone, size with, gain, template) of confirmed winners, largest reduction first.
+
+        marks: words that blocks must hold one of; all, if not given. Equal blocks are compressed once a template.
+        """
+        marks = list(range(len(words))) if marks is None else marks
+        out = []
+        for template, (own_alone, own_with) in enumerate(self.own):
+            judged: dict[tuple[str, ...], tuple] = {}
+            best: dict[tuple[int, int], tuple] = {}
+            for begin, end in self.windows(template, len(words), marks):
+                block = tuple(words[begin:end])
+                if block not in judged:
+                    alone, size = self.sizes(template, block)
+                    won = alone - size >= REACHED * (own_alone - own_with)
+                    judged[block] = (alone, size, self.laid(template, block) if won else ())
+                alone, size, found = judged[block]
+                for first, last, missing, extra in found:
+                    key = (begin + first, begin + last)
+                    best[key] = min(best.get(key, (math.inf,)), (missing + extra, size - alone, alone, size, missing, extra))
+            # Of one template's places that share a word, the one with the fewest differences stays.
+            taken: set[int] = set()
+            for (first, last), (_, _, alone, size, missing, extra) in sorted(best.items(), key=lambda f: (f[1], f[0])):
+                if taken.isdisjoint(range(first, last + 1)):
+                    taken.update(range(first, last + 1))
+                    out.append((self.names[template], first, last, missing, extra, alone, size, (alone - size) / alone, template))
+        return sorted(out, key=lambda f: (f[6] - f[5], f[3] + f[4], f[8], f[1]))
 
     def scan(self, text: str) -> list[tuple]:
         """(start, end, license, version, sizes, gain, words, missing, extra) of each confirmed place.
 
-        Places inside that of a longer wording are left out: a notice's first sentence inside its full text.
+        Places inside that of a larger reduction are left out: a notice's first sentence inside its full text.
         """
-        if not blocks(text):
+        spans = blocks(text)
+        if not spans:
             return []
         hits = [m for m in _WORDS.finditer(text) if not m[0][0].isdigit()]
-        words = [m[0].lower() for m in hits]
+        words, ends = [m[0].lower() for m in hits], [m.end() for m in hits]
+        marks = [i for a, b in spans for i in range(bisect_right(ends, a), bisect_left(ends, b) + 1) if i < len(hits)]
+        denied = denied_words(text, hits)
         kept: list[tuple] = []
-        # The longest confirmed wording first, then the fewest differences, then what its template shrinks most.
-        order = lambda f: (f[3] + f[4] - len(self.words[f[0]]), f[3] + f[4], -f[7], f)
-        for name, first, last, missing, extra, alone, size, gain in sorted(self.places(words), key=order):
-            if any(a <= first and last <= b or (name == n and first <= b and a <= last) for n, a, b, *_ in kept):
+        over: dict[int, list[tuple]] = {}
+        for found in self.places(words, marks):
+            name, first, last = found[:3]
+            inside = any(last <= other[2] for other in over.get(first, ()))
+            if inside or any(name == other[0] for i in range(first, last + 1) for other in over.get(i, ())):
                 continue
-            if not self._spoilt(text, hits, words, first, last):
-                kept.append((name, first, last, missing, extra, alone, size, gain))
+            if not self._spoilt(text, hits, words, denied, first, last, len(self.words[found[8]])):
+                kept.append(found)
+                for i in range(first, last + 1):
+                    over.setdefault(i, []).append(found)
         out = []
-        for name, first, last, missing, extra, alone, size, gain in sorted(kept, key=lambda f: f[1:3]):
+        for name, first, last, missing, extra, alone, size, gain, template in sorted(kept, key=lambda f: f[1:3]):
             begin, end = hits[first].start(), _TAIL.match(text, hits[last].end()).end()
             version = _VERSION.search(text, begin, end)
-            out.append((begin, end, name, version[1] if version else None, alone, size, gain, len(self.words[name]), missing, extra))
+            out.append((begin, end, name, version[1] if version else None, alone, size, gain, len(self.words[template]), missing, extra))
         return out
 
     @staticmethod
-    def _spoilt(text: str, hits: list[re.Match], words: list[str], first: int, last: int) -> bool:
-        """Whether the words around a place make it another license or deny it: BY-NC before -SA, ``not`` before a notice."""
+    def _spoilt(text: str, hits: list[re.Match], words: list[str], denied: list[bool], first: int, last: int, length: int) -> bool:
+        """Whether the words around a place make it another license or deny it: BY-NC before -SA, ``not`` before a notice.
+
+        Two words before a notice deny it past a comma too, those further before only in its own clause. A wording of fewer
+        words than LEEWAY speaks of is a name, and stands in one sentence.
+        """
         if last + 1 < len(words) and words[last + 1] in DECISIVE - DENIALS and not _STOP.search(text, hits[last].end(), hits[last + 1].start()):
             return True
-        before = range(max(first - 2, 0), first)
-        return any(words[i] in DENIALS and not _STOP.search(text, hits[i].end(), hits[first].start()) for i in before)
+        if length * LEEWAY < 1 and any(_BREAK.search(text, hits[i].end(), hits[i + 1].start()) for i in range(first, last)):
+            return True
+        near = range(max(first - 2, 0), first)
+        return denied[first] or any(words[i] in DENIALS and not _STOP.search(text, hits[i].end(), hits[first].start()) for i in near)
+
+
+def denied_words(text: str, hits: list[re.Match]) -> list[bool]:
+    """For every word of a text whether a denial stands before it in its clause; a comma or ``but`` ends a clause."""
+    out, denied = [], False
+    for i, hit in enumerate(hits):
+        word = hit[0].lower()
+        if i and denied and (word == "but" or _CLAUSE.search(text, hits[i - 1].end(), hit.start())):
+            denied = False
+        out.append(denied)
+        denied = denied or word in DENIALS
+    return out
 
 
 _SCANNERS: list[Scanner] = []
@@ -250,7 +330,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     block_start and block_end are characters of the text, around the license's own words. Texts are read whole, however long; null
     and empty ones have no blocks. A notice that a decisive word changes (Affero, Lesser, SA, NC, ND), or that "not" denies, is no place of
-    the plainer license. size_alone, size_with and gain are of the candidate block. Repeated rows are scanned each, ids may be null, other columns
+    the plainer license; bare "CC BY" or "CC BY-SA" is none, being too short to compress. size_alone, size_with and gain are of the candidate block. Repeated rows are scanned each, ids may be null, other columns
     aren't read, an empty table gives an empty result. Of templates that hold a
     place equally well the first by name counts. Words of other letters are compared like any; numbers (versions, years) aren't compared.
     """
