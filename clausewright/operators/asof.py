@@ -149,3 +149,27 @@ def changed_after_publication(before: DataFrame, now: DataFrame, key: str) -> Da
     right = now.select(key, F.sha2(F.to_json(F.struct(*columns)), 256).alias("is"))
     joined = left.join(right, key, "left")
     return joined.where("`is` is null or was <> `is`").select(key, F.when(F.col("is").isNull(), "missing").otherwise("changed").alias("problem"))
+
+
+def listed_versions(versions: DataFrame, flags: DataFrame, today: str, drafts: bool = True) -> DataFrame:
+    """document, version, number, effective, until, state, flags, open: a document's published versions with their states, and its drafts.
+
+    flags: version, accepted, resolved. A draft's state is draft; flags counts all of its flags, open those neither accepted nor
+    resolved; both are null for published versions. Of versions of one day the highest number counts, the others are replaced by it at
+    once, their last day before their first. Discarded versions aren't listed.
+    """
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    after = F.lead("effective").over(W.partitionBy("document").orderBy("effective", "number", "version"))
+    shown = versions.where("status = 'published'").withColumn("after", after)
+    now = F.lit(today).cast("date")
+    state = F.when(F.col("effective") > now, "scheduled").when(F.col("after") <= now, "replaced").otherwise("in_force")
+    out = shown.select("document", "version", "number", "effective", F.date_sub("after", 1).alias("until"), state.alias("state"), none("long", "flags"), none("long", "open"))
+    if not drafts:
+        return out
+    own = versions.where("status = 'draft'").select("document", "version", "number", "effective")
+    count = flags.groupBy("version").agg(F.count("*").alias("flags"), F.count_if(F.col("accepted").isNull() & F.col("resolved").isNull()).alias("open"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    added = own.join(count, "version", "left").select(
+        "document", "version", "number", "effective", none("date", "until"), F.lit("draft").alias("state"), zero("flags"), zero("open")
+    )
+    return out.unionByName(added)

@@ -171,3 +171,115 @@ def audited(questions: DataFrame) -> DataFrame:
     missing = F.col("quote").isNotNull() & ~F.contains("evidence", "quote")
     verdict = F.when(missing, "rejected").when(told.isNotNull() & names, "cited").when(F.col("note").isNotNull(), "justified").otherwise("rejected")
     return questions.select("id", verdict.alias("verdict"))
+
+
+#: Fixed value: how likely a change may be by chance alone, shared by the sets that are looked at.
+CHANCE = 0.05
+
+
+def unpaired(before: DataFrame, after: DataFrame) -> DataFrame:
+    """pack, set, id, problem of questions that can't be judged: asked twice in a run, or in one of the runs only."""
+    keys = ["pack", "set", "id"]
+    count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    both = count(before, "b").join(count(after, "a"), keys, "full")
+    problem = F.when((F.col("b") > 1) | (F.col("a") > 1), "twice").when(F.col("a").isNull(), "only before").when(F.col("b").isNull(), "only after")
+    return both.select(*keys, problem.alias("problem")).where("problem is not null")
+
+
+def _chances(changes: DataFrame, *by: str, rounds: int) -> DataFrame:
+    """by, chance: how often the changes (by, topic, change) of a group sum up to as much when each takes a random sign. Sums are compared to 12 places."""
+    own = changes.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    flipped = F.when(_drawn(F.col("round"), F.col("topic")) % 2 == 0, F.col("change")).otherwise(-F.col("change"))
+    sums = own.groupBy(*by, "round").agg(F.sum(flipped).alias("s"), F.sum("change").alias("measured"))
+    found = sums.groupBy(*by).agg(F.max("measured").alias("m"), F.round((F.count_if(F.col("s") >= F.col("measured") - 1e-12) + 1) / F.lit(rounds + 1), 6).alias("c"))
+    return found.select(*by, F.when(F.col("m") <= 1e-12, 1.0).otherwise(F.col("c")).alias("chance"))
+
+
+def _paired(before: DataFrame, after: DataFrame) -> DataFrame:
+    now = after.select("pack", "set", "id", F.col("score").alias("now"), F.col("hit").alias("hit_now"))
+    return before.select("pack", "set", "id", "topic", "score", "hit").join(now, ["pack", "set", "id"])
+
+
+def set_changes(before: DataFrame, after: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """A row for each set of two runs (pack, set, id, topic, score, hit): questions, hits and mean scores of both, chance_of_loss, worse.
+
+    A topic asked in several forms moves as one: its changes are added up before signs are drawn. A set is worse if its
+    score falls by more than chance explains; the chance allowed is divided by the number of sets. Unpaired questions are left out
+    (``unpaired`` names them).
+    """
+    both = _paired(before, after)
+    told = both.groupBy("pack", "set").agg(
+        F.count("*").alias("questions"), F.count_if("hit").alias("hits_before"), F.count_if("hit_now").alias("hits_after"),
+        F.round(F.avg("score"), 9).alias("score_before"), F.round(F.avg("now"), 9).alias("score_after"),
+    )
+    lost = both.groupBy("pack", "set", "topic").agg((F.sum("score") - F.sum("now")).alias("change"))
+    chance = _chances(lost, "pack", "set", rounds=rounds).withColumnRenamed("chance", "chance_of_loss")
+    sets = told.agg(F.count("*").alias("sets"))  # one row
+    worse = (F.col("score_after") < F.col("score_before")) & (F.col("chance_of_loss") < CHANCE / F.col("sets"))
+    return told.join(chance, ["pack", "set"]).crossJoin(F.broadcast(sets)).withColumn("worse", worse).drop("sets")
+
+
+def judgement(before: DataFrame, after: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """One row for two runs (pack, set, id, topic, score, hit): questions, topics, hits, topics_found, topics_lost, chance, worse_sets, unpaired, kept.
+
+    A topic is one of its pack, in all its sets. kept: the gain is more than chance gives and no set is worse; null if questions are
+    unpaired, or there are none.
+    """
+    both = _paired(before, after)
+    topics = both.groupBy("pack", "topic").agg(
+        F.count("*").alias("n"), F.count_if("hit").alias("was"), F.count_if("hit_now").alias("is"), (F.sum("now") - F.sum("score")).alias("change")
+    )
+    told = topics.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("questions"), F.count("*").alias("topics"), F.coalesce(F.sum("was"), F.lit(0)).alias("hits_before"), F.coalesce(F.sum("is"), F.lit(0)).alias("hits_after"),
+        F.count_if(F.col("is") > F.col("was")).alias("topics_found"), F.count_if(F.col("is") < F.col("was")).alias("topics_lost"),
+    )
+    named = topics.select(F.concat_ws("/", "pack", "topic").alias("topic"), "change")
+    # Each of these is one row.
+    chance = _chances(named.withColumn("all", F.lit(1)), "all", rounds=rounds).agg(F.max("chance").alias("chance"))
+    worse = set_changes(before, after, rounds).agg(F.count_if("worse").alias("worse_sets"))
+    odd = unpaired(before, after).agg(F.count("*").alias("unpaired"))
+    one = told.crossJoin(F.broadcast(chance)).crossJoin(F.broadcast(worse)).crossJoin(F.broadcast(odd))
+    kept = F.when((F.col("unpaired") == 0) & (F.col("questions") > 0), (F.col("chance") < CHANCE) & (F.col("worse_sets") == 0))
+    return one.withColumn("kept", kept)
+
+
+def rates(measured: DataFrame, rounds: int = 2000) -> DataFrame:
+    """group, runs, hits, share, low, high of measured (group, task, hit): a 95 % interval of the share, tasks drawn with all their runs together.
+
+    Null hits aren't measured; a task without any is no task here.
+    """
+    own = measured.where("hit is not null").groupBy("group", "task").agg(F.count_if("hit").alias("hits"), F.count("*").alias("runs"))
+    own = own.withColumn("i", F.row_number().over(W.partitionBy("group").orderBy("task")) - 1).withColumn("n", F.count("*").over(W.partitionBy("group")))
+    draws = own.select("group", "n", F.col("i").alias("place"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    draws = draws.select("group", "round", (_drawn(F.col("round"), F.col("place")) % F.col("n")).alias("i"))
+    drawn = draws.join(own.select("group", "i", "hits", "runs"), ["group", "i"]).groupBy("group", "round").agg(F.round(F.sum("hits") / F.sum("runs"), 4).alias("rate"))
+    ends = drawn.groupBy("group").agg(F.array_sort(F.collect_list("rate")).alias("r"))  # as many numbers as rounds
+    low, high = int(0.025 * rounds), min(int(0.975 * rounds), rounds - 1)
+    told = own.groupBy("group").agg(F.sum("runs").alias("runs"), F.sum("hits").alias("hits"), F.round(F.sum("hits") / F.sum("runs"), 4).alias("share"))
+    return told.join(ends.select("group", F.col("r")[low].alias("low"), F.col("r")[high].alias("high")), "group")
+
+
+def trigger_scores(tasks: DataFrame, outcomes: DataFrame, rounds: int = 2000) -> DataFrame:
+    """A row for each group of tasks (task, group): how many, the rate of runs that called with its interval, tasks that called in every, some or no run,
+    and the rate of runs that called before an edit with its interval.
+
+    outcomes: task, run, attempt, scored, called, before_edit; the last scored attempt of a run counts. A group without scored runs has null rates.
+    """
+    last = outcomes.where("scored").groupBy("task", "run").agg(F.max_by(F.struct("called", "before_edit"), "attempt").alias("o"))
+    runs = tasks.select("task", "group").join(last, "task").select("group", "task", F.col("o.called").alias("called"), F.col("o.before_edit").alias("before_edit"))
+    called = rates(runs.withColumnRenamed("called", "hit"), rounds).withColumnRenamed("hits", "calls")
+    early = rates(runs.withColumnRenamed("before_edit", "hit"), rounds).select("group", *[F.col(c).alias(f"early_{c}") for c in ("share", "low", "high")])
+    verdicts = runs.groupBy("group", "task").agg(F.bool_and("called").alias("a"), F.bool_or("called").alias("o"))
+    counts = verdicts.groupBy("group").agg(F.count_if("a").alias("every"), F.count_if(~F.col("a") & F.col("o")).alias("some"), F.count_if(~F.col("o")).alias("none"))
+    told = tasks.groupBy("group").agg(F.count_distinct("task").alias("tasks"))
+    return told.join(called, "group", "left").join(counts, "group", "left").join(early, "group", "left")
+
+
+def log_disagreements(outcomes: DataFrame) -> DataFrame:
+    """task, run whose last scored attempt (answered, sent, log_rows) doesn't fit the log.
+
+    The log holds at least the calls that were answered and at most those sent: a run may stop with a call under way. Without a count
+    of rows nothing is known.
+    """
+    last = outcomes.where("scored").groupBy("task", "run").agg(F.max_by(F.struct("answered", "sent", "log_rows"), "attempt").alias("o"))
+    return last.where("not (o.log_rows between o.answered and o.sent)").select("task", "run")

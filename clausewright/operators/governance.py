@@ -155,3 +155,34 @@ def loaded(old: DataFrame, new: DataFrame) -> DataFrame:
     older = F.coalesce(F.col("version") < F.col("last"), F.lit(False))
     turn = F.row_number().over(W.partitionBy("document", older).orderBy("version"))
     return fresh.select("document", "version", F.when(older, "older").otherwise("loaded").alias("outcome"), F.when(~older, F.coalesce("n", F.lit(0)) + turn).alias("number"))
+
+
+def entry_page(entries: DataFrame, users: DataFrame, tokens: DataFrame, limit: int, before: int | None = None) -> DataFrame:
+    """The newest entries (seq, actor, actor_token, target_type, target, ...) first, at most limit of them below ``before``, with the names of whom they speak.
+
+    users and tokens: id, name; a target is one of them by its target_type (user, token), its id being a number, else it has no
+    name. Names are looked up for the page alone. total: of all entries, whatever the page; next_before: where the next page
+    begins, null on the last. seq is unique; an empty page has no rows.
+    """
+    left = entries if before is None else entries.where(F.col("seq") < before)
+    some = left.orderBy(F.desc("seq")).limit(limit + 1)
+    # limit + 1 rows
+    turn, n = F.row_number().over(W.orderBy(F.desc("seq"))), F.count("*").over(W.partitionBy())
+    page = some.withColumns({"turn": turn, "n": n}).where(F.col("turn") <= limit)
+    page = page.withColumn("next_before", F.when(F.col("n") > limit, F.min("seq").over(W.partitionBy()))).drop("n")
+    aimed = lambda kind: F.when(F.col("target_type") == kind, F.col("target").try_cast("long"))
+    page = page.withColumns({"target_user": aimed("user"), "target_token": aimed("token")})
+
+    def named(rows: DataFrame, people: DataFrame, column: str) -> DataFrame:
+        known = people.join(F.broadcast(rows.select(F.col(column).alias("id"))), "id", "left_semi").select(F.col("id").alias(column), F.col("name").alias(f"{column}_name"))
+        return rows.join(F.broadcast(known), column, "left")
+
+    for people, columns in ((users, ("actor", "target_user")), (tokens, ("actor_token", "target_token"))):
+        for column in columns:
+            page = named(page, people, column)
+    return page.drop("target_user", "target_token").crossJoin(F.broadcast(entries.agg(F.count("*").alias("total"))))
+
+
+def latest_of(entries: DataFrame, users: DataFrame, tokens: DataFrame, *actions: str) -> DataFrame:
+    """The newest entry with one of these actions, as a page of one; no row if there is none."""
+    return entry_page(entries.where(F.col("action").isin(*actions)), users, tokens, 1)
