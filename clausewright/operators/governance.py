@@ -173,14 +173,13 @@ def entry_page(entries: DataFrame, users: DataFrame, tokens: DataFrame, limit: i
     aimed = lambda kind: F.when(F.col("target_type") == kind, F.col("target").try_cast("long"))
     page = page.withColumns({"target_user": aimed("user"), "target_token": aimed("token")})
 
-    def named(rows: DataFrame, people: DataFrame, column: str) -> DataFrame:
-        known = people.join(F.broadcast(rows.select(F.col(column).alias("id"))), "id", "left_semi").select(F.col("id").alias(column), F.col("name").alias(f"{column}_name"))
-        return rows.join(F.broadcast(known), column, "left")
-
+    named = page
     for people, columns in ((users, ("actor", "target_user")), (tokens, ("actor_token", "target_token"))):
+        asked = page.select(F.explode(F.array(*columns)).alias("id"))  # two a row of the page
+        known = people.join(F.broadcast(asked), "id", "left_semi")
         for column in columns:
-            page = named(page, people, column)
-    return page.drop("target_user", "target_token").crossJoin(F.broadcast(entries.agg(F.count("*").alias("total"))))
+            named = named.join(F.broadcast(known.select(F.col("id").alias(column), F.col("name").alias(f"{column}_name"))), column, "left")
+    return named.drop("target_user", "target_token").crossJoin(F.broadcast(entries.agg(F.count("*").alias("total"))))
 
 
 def latest_of(entries: DataFrame, users: DataFrame, tokens: DataFrame, *actions: str) -> DataFrame:
