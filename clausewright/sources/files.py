@@ -24,6 +24,8 @@ _HEADING = re.compile(r"^#{1,6}[ \t]")
 _KEY = re.compile(r"^[a-z0-9][a-z0-9-]*(?::[a-z0-9][a-z0-9-]*)+$")
 _ESCAPED = re.compile(r"^\\(?=\\*#)")
 _NO = ("false", "no", "off", "n")
+# libyaml reads the same texts as the plain loaders, some ten times as fast.
+_BASE, _SAFE = getattr(yaml, "CBaseLoader", yaml.BaseLoader), getattr(yaml, "CSafeLoader", yaml.SafeLoader)
 
 
 def clause_rows(file: str, text: str) -> list[dict]:
@@ -37,7 +39,7 @@ def clause_rows(file: str, text: str) -> list[dict]:
     if not found:
         return [{"file": file, "problem": "no front matter"}]
     try:
-        meta = yaml.load(found[1], yaml.BaseLoader) or {}
+        meta = yaml.load(found[1], _BASE) or {}
     except yaml.YAMLError:
         return [{"file": file, "problem": "front matter is no YAML"}]
     if not isinstance(meta, dict):
@@ -132,7 +134,7 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
             out = []
             for x in batch.to_pylist():
                 try:
-                    found = yaml.safe_load(x["value"] or "") or {}
+                    found = yaml.load(x["value"] or "", _SAFE) or {}
                 except yaml.YAMLError:
                     out.append({"problem": "no YAML"})
                     continue

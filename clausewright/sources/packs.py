@@ -31,6 +31,8 @@ _FIELDS = (
     f"documents array<struct<slug: string, title: {_TEXTS}, normative: string, expected_clauses: string, source_url: string, source_sha256: string, commencement: array<{_COMMENCEMENT}>>>"
 )
 _DATE = "date:"
+# libyaml reads the same texts as the plain loader, some ten times as fast.
+_LOADER = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
 
 
 def _plain(value) -> str:
@@ -43,7 +45,7 @@ def _as_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         out = []
         for text in batch:
             try:
-                found = yaml.safe_load(text or "") or {}
+                found = yaml.load(text or "", _LOADER) or {}
                 out.append(json.dumps(found if isinstance(found, dict) else {"problem": "no fields"}, default=_plain))
             except (yaml.YAMLError, ValueError, TypeError):
                 out.append(json.dumps({"problem": "no YAML"}))

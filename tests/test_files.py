@@ -114,3 +114,28 @@ def test_start_and_end_are_dated_apart(spark):
     # Of entries of one length the first counts.
     assert got == {"law:art-1": (day(2020, 1, 1), False, day(2022, 1, 1), ["A"]), "law:art-1:para-1:pt-a": (day(2020, 1, 1), False, day(2021, 1, 1), ["A", "B"]), "law:art-10": (None, False, None, []), "law": (None, False, None, [])}
     assert packs.dated(keys.limit(0), found).count() == packs.pack_rows(spark.createDataFrame([], "file string, value string")).count() == 0
+
+
+def test_packs_are_spread_and_read_once(spark):
+    from clausewright.plans import file_queries as fq
+
+    sf = "/root/testdata/sf0.001"
+    assert fq.pack_files(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plan = fq.dated_apart(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_the_fast_loaders_read_as_the_plain_ones():
+    import yaml
+
+    texts = ["", "a: 1\nb: 'no'\nc: no\nd: 2018-05-25\n", GOOD, "oops: [\n", "- x\n", "a: {fr: Titre, en: 'T'}\nlist:\n  - {lang: en}\n", "at: 2018-05-25 10:00:00\nn: 1e3\nl: ~\n", "d: 2018-99-99"]
+
+    def read(text, loader):
+        try:
+            return yaml.load(text, loader)
+        except (yaml.YAMLError, ValueError):
+            return "broken"
+
+    assert packs._LOADER is not yaml.SafeLoader and files._BASE is not yaml.BaseLoader  # PyYAML with libyaml
+    for text in texts:
+        assert read(text, packs._LOADER) == read(text, yaml.SafeLoader) and read(text, files._BASE) == read(text, yaml.BaseLoader)
