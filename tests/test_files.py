@@ -139,3 +139,21 @@ def test_the_fast_loaders_read_as_the_plain_ones():
     assert packs._LOADER is not yaml.SafeLoader and files._BASE is not yaml.BaseLoader  # PyYAML with libyaml
     for text in texts:
         assert read(text, packs._LOADER) == read(text, yaml.SafeLoader) and read(text, files._BASE) == read(text, yaml.BaseLoader)
+
+
+def test_named_files_are_read_a_folder_a_task(spark, tmp_path):
+    from clausewright.sources.named_text import read_named
+
+    inside = {"a.md": "x\r\ny\n", "b/c.md": "é ", "b/d/e.md": "deep", "b/empty.md": "", "b/other.txt": "no", "_hidden/f.md": "no", "b/.g.md": "no", "z.md": "z"}
+    for name, text in inside.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(text.encode())
+    plain = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(str(tmp_path), wholetext=True).selectExpr("_metadata.file_name as file", "value")
+    got = read_named(spark, str(tmp_path), "*.md")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and got.count() == 4
+    assert sorted(map(tuple, read_named(spark, f"file://{tmp_path}", "*.md").collect())) == sorted(map(tuple, got.collect()))
+    (tmp_path / "many").mkdir()
+    for i in range(200):
+        (tmp_path / "many" / f"{i}.yaml").write_text(str(i))
+    assert read_named(spark, str(tmp_path / "many"), "*.yaml").count() == 200
+    assert read_named(spark, str(tmp_path), "*.yaml").rdd.getNumPartitions() == 2  # seven for Spark's reader: 32 files a task
