@@ -266,12 +266,17 @@ def _rewritten(words: Words, repeated: np.ndarray, window: int) -> tuple[np.ndar
     sizes = (words.end - words.begin)[kept]
     gaps = np.ones(len(sizes), np.int64)
     gaps[np.r_[doc[1:] != doc[:-1], True] if len(doc) else np.zeros(0, bool)] = 0
-    pattern = np.empty(2 * len(sizes), np.int64)
-    pattern[0::2], pattern[1::2] = sizes, gaps
-    letters = np.repeat(np.arange(2 * len(sizes)) % 2 == 0, pattern)
-    out = np.full(len(letters), 0x20, np.uint8)
-    starts = np.cumsum(sizes) - sizes
-    out[letters] = words.data[np.repeat(words.begin[kept] - starts, sizes) + np.arange(int(sizes.sum()))]
+    ends = np.cumsum(sizes + gaps)
+    begin, place = words.begin[kept], ends - sizes - gaps
+    out = np.full(int(ends[-1]) if len(ends) else 0, 0x20, np.uint8)
+    # A block of bytes at a time: a number for each byte of a chunk would weigh many times its text.
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, place[lo] + BLOCK, "right")))
+        n_bytes = sizes[lo:hi]
+        within = np.arange(int(n_bytes.sum())) - np.repeat(np.cumsum(n_bytes) - n_bytes, n_bytes)
+        out[np.repeat(place[lo:hi], n_bytes) + within] = words.data[np.repeat(begin[lo:hi], n_bytes) + within]
+        lo = hi
     bounds = np.r_[0, np.cumsum(np.bincount(doc, weights=sizes + gaps, minlength=n_docs).astype(np.int64))]
     totals = np.bincount(words.doc, minlength=n_docs)
     return totals, totals - np.bincount(doc, minlength=n_docs), out, bounds

@@ -77,3 +77,25 @@ def test_sent_hashes_fill_all_ranges_and_two_hashes_tell_apart():
     assert shares.max() < 0.09 and shares.min() > 0.04
     rows, inverse, counts = substrings._distinct(np.array([5, 5, 5, 2], np.uint64), np.array([1, 2, 1, 1], np.uint64))
     assert rows.tolist() == [[2, 1], [5, 1], [5, 2]] and inverse.tolist() == [1, 2, 1, 0] and counts.tolist() == [1, 2, 1]
+
+
+def test_rewriting_a_chunk_takes_few_times_its_text():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from clausewright.llm import substrings
+
+    texts = [" ".join(f"word{i * j % 977}" for j in range(4000)) for i in range(1, 130)]
+    words = substrings.Words(pa.array(texts + ["", None, "  a \t b "]))
+    repeated = np.array([0, 3, 4000], np.int64)
+    tracemalloc.start()
+    n_words, n_removed, out, bounds = substrings._rewritten(words, repeated, 35)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    parts = [out[a:b].tobytes().decode() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    split = [t.split() for t in texts]
+    assert parts == [" ".join(split[0][38:]), " ".join(split[1][35:]), *texts[2:], "", "", "a b"]
+    assert n_removed.tolist() == [38, 35] + [0] * 130 and n_words[0] == 4000
+    assert peak < 20 * len(words.data), peak / len(words.data)
