@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from clausewright.functions.redaction import arabic_light
-from clausewright.operators.retrieval import K1, B, tokens
+from clausewright.operators.retrieval import tokens, weight
 from clausewright.session import cut
 
 #: Texts in a block; texts whose lists one task makes; folders that terms are spread over.
@@ -56,11 +56,6 @@ def analyzed(text: Column, lang: Column, analyzers: dict[str, Callable[[Column],
     return chosen.otherwise(tokens(text))
 
 
-def weight(tf, n_words, mean_words):
-    """What a term's frequency in a text counts, without the term's rarity; of columns or of arrays."""
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n_words / mean_words))
-
-
 _POSTINGS = "text_id long, source string, lang string, n_words int, run int, terms array<string>, tfs array<int>"
 _BLOCKS = "term string, lang string, source string, run int, block int, n int, most int, least_words int, text_ids array<long>"
 
