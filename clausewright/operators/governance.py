@@ -80,24 +80,31 @@ def chained(entries: DataFrame, chain: str) -> DataFrame:
 def walked(entries: DataFrame, genesis: DataFrame) -> DataFrame:
     """chain, seq, turn: where each entry (chain, seq, prev_hash, entry_hash) stands on the way from its chain's genesis (chain, genesis), null if it doesn't.
 
-    Pointers to predecessors are doubled with the steps they stand for, so that a chain of n entries is walked in log n
-    equi-joins, however many chains there are; what still points on after that goes in a circle. Of entries that share a
-    predecessor, the first is on the way.
+    Entries that follow each other by seq as well are one run, found by a window; only runs are linked by an equi-join, and
+    their pointers doubled with the steps they stand for: log n small joins of numbers, however many chains there are, for n
+    runs. What still points on after that goes in a circle. Of entries that share a predecessor, the first is on the way.
     """
     own = W.partitionBy("chain", "prev_hash").orderBy("seq")
     first = entries.select("chain", "seq", "prev_hash", "entry_hash").withColumn("n", F.row_number().over(own)).where("n = 1").drop("n")
     one = first.groupBy("chain", "entry_hash").agg(F.min(F.struct("seq", "prev_hash")).alias("e")).select("chain", "entry_hash", "e.seq", "e.prev_hash")
-    # Each entry has its predecessor's hash, the steps so far, and whether it got to something that is no entry.
-    links = cut(one.select("chain", F.col("entry_hash").alias("own"), F.col("prev_hash").alias("far"), F.lit(1).cast("long").alias("steps"), F.lit(False).alias("ended")))
+    by_seq = W.partitionBy("chain").orderBy("seq", "entry_hash")
+    follows = F.coalesce(F.col("prev_hash") == F.lag("entry_hash").over(by_seq), F.lit(False))
+    parted = one.withColumn("fresh", (~follows).cast("long")).withColumn("run", F.sum("fresh").over(by_seq.rowsBetween(W.unboundedPreceding, 0)))
+    place = F.row_number().over(W.partitionBy("chain", "run").orderBy("seq", "entry_hash")).cast("long")
+    runs = cut(parted.select("chain", "seq", "entry_hash", "prev_hash", "run", place.alias("place")))
+    # From a run's first entry to the first one of the run that holds its predecessor, or to something that is no entry (end).
+    heads = runs.where("place = 1").select("chain", "run", F.col("prev_hash").alias("far"))
+    held = runs.select("chain", F.col("entry_hash").alias("far"), F.col("run").alias("to"), F.col("place").alias("steps"))
+    links = heads.join(held, ["chain", "far"], "left").select("chain", "run", "to", F.coalesce("steps", F.lit(1)).alias("steps"), F.when(F.col("to").isNull(), F.col("far")).alias("end"))
+    links = cut(links)
     for _ in range(links.count().bit_length() + 1):
-        next_ = links.select("chain", F.col("own").alias("far"), F.col("far").alias("further"), F.col("steps").alias("more"), F.col("ended").alias("there"))
-        met = links.where("not ended").join(next_, ["chain", "far"], "left")
-        moved = met.select("chain", "own", F.coalesce("further", "far").alias("far"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("there", F.lit(True)).alias("ended"))
-        links = cut(moved.unionByName(links.where("ended")))
-        if links.where("not ended").isEmpty():
+        if links.where("to is not null").isEmpty():
             break
-    started = links.where("ended").join(genesis.select("chain", F.col("genesis").alias("far")), ["chain", "far"]).select("chain", F.col("own").alias("entry_hash"), F.col("steps").alias("turn"))
-    placed = one.join(started, ["chain", "entry_hash"], "left").select("chain", "seq", "turn")
+        next_ = links.select("chain", F.col("run").alias("to"), F.col("to").alias("further"), F.col("steps").alias("more"), F.col("end").alias("there"))
+        moved = links.where("to is not null").drop("end").join(next_, ["chain", "to"]).select("chain", "run", F.col("further").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.col("there").alias("end"))
+        links = cut(moved.unionByName(links.where("to is null")))
+    started = links.where("to is null").join(genesis.select("chain", F.col("genesis").alias("end")), ["chain", "end"]).select("chain", "run", "steps")
+    placed = runs.join(started, ["chain", "run"], "left").select("chain", "seq", (F.col("steps") + F.col("place") - 1).alias("turn"))
     return entries.select("chain", "seq").join(placed, ["chain", "seq"], "left")
 
 
@@ -114,8 +121,9 @@ def verified_chains(entries: DataFrame, genesis: DataFrame, known_versions: tupl
     told = entries.withColumns({"broken": F.when(unknown, "unknown version").when(~right, "altered"), "again": F.row_number().over(own) > 1})
     way = walked(entries, genesis)
     each = told.select("chain", "seq", "broken", "again").join(way, ["chain", "seq"])
-    before = way.where("turn is not null").select("chain", (F.col("turn") + 1).alias("turn"), F.col("seq").alias("before"))
-    each = each.join(before, ["chain", "turn"], "left")
+    # Turns have no gaps: the entry before is the one of the turn before.
+    before = F.lag("seq").over(W.partitionBy("chain").orderBy(F.asc_nulls_first("turn")))
+    each = each.withColumn("before", F.when(F.col("turn") > 1, before))
     least = lambda test, reason: F.min(F.when(test, F.struct("seq", reason.alias("reason"))))
     found = each.groupBy("chain").agg(
         F.count("*").alias("entries"), least(F.col("broken").isNotNull(), F.col("broken")).alias("a"), least(F.col("again"), F.lit("same predecessor")).alias("b"), least(F.col("turn").isNull(), F.lit("not linked")).alias("c"),

@@ -4,6 +4,8 @@ import datetime
 import hashlib
 import random
 
+import pytest
+
 from clausewright.operators import asof
 from clausewright.operators import governance as gv
 
@@ -148,3 +150,17 @@ def test_entries_asked_for(spark):
     assert ids(since="2024-01-02", until="2024-01-04") == [2, 3] and ids(action="search", text="bo", until="2024-01-02") == [1] and ids(text="nobody") == []
     assert {(r.id, r.actor_name, r.target_name) for r in ql.governance_entries(entries, people).collect()} == {(1, "Anna", "Bo"), (2, None, "Anna"), (3, "Bo", None), (4, None, None)}
     assert ql.governance_entries(entries.limit(0), people, text="x").count() == 0
+
+
+@pytest.mark.parametrize("order", ["kept", "turned", "mixed"])
+def test_runs_of_a_chain_are_walked_at_once(spark, monkeypatch, order):
+    made = []
+    monkeypatch.setattr(gv, "cut", lambda df: made.append(1) or df.localCheckpoint())
+    n = 200
+    seq = {"kept": list(range(n)), "turned": list(range(n))[::-1], "mixed": [(i * 77) % n for i in range(n)]}[order]
+    rows = [("a", seq[i], f"h{i - 1}" if i else "start", f"h{i}") for i in range(n)] + [("b", 1, "start", "x"), ("b", 2, "lost", "y"), ("b", 3, "y", "z")]
+    entries = spark.createDataFrame(rows, "chain string, seq long, prev_hash string, entry_hash string")
+    genesis = spark.createDataFrame([("a", "start"), ("b", "start")], "chain string, genesis string")
+    got = {(r.chain, r.seq): r.turn for r in gv.walked(entries, genesis).collect()}
+    assert got == {**{("a", seq[i]): i + 1 for i in range(n)}, ("b", 1): 1, ("b", 2): None, ("b", 3): None}
+    assert len(made) == 2 or order != "kept"  # the whole log was written once more for each doubling before
