@@ -133,6 +133,9 @@ def keyword_best(asked: dict[str, dict], idf: dict[str, np.ndarray], mean_words:
                     if len(of) < len(names):
                         spread[:, of] = sums
                     best.add(part.column("key"), spread, spread > 0)
+                    if limit > BLOCK:  # all rows are asked for: none waits for better ones
+                        yield from _emitted(best, pa.array(names, qid_type), kind)
+                        best.parts, best.size = [], 0
         yield from _emitted(best, pa.array(names, qid_type), kind)
 
     return score
