@@ -108,7 +108,8 @@ def hybrid_search(
     named = shown.select("text_id", "key", F.coalesce("source", F.lit("")).alias("source"))
     by_score = [F.desc("score"), F.asc("key")]
     words, report = index.search(spoken, depth, shown, analyzers)
-    keyword = _listed(words.drop("source").join(named, "text_id"), "keyword", by_score)
+    # Both the fusion and the ranks told read it: texts are scored once.
+    keyword = cut(_listed(words.drop("source").join(named, "text_id"), "keyword", by_score))
     close = meaning_by_source(spoken, vectors.join(named, "text_id").select("source", F.col("text_id").alias("key"), "vector"), depth)
     meaning = cut(_listed(close.select("qid", F.col("key").alias("text_id"), "score").join(named, "text_id"), "meaning", by_score))
     lists = keyword.unionByName(meaning)

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -28,8 +29,8 @@ from clausewright.functions.redaction import arabic_light
 from clausewright.operators.retrieval import tokens, weight
 from clausewright.session import cut
 
-#: Texts in a block; texts whose lists one task makes; folders that terms are spread over.
-BLOCK_TEXTS, RUN_TEXTS, FOLDERS = 128, 4096, 16
+#: Texts in a block; texts whose lists are made at once; folders that terms are spread over; blocks that are handed on at once.
+BLOCK_TEXTS, RUN_TEXTS, FOLDERS, LISTS_A_BATCH = 128, 4096, 16, 10_000
 #: Questions are answered in blocks of about so many (question, term) pairs, which every task holds.
 QUESTION_TERMS = 200_000
 #: Lists of the highest bounds whose first blocks are read to begin with, for each question and source.
@@ -56,8 +57,13 @@ def analyzed(text: Column, lang: Column, analyzers: dict[str, Callable[[Column],
     return chosen.otherwise(tokens(text))
 
 
-_POSTINGS = "text_id long, source string, lang string, n_words int, run int, terms array<string>, tfs array<int>"
-_BLOCKS = "term string, lang string, source string, run int, block int, n int, most int, least_words int, text_ids array<long>"
+_POSTINGS = "text_id long, source string, lang string, n_words int, terms array<string>, tfs array<int>"
+_BLOCKS = "term string, lang string, source string, run long, block int, n int, most int, least_words int, text_ids array<long>"
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The row of each entry of a list column, and the entries."""
+    return np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)), lists.flatten()
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,20 +71,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for first in range(0, whole.num_rows, 256):
             batch = whole.slice(first, 256)
-            counts = [Counter(w.as_py()) for w in batch.column("words")]
-            lists = [pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("text_id", "source", "lang", "n_words", "run")] + lists, names=["text_id", "source", "lang", "n_words", "run", "terms", "tfs"])
-
-
-def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """The row of each entry of a list column, and the entries."""
-    return np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)), lists.flatten()
+            row, words = _flat(batch.column("words"))
+            coded = words.dictionary_encode()
+            n = max(1, len(coded.dictionary))
+            pairs, tfs = np.unique(row * n + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+            offsets = pa.array(np.searchsorted(pairs // n, np.arange(batch.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (coded.dictionary.take(pa.array(pairs % n)), pa.array(tfs.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("text_id", "source", "lang", "n_words")] + lists, names=["text_id", "source", "lang", "n_words", "terms", "tfs"])
 
 
-def _inverted(mean_words: float, block_texts: int):
-    """A run's texts as lists, by falling weight, in blocks."""
+def _inverted(mean_words: float, block_texts: int, run_texts: int):
+    """A task's texts, a run of them at a time, as lists, by falling weight, in blocks."""
 
-    def invert(texts: pa.Table) -> pa.Table:
+    def invert(texts: pa.Table, run: int) -> pa.Table:
         column = {c: texts[c].combine_chunks() for c in texts.column_names}
         row, terms = _flat(column["terms"])
         if not len(terms):
@@ -95,14 +100,26 @@ def _inverted(mean_words: float, block_texts: int):
         return pa.table(
             [
                 coded.dictionary.take(pa.array(term[starts])), langs.dictionary.take(pa.array(of[starts] // len(sources.dictionary))), sources.dictionary.take(pa.array(of[starts] % len(sources.dictionary))),
-                pa.array(np.full(len(starts), column["run"][0].as_py(), np.int32)), pa.array((place[starts] // block_texts).astype(np.int32)), pa.array(np.diff(ends)),
+                pa.array(np.full(len(starts), run, np.int64)), pa.array((place[starts] // block_texts).astype(np.int32)), pa.array(np.diff(ends)),
                 pa.array(np.maximum.reduceat(tfs, starts)), pa.array(np.minimum.reduceat(n_words, starts)), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)),
             ],
             schema=kinds,
         )
 
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, held = TaskContext.get().partitionId() << 32, []
+        for batch in batches:
+            while batch.num_rows:
+                part = batch.slice(0, run_texts - sum(b.num_rows for b in held))
+                held, batch = [*held, part], batch.slice(part.num_rows)
+                if sum(b.num_rows for b in held) == run_texts:
+                    yield from invert(pa.Table.from_batches(held), run).to_batches(max_chunksize=LISTS_A_BATCH)
+                    run, held = run + 1, []
+        if held:
+            yield from invert(pa.Table.from_batches(held), run).to_batches(max_chunksize=LISTS_A_BATCH)
+
     kinds = to_arrow_schema(StructType.fromDDL(_BLOCKS))
-    return invert
+    return runs
 
 
 def _scored(asked: list[tuple], known: dict[tuple[str, str], tuple[float, float]], limit: int, kind: pa.Schema):
@@ -171,20 +188,20 @@ class Index:
             worded = worded.join(self.postings().select("text_id").distinct(), "text_id", "left_anti")
         except AnalysisException:
             pass  # there is no index yet
+        if worded.isEmpty():
+            return
         words = analyzed(F.concat_ws(" ", "heading", "body"), F.col("lang"), analyzers)
         sized = worded.select("text_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), words.alias("words")).withColumn("n_words", F.size("words"))
-        n_texts, total = sized.agg(F.count("*"), F.sum("n_words")).first()
-        if not n_texts:
-            return
-        load, runs = f"load={uuid.uuid4().hex}", max(1, -(-n_texts // RUN_TEXTS))
-        dealt = sized.withColumn("run", F.pmod(F.xxhash64("text_id"), F.lit(runs)).cast("int")).select("text_id", "source", "lang", "n_words", "run", "words")
-        dealt.mapInArrow(_counted, _POSTINGS).write.option("compression", "zstd").parquet(f"{self.path}/postings/{load}")
-        # A frequent term's list is kept in runs of texts, so that no task holds a whole list.
-        lists = self.spark.read.schema(_POSTINGS).parquet(f"{self.path}/postings/{load}").groupBy("run").applyInArrow(_inverted(max(1.0, total / n_texts), BLOCK_TEXTS), _BLOCKS)
-        lists.withColumn("folder", _folder("term")).repartition("folder", "run").sortWithinPartitions("folder", "term").write.option("compression", "zstd").partitionBy("folder").parquet(f"{self.path}/blocks/{load}")
+        load = f"load={uuid.uuid4().hex}"
+        sized.mapInArrow(_counted, _POSTINGS).write.option("compression", "zstd").parquet(f"{self.path}/postings/{load}")
+        counted = self.spark.read.schema(_POSTINGS).parquet(f"{self.path}/postings/{load}")
+        n_texts, total = counted.agg(F.count("*"), F.sum("n_words")).first()
+        # A frequent term's list is kept in runs of texts, so that no task holds a whole list; texts become lists where they are read.
+        lists = counted.mapInArrow(_inverted(max(1.0, total / n_texts), BLOCK_TEXTS, RUN_TEXTS), _BLOCKS)
+        lists.withColumn("folder", _folder("term")).sortWithinPartitions("folder", "term").write.option("compression", "zstd").partitionBy("folder").parquet(f"{self.path}/blocks/{load}")
 
     def postings(self) -> DataFrame:
-        """text_id, source, lang, n_words, run, terms, tfs: a row a text."""
+        """text_id, source, lang, n_words, terms, tfs: a row a text."""
         return self.spark.read.option("basePath", f"{self.path}/postings").schema(_POSTINGS).parquet(f"{self.path}/postings/load=*")
 
     def blocks(self) -> DataFrame:

@@ -59,6 +59,22 @@ def test_search_is_plain_bm25(spark, texts, monkeypatch, limit):
     assert set(rows(few, "qid", "source", "text_id", "score")) <= set(everything) and (limit < 10_000 or rows(few, "qid", "source", "text_id", "score") == everything)
 
 
+def test_texts_become_lists_where_they_are_read(spark, texts, monkeypatch):
+    """No text goes through a shuffle to be indexed; each list holds its texts' terms, at most RUN_TEXTS texts a run."""
+    monkeypatch.setattr(si, "RUN_TEXTS", 100)
+    index, asked = si.Index(spark, scratch(spark, "index")), []
+    real = si._inverted
+    monkeypatch.setattr(si, "_inverted", lambda *a: asked.append(a) or real(*a))
+    index.add(texts.repartition(3))
+    assert [a[1:] for a in asked] == [(si.BLOCK_TEXTS, 100)]
+    told = {(t, r.text_id) for r in index.postings().collect() for t in r.terms}
+    held = [(r.term, i) for r in index.blocks().collect() for i in r.text_ids]
+    assert len(held) == len(told) and set(held) == told
+    runs = {r.run: r.n for r in index.blocks().select("run", F.explode("text_ids").alias("i")).groupBy("run").agg(F.count_distinct("i").alias("n")).collect()}
+    assert max(runs.values()) <= 100 and sum(runs.values()) == index.postings().where("size(terms) > 0").count() and "run" not in index.postings().columns
+    assert {r.tf for r in index.postings().where("text_id = 2003").selectExpr("explode(tfs) AS tf").collect()} == {1}
+
+
 def test_meaning_by_source(spark):
     vectors = [(s, k, [float(k % 7), 1.0, float(k % 3)]) for k in range(60) for s in ("a", None)] + [("a", 100, None), ("a", 101, [0.0, 0.0, 0.0]), ("a", 102, [1.0])]
     asked = [(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 1.0]), (3, None), (4, [0.0, 0.0, 0.0]), (5, [2.0])]
