@@ -34,7 +34,8 @@ def context(name: Column, headings: Column, text: Column, tokens: Callable[[Colu
         long = (n > 1) & (tokens(F.array_join(kept, SEPARATOR)) > most)
         return F.when(long, F.when(n == 2, F.slice(kept, 2, 1)).otherwise(without)).otherwise(kept)
 
-    kept = F.aggregate(F.sequence(F.lit(0), F.size(parts)), parts, shorter)
+    # Of n parts at most n - 1 go.
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), parts, shorter)
     return F.array_join(F.concat(kept, F.array(text)), SEPARATOR)
 
 
@@ -45,16 +46,30 @@ def ancestor_headings(texts: DataFrame, nodes: DataFrame, levels: int = MOST_LEV
     first), ties to the least text_id; its heading, else its label, else that of the clause (nodes: id, parent, label). Clauses without any
     are passed over; a text without headings above has no row. The way up is one recursive query.
     """
-    up = ancestors(texts.select(F.col("node").alias("id")).distinct(), nodes.select("id", "parent"), levels).withColumnRenamed("id", "node")
-    own = texts.select("text_id", "node", "lang", F.col("applies_from").alias("day")).join(up, "node")
-    labelled = own.join(nodes.select(F.col("id").alias("ancestor"), F.col("label").alias("node_label")), "ancestor")
-    above = texts.select(F.col("node").alias("ancestor"), "lang", F.col("text_id").alias("other"), "heading", "label", "applies_from")
-    met = labelled.join(above, ["ancestor", "lang"], "left")
-    best = F.min(F.struct((~F.col("applies_from").eqNullSafe(F.col("day"))).alias("other_day"), "applies_from", "other", F.coalesce("heading", "label", "node_label").alias("heading")))
-    one = met.groupBy("text_id", "height").agg(best["heading"].alias("heading")).where("heading is not null")
+    found = with_headings(texts.select("text_id", "node", "lang", "heading", "label", "applies_from"), nodes, levels)
+    return found.where(F.size("headings") > 0).select("text_id", "headings")
+
+
+def with_headings(texts: DataFrame, nodes: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:
+    """texts, all their columns, with the ``headings`` of ``ancestor_headings``; null or empty where there are none.
+
+    The texts of a clause meet in one row, which goes to the clauses below it; each text then chooses among them where it stands.
+    """
+    up = ancestors(texts.select(F.col("node").alias("id")).distinct(), nodes.select("id", "parent"), levels)
+    said = F.collect_list(F.struct("lang", "applies_from", F.col("text_id").alias("other"), F.coalesce("heading", "label").alias("heading")))
+    worded = texts.groupBy(F.col("node").alias("ancestor")).agg(said.alias("said"))
+    labelled = up.join(nodes.select(F.col("id").alias("ancestor"), F.col("label").alias("node_label")), "ancestor").join(worded, "ancestor", "left")
     # At most as many as there are levels.
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("height")).alias("at"), "heading")))
-    return one.groupBy("text_id").agg(F.transform(listed, lambda x: x["heading"]).alias("headings"))
+    above = labelled.groupBy(F.col("id").alias("node")).agg(F.array_sort(F.collect_list(F.struct((-F.col("height")).alias("at"), "node_label", "said"))).alias("above"))
+
+    def heading(clause: Column) -> Column:
+        own = F.filter(F.coalesce(clause["said"], F.array().cast(kind)), lambda x: x["lang"] == F.col("lang"))
+        best = F.array_min(F.transform(own, lambda x: F.struct((~x["applies_from"].eqNullSafe(F.col("applies_from"))).alias("other_day"), x["applies_from"], x["other"], x["heading"])))
+        return F.coalesce(best["heading"], clause["node_label"])
+
+    kind = worded.schema["said"].dataType
+    headings = F.filter(F.transform("above", heading), lambda h: h.isNotNull())
+    return texts.join(above, "node", "left").withColumn("headings", headings).drop("above")
 
 
 def name_in(names: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -64,6 +79,13 @@ def name_in(names: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.select("slug", "lang").distinct().join(given, "slug").groupBy("slug", "lang").agg(F.min(order)["title"].alias("name"))
 
 
+def with_name(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """rows (slug, lang) with ``name``, as ``name_in`` chooses it; the names of a document, one a language, meet in one row."""
+    given = names.groupBy("slug").agg(F.collect_list(F.struct("lang", "title")).alias("given"))
+    order = F.transform("given", lambda n: F.struct((n["lang"] != F.col("lang")).alias("a"), (n["lang"] != "en").alias("b"), n["lang"].alias("of"), n["title"].alias("title")))
+    return rows.join(given, "slug", "left").withColumn("name", F.when(F.col("lang").isNotNull(), F.array_min(order)["title"])).drop("given")
+
+
 def to_embed(texts: DataFrame, vectors: DataFrame, model: str, recipe: str) -> DataFrame:
     """The texts (text_id, text) that have words and no vector (text_id, model, recipe) of this model under this recipe yet."""
     there = vectors.where((F.col("model") == model) & (F.col("recipe") == recipe)).select("text_id")

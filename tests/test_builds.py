@@ -10,6 +10,7 @@ from clausewright.operators import asof
 from clausewright.operators import embedding as em
 from clausewright.operators import evaluation as ev
 from clausewright.operators import governance as gv
+from clausewright.plans.clause_view_queries import corpus
 
 RUN = "pack string, set string, id string, topic string, score double, hit boolean"
 
@@ -120,3 +121,29 @@ def test_versions_listed_with_drafts(spark):
         13: ("scheduled", None, None, None), 14: ("draft", None, 3, 1), 15: ("draft", None, 0, 0),
     }
     assert asof.listed_versions(versions, flags, "2025-01-01", drafts=False).count() == 4
+
+
+def test_headings_and_names_go_with_the_texts(spark):
+    """All columns of a text stay; headings come by one row a clause, names by one row a document."""
+    nodes = spark.createDataFrame([(1, None, "N1"), (2, 1, None), (3, 2, "N3"), (4, 99, None)], "id long, parent long, label string")
+    rows = [
+        (10, 1, "en", "early", None, None), (11, 1, "en", "that day", None, "2020-01-01"), (12, 1, "fr", None, "fr label", None), (20, 2, "en", None, None, None),
+        (30, 3, "en", "x", None, "2020-01-01"), (31, 3, "fr", "x", None, None), (32, 3, None, "x", None, None), (33, 3, "de", "x", None, None), (40, 4, "en", "x", None, None),
+    ]
+    texts = spark.createDataFrame(rows, "text_id long, node long, lang string, heading string, label string, applies_from string").withColumns({"applies_from": F.to_date("applies_from"), "slug": F.lit("d")})
+    found = {r.text_id: r for r in em.with_headings(texts, nodes).collect()}
+    assert len(found) == len(rows) and found[30].slug == "d"
+    assert {i: r.headings for i, r in found.items() if r.headings} == {20: ["early"], 30: ["that day"], 31: ["fr label"], 32: ["N1"], 33: ["N1"]}
+    assert {r.text_id: r.headings for r in em.ancestor_headings(texts, nodes).collect()} == {i: r.headings for i, r in found.items() if r.headings}
+    names = spark.createDataFrame([("d", "fr", "Loi"), ("d", "en", "Act"), ("e", "de", "Gesetz")], "slug string, lang string, title string")
+    asked = spark.createDataFrame([("d", "fr"), ("d", "de"), ("e", "en"), ("f", "en"), ("d", None)], "slug string, lang string")
+    assert {(r.slug, r.lang): r.name for r in em.with_name(asked, names).collect()} == {("d", "fr"): "Loi", ("d", "de"): "Act", ("e", "en"): "Gesetz", ("f", "en"): None, ("d", None): None}
+
+
+def test_corpus_reads_its_clauses_once_a_use(spark):
+    """The texts of a clause come out of one row of it, and nothing is joined for parents and predecessors a clause at a time."""
+    known = corpus(spark, "/root/testdata/sf0.001")
+    assert known.texts._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    ids = {r.id for r in known.nodes.select("id").collect()}
+    met = known.nodes.where("parent is not null or previous_id is not null").select("parent", "previous_id").collect()
+    assert any(r.previous_id for r in met) and all(x in ids for r in met for x in r if x is not None)
