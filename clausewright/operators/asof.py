@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clausewright.functions.redaction import natural_key
+from clausewright.session import dealt
 
 
 def in_force(versions: DataFrame, as_of: str) -> DataFrame:
@@ -130,11 +131,18 @@ def placed(old: DataFrame, new: DataFrame) -> DataFrame:
 
     A new clause stands before the first old one, in the old ones' order, whose last segment comes after its own in natural
     order (art-5-bis after art-5, before art-6), at the end if there is none; several at one place in natural order. Keys that
-    the parent has already aren't added. One sort a parent, no pairs of siblings.
+    the parent has already aren't added. One shuffle, sorts within a parent, no pairs of siblings.
     """
-    natural = natural_key(F.element_at(F.split("key", ":"), -1))
-    fresh = new.select("parent", "key").distinct().join(old.select("parent", "key"), ["parent", "key"], "left_anti")
-    every = old.select("parent", "key", F.col("place").cast("long").alias("place")).unionByName(fresh.withColumn("place", F.lit(None).cast("long"))).withColumn("natural", natural)
+    given = old.select("parent", "key", F.col("place").cast("long").alias("place"), F.lit(True).alias("old")).unionByName(
+        new.select("parent", "key", F.lit(None).cast("long").alias("place"), F.lit(False).alias("old"))
+    )
+    # Both are counted first, so that what a task sorts doesn't grow with the tables; all that follows stays in a parent's task.
+    every = dealt(given, old.count() + new.count(), "parent")
+    same = W.partitionBy("parent", "key").orderBy(F.desc("old"))
+    once = every.withColumns({"known": F.first("old").over(same), "n": F.row_number().over(same)}).where(F.col("old") | (~F.col("known") & (F.col("n") == 1)))
+    # As one string, less than half as long in a sort as the array: no digit or letter comes before what parts the runs.
+    natural = F.array_join(natural_key(F.element_at(F.split("key", ":"), -1)), "\0")
+    every = once.select("parent", "key", "place").withColumn("natural", natural)
     greater = F.min("place").over(W.partitionBy("parent").orderBy(F.desc("natural"), F.desc("key")).rowsBetween(W.unboundedPreceding, -1))
     at = F.coalesce("place", greater, F.lit((1 << 63) - 1))
     anchored = every.withColumn("at", at)

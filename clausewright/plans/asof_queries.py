@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clausewright.operators import asof
 from clausewright.plans.bindings import TEXTS_SQL, VERSIONS_SQL, texts, versions
 from clausewright.plans.catalog import query
-from clausewright.session import table
+from clausewright.session import dealt, table
 
 DAY = "1996-06-30"
 _LIFE = """life AS (
@@ -174,7 +174,8 @@ def placed_clauses(spark, sf_dir):
     """SNK2: clauses that amendments add, each where it belongs among its siblings."""
     key = lambda n: F.concat(F.lit("law:art-"), n.cast("string"))
     line = F.col("l_linenumber")
-    old = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("parent"), line).distinct()
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("parent"), line)
+    old = dealt(lines, lines.count(), "parent").distinct()
     turn = F.row_number().over(W.partitionBy("parent").orderBy(8 - line % 5, line))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("parent"), F.explode(F.array(F.col("o_custkey") % 23, F.col("o_orderkey") % 10 * 3 + 1)).alias("n"))
     return asof.placed(old.select("parent", key(line * 3).alias("key"), turn.alias("place")), orders.select("parent", key(F.col("n")).alias("key")))

@@ -50,6 +50,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows that a task sorts or groups at once, where the number of tasks follows the rows.
+ROWS_A_TASK = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df, of about so many rows, dealt by keys to as many tasks as keep each one's share bounded, whatever the session's setting is."""
+    spark = df.sparkSession
+    least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(max(least, -(-rows // ROWS_A_TASK)), *keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and read from the checkpoint folder from then on."""
     context = df.sparkSession.sparkContext

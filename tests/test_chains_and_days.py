@@ -164,3 +164,20 @@ def test_runs_of_a_chain_are_walked_at_once(spark, monkeypatch, order):
     got = {(r.chain, r.seq): r.turn for r in gv.walked(entries, genesis).collect()}
     assert got == {**{("a", seq[i]): i + 1 for i in range(n)}, ("b", 1): 1, ("b", 2): None, ("b", 3): None}
     assert len(made) == 2 or order != "kept"  # the whole log was written once more for each doubling before
+
+
+def test_placing_takes_more_tasks_as_rows_grow(spark, monkeypatch):
+    """A task's share is bounded whatever the session's number of partitions; old rows of one key stay, new ones come once."""
+    from clausewright import session
+
+    old = spark.range(300).selectExpr("id % 60 as parent", "concat('a:art-', cast(id div 60 * 2 as string)) as key", "cast(id div 60 as int) as place")
+    twice = old.where("parent = 1 and place = 2")
+    new = spark.range(120).selectExpr("id % 60 as parent", "case when id % 60 < 30 then 'a:art-3' else 'a:art-2' end as key")
+    kept, few = {}, asof.placed(old.union(twice), new)
+    for r in few.collect():
+        kept.setdefault(r.parent, []).append((r.turn, r.key, r.added))
+    assert [k for _, k, _ in sorted(kept[0])] == ["a:art-0", "a:art-2", "a:art-3", "a:art-4", "a:art-6", "a:art-8"] and len(kept[1]) == 7 and len(kept[40]) == 5
+    assert [added for _, _, added in sorted(kept[0])] == [False, False, True, False, False, False] and not any(added for _, _, added in kept[40])
+    monkeypatch.setattr(session, "ROWS_A_TASK", 10)
+    many = asof.placed(old.union(twice), new)
+    assert many.rdd.getNumPartitions() >= 42 > few.rdd.getNumPartitions() and sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
