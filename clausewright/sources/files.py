@@ -52,6 +52,9 @@ def clause_rows(file: str, text: str) -> list[dict]:
     rows = [common | {"key": key, "parent": None, "place": 0, "depth": 1, "label": told["label"], "heading": told["title"], "body": []}]
     path = [(1, key)]
     for line in found[2].split("\n"):
+        if line[:1] not in ("#", "\\"):  # neither a heading nor escaped
+            rows[-1]["body"].append(line)
+            continue
         opens = _OPENS.match(line)
         if not opens:
             if _HEADING.match(line):

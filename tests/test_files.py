@@ -157,3 +157,25 @@ def test_named_files_are_read_a_folder_a_task(spark, tmp_path):
         (tmp_path / "many" / f"{i}.yaml").write_text(str(i))
     assert read_named(spark, str(tmp_path / "many"), "*.yaml").count() == 200
     assert read_named(spark, str(tmp_path), "*.yaml").rdd.getNumPartitions() == 2  # seven for Spark's reader: 32 files a task
+
+
+def test_plain_lines_meet_no_pattern(monkeypatch):
+    """Only lines that begin with # or a backslash are matched, and every line reads as before."""
+    import re
+
+    seen = []
+
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def match(self, line):
+            seen.append(line)
+            return self.pattern.match(line)
+
+    monkeypatch.setattr(files, "_OPENS", Counted(files._OPENS))
+    text = "---\nkey: law:art-1\nlang: en\n---\nplain\n\n # spaced\n\\# escaped\n\\\\# twice\n\\plain\n## 1. {#para-1}\nbelow"
+    rows = files.clause_rows("f", text)
+    assert [r["body"] for r in rows] == ["plain\n\n # spaced\n# escaped\n\\# twice\n\\plain", "below"]
+    assert seen == ["\\# escaped", "\\\\# twice", "\\plain", "## 1. {#para-1}"] and rows[1]["key"] == "law:art-1:para-1"
+    assert files.clause_rows("f", text + "\n# unkeyed")[0]["problem"] == "a heading without a key" and isinstance(files._HEADING, re.Pattern)
