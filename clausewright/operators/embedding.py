@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewright.operators.clauses import MOST_LEVELS, ancestors
+from clausewright.operators.trees import places_above
 
 #: What stands between the parts of a place, and how many tokens a place may have.
 SEPARATOR, MOST_TOKENS = " > ", 64
@@ -34,8 +35,9 @@ def context(name: Column, headings: Column, text: Column, tokens: Callable[[Colu
         long = (n > 1) & (tokens(F.array_join(kept, SEPARATOR)) > most)
         return F.when(long, F.when(n == 2, F.slice(kept, 2, 1)).otherwise(without)).otherwise(kept)
 
-    # Of n parts at most n - 1 go.
-    kept = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), parts, shorter)
+    # Of n parts at most n - 1 go. An array of one array lets the parts be found once, not as often as they are named.
+    shortened = lambda p: F.aggregate(F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), p, shorter)
+    kept = F.transform(F.array(parts), shortened)[0]
     return F.array_join(F.concat(kept, F.array(text)), SEPARATOR)
 
 
@@ -62,16 +64,42 @@ def with_headings(texts: DataFrame, nodes: DataFrame, levels: int = MOST_LEVELS)
     # At most as many as there are levels.
     above = labelled.groupBy(F.col("id").alias("node")).agg(F.array_sort(F.collect_list(F.struct((-F.col("height")).alias("at"), "node_label", "said"))).alias("above"))
 
-    def heading(clause: Column) -> Column:
-        own = F.filter(F.coalesce(clause["said"], F.array().cast(kind)), lambda x: x["lang"] == F.col("lang"))
-        best = F.array_min(F.transform(own, lambda x: F.struct((~x["applies_from"].eqNullSafe(F.col("applies_from"))).alias("other_day"), x["applies_from"], x["other"], x["heading"])))
-        return F.coalesce(best["heading"], clause["node_label"])
-
-    kind = worded.schema["said"].dataType
+    said = lambda clause: F.coalesce(clause["said"], F.array().cast(worded.schema["said"].dataType))
+    heading = lambda clause: _heading(said(clause), F.col("lang"), F.col("applies_from"), clause["node_label"])
     headings = F.filter(F.transform("above", heading), lambda h: h.isNotNull())
     return texts.join(above, "node", "left").withColumn("headings", headings).drop("above")
 
 
+def _heading(said: Column, lang: Column, day: Column, label: Column) -> Column:
+    """Of said (lang, applies_from, other, heading), a clause's texts, the heading for a text in lang that starts on day, else the clause's label."""
+    own = F.filter(said, lambda x: x["lang"] == lang)
+    best = F.array_min(F.transform(own, lambda x: F.struct((~x["applies_from"].eqNullSafe(day)).alias("other_day"), x["applies_from"], x["other"], x["heading"])))
+    return F.coalesce(best["heading"], label)
+
+
+def texts_of_trees(trees: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:
+    """A row a text, with the other columns of its tree and with ``headings`` as in ``with_headings``; empty where there are none.
+
+    trees: ``clauses``, an array of (id, parent, label, texts), where texts is an array of (text_id, lang, heading, label,
+    applies_from, ...) or null. A parent is in the same tree. A tree, a version's clauses, is one row, so that nothing is
+    shuffled; where trees outgrow a row, ``with_headings`` joins instead.
+    """
+    of = lambda name: F.transform("clauses", lambda c: c[name])
+    above = F.arrow_udf(places_above(levels), "array<array<int>>")(of("id"), of("parent"))
+
+    def said(clause: Column) -> Column:
+        return F.transform(clause["texts"], lambda x: F.struct(x["lang"], x["applies_from"], x["text_id"].alias("other"), F.coalesce(x["heading"], x["label"]).alias("heading")))
+
+    def worded(clause: Column, place: Column) -> Column:
+        heading = lambda t: lambda p: _heading(said(F.col("clauses")[p]), t["lang"], t["applies_from"], F.col("clauses")[p]["label"])
+        headings = lambda t: F.filter(F.transform(F.col("above")[place], heading(t)), lambda h: h.isNotNull())
+        return F.transform(clause["texts"], lambda t: F.struct(t.alias("text"), headings(t).alias("headings")))
+
+    texts = F.flatten(F.filter(F.transform("clauses", worded), lambda x: x.isNotNull()))
+    rows = trees.withColumn("above", above).withColumn("worded", F.explode(texts))
+    return rows.select(*(c for c in trees.columns if c != "clauses"), "worded.text.*", "worded.headings")
+
+
 def name_in(names: DataFrame, wanted: DataFrame) -> DataFrame:
     """slug, lang, name of wanted (slug, lang): the name (slug, lang, title) in that language, else in English, else in the first language by code."""
     given = names.select("slug", F.col("lang").alias("of"), "title")
@@ -79,11 +107,20 @@ def name_in(names: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.select("slug", "lang").distinct().join(given, "slug").groupBy("slug", "lang").agg(F.min(order)["title"].alias("name"))
 
 
+def names_given(names: DataFrame) -> DataFrame:
+    """slug, given: a document's names (slug, lang, title), one a language, in one row."""
+    return names.groupBy("slug").agg(F.collect_list(F.struct("lang", "title")).alias("given"))
+
+
+def name_of(given: Column, lang: Column) -> Column:
+    """Of a document's names (lang, title), the one that ``name_in`` chooses."""
+    order = F.transform(given, lambda n: F.struct((n["lang"] != lang).alias("a"), (n["lang"] != "en").alias("b"), n["lang"].alias("of"), n["title"].alias("title")))
+    return F.when(lang.isNotNull(), F.array_min(order)["title"])
+
+
 def with_name(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """rows (slug, lang) with ``name``, as ``name_in`` chooses it; the names of a document, one a language, meet in one row."""
-    given = names.groupBy("slug").agg(F.collect_list(F.struct("lang", "title")).alias("given"))
-    order = F.transform("given", lambda n: F.struct((n["lang"] != F.col("lang")).alias("a"), (n["lang"] != "en").alias("b"), n["lang"].alias("of"), n["title"].alias("title")))
-    return rows.join(given, "slug", "left").withColumn("name", F.when(F.col("lang").isNotNull(), F.array_min(order)["title"])).drop("given")
+    """rows (slug, lang) with ``name``, as ``name_in`` chooses it; the names of a document meet in one row."""
+    return rows.join(names_given(names), "slug", "left").withColumn("name", name_of(F.col("given"), F.col("lang"))).drop("given")
 
 
 def to_embed(texts: DataFrame, vectors: DataFrame, model: str, recipe: str) -> DataFrame:

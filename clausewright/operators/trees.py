@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,3 +66,36 @@ def distinct_keys(rows: DataFrame) -> DataFrame:
     key = F.when(n == 1, F.col("segment")).otherwise(F.concat_ws("-", "segment", n))
     return rows.select("parent", "place", key.alias("key"))
 
+
+def places_above(levels: int) -> Callable[[pa.Array, pa.Array], pa.Array]:
+    """For an Arrow function: of trees given as lists (ids, parents), the places in its list of every node's ancestors, outermost first.
+
+    A parent that isn't in the list ends the way up. More than ``levels`` nodes between a node and its root, as in a cycle, are an error.
+    """
+
+    def places(ids: pa.Array, parents: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+        ends = np.append(0, np.cumsum(sizes))
+        n, tree = int(ends[-1]), np.repeat(np.arange(len(sizes)), sizes)
+        coded = pa.concat_arrays([ids.flatten(), parents.flatten()]).dictionary_encode()
+        code = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        own, asked = (tree * len(coded.dictionary) + c for c in (code[:n], code[n:]))
+        own[code[:n] < 0] = -1
+        order = np.argsort(own, kind="stable")
+        met = order[np.minimum(np.searchsorted(own[order], asked), n - 1)] if n else order
+        up = np.where((code[n:] >= 0) & (own[met] == asked), met, -1)
+        steps = [up]
+        while (steps[-1] >= 0).any():
+            if len(steps) > levels + 1:
+                raise ValueError(f"more than {levels} nodes lie between a node and its root")
+            steps.append(np.where(steps[-1] >= 0, up[steps[-1]], -1))
+        heights = sum((step >= 0).astype(np.int64) for step in steps)
+        last = np.cumsum(heights)
+        above = np.empty(int(heights.sum()), np.int32)
+        for k, step in enumerate(steps):
+            there = step >= 0
+            above[last[there] - 1 - k] = step[there] - ends[tree[there]]
+        nested = pa.ListArray.from_arrays(pa.array(np.append(0, last), pa.int32()), pa.array(above))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), nested)
+
+    return places

@@ -4,12 +4,15 @@ import datetime
 import random
 import re
 
+import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from clausewright.operators import asof
 from clausewright.operators import embedding as em
 from clausewright.operators import evaluation as ev
 from clausewright.operators import governance as gv
+from clausewright.plans.build_queries import ancestor_headings, embedded_strings
 from clausewright.plans.clause_view_queries import corpus
 
 RUN = "pack string, set string, id string, topic string, score double, hit boolean"
@@ -147,3 +150,41 @@ def test_corpus_reads_its_clauses_once_a_use(spark):
     ids = {r.id for r in known.nodes.select("id").collect()}
     met = known.nodes.where("parent is not null or previous_id is not null").select("parent", "previous_id").collect()
     assert any(r.previous_id for r in met) and all(x in ids for r in met for x in r if x is not None)
+
+
+def test_texts_of_trees_have_the_headings_that_joins_find(spark):
+    """Every tree in one row: lost parents, clauses and trees without texts, wordings of other days, and depth and cycles as errors."""
+    rng = random.Random(5)
+    nodes, texts = [], []
+    for tree in range(40):
+        for i in range(rng.choice([0, 1, 3, 9, 40])):
+            up = rng.choice([None, 999_999, *(tree * 100 + j for j in range(i))]) if i else None
+            nodes.append((tree, tree * 100 + i, up, rng.choice([None, f"N{i}"])))
+            texts += [((tree * 100 + i) * 8 + k, tree * 100 + i, rng.choice(["en", "fr", None]), rng.choice([None, f"h{k}"]), rng.choice([None, "l"]), rng.choice([None, datetime.date(2020, 1, k + 1)])) for k in range(rng.choice([0, 1, 4]))]
+    rng.shuffle(nodes)
+    nodes = spark.createDataFrame(nodes, "tree int, id long, parent long, label string")
+    texts = spark.createDataFrame(texts, "text_id long, node long, lang string, heading string, label string, applies_from date")
+    own = texts.groupBy(F.col("node").alias("id")).agg(F.collect_list(F.struct("text_id", "lang", "heading", "label", "applies_from")).alias("texts"))
+    nested = lambda nodes: nodes.join(own, "id", "left").groupBy("tree").agg(F.collect_list(F.struct("id", "parent", "label", "texts")).alias("clauses"))
+    trees = nested(nodes)
+    got = {r.text_id: (r.tree, r.headings) for r in em.texts_of_trees(trees).select("tree", "text_id", "headings").collect()}
+    assert got == {r.text_id: (r.node // 100, r.headings or []) for r in em.with_headings(texts, nodes).collect()} and any(len(h) > 3 for _, h in got.values())
+    assert em.texts_of_trees(trees).columns == ["tree", "text_id", "lang", "heading", "label", "applies_from", "headings"]
+    assert em.texts_of_trees(trees.limit(0)).count() == 0 and em.texts_of_trees(trees.withColumn("clauses", F.when(F.col("tree") < 0, F.col("clauses")))).count() == 0
+    with_text = lambda c: c.withField("texts", F.array(F.struct(c["id"].alias("text_id"), *(F.lit("x").alias(n) for n in ("lang", "heading", "label", "applies_from")))))
+    for odd in ([(1, 1, 2, "a"), (1, 2, 1, "b")], [(1, i, i - 1 or None, "c") for i in range(1, 7)]):
+        with pytest.raises(PythonException, match="more than 3 nodes"):
+            em.texts_of_trees(nested(spark.createDataFrame(odd, nodes.schema)).withColumn("clauses", F.transform("clauses", with_text)), levels=3).collect()
+
+
+def test_embedded_strings_store_nothing_and_deal_each_table_once(spark):
+    """Disk: lines, versions (by document, then by version) and names are shuffled once each, and no table is kept on the way."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for query, most in ((embedded_strings, 4), (ancestor_headings, 2)):
+            plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+            assert "RDD" not in plan.optimizedPlan().toString() and "Loop" not in plan.optimizedPlan().toString()
+            assert plan.executedPlan().toString().count("Exchange hashpartitioning") == most
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
