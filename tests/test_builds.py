@@ -188,3 +188,16 @@ def test_embedded_strings_store_nothing_and_deal_each_table_once(spark):
             assert plan.executedPlan().toString().count("Exchange hashpartitioning") == most
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_lines_without_a_number_are_no_clauses(spark, tmp_path):
+    """As in SQL, where no clause has their id; a clause below a line that isn't there has nothing above it."""
+    for name in ("customer", "orders", "lineitem"):
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        if name == "lineitem":
+            rows = rows.where("l_orderkey < 300 and not (l_orderkey % 3 = 0 and l_linenumber = 1)").withColumn("l_linenumber", F.when(F.col("l_linenumber") != 5, F.col("l_linenumber")))
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = [r.text_id for r in embedded_strings(spark, str(tmp_path)).collect()]
+    assert got and None not in got and len(got) == len(set(got)) and not any(i // 8 % 8 == 5 for i in got)
+    above = {r.text_id: r.headings for r in ancestor_headings(spark, str(tmp_path)).collect()}
+    assert above and not any(i // 64 % 3 == 0 and i // 8 % 8 in (2, 3) for i in above)
